@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep="none").drop("kept")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op5_jaccard_join, op9_decontamination, op10_mixing)}
-SQL = {"op5_jaccard_join": jaccard_join.SQL, "op9_decontamination": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_language_id, op5_jaccard_join, op9_decontamination, op10_mixing)}
+SQL = {"op1_suffix_dedup": suffix_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op9_decontamination": decontaminate.SQL}
