@@ -162,7 +162,7 @@ def _search_udf(block, window: int):
             if items is not None:
                 named = named | set(items)
             rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(named)))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"], dtype=object)
 
     return search
 

@@ -125,7 +125,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text: str = "tex
 
     @pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"], dtype=object)
 
     return docs.withColumn(into, predict(F.col(text)))
 

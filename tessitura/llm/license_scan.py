@@ -152,7 +152,7 @@ def scan_licenses(
             base = sent.value.base(words)
             places = [{"label": a, "start": b, "share": c} for a, b, c in sent.value.places(words, top, slack, least)]
             rows.append((len(words), [a for a, _ in base], [b for _, b in base], places))
-        return pd.DataFrame(rows, columns=["n_words", "base_starts", "base_labels", "places"])
+        return pd.DataFrame(rows, columns=["n_words", "base_starts", "base_labels", "places"], dtype=object)
 
     return docs.withColumn(into, scan(F.col(text)))
 

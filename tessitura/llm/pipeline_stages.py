@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing
+from . import decontaminate, jaccard_join, language_id, mixing, secret_scan
+from ._common import Stages, sized_broadcast
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +22,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return seen.where(F.col("seen.lang_pred") != "und").select(*COLUMNS)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays, once if it is repeated."""
+    stages = Stages(spark)
+    found = stages.write(jaccard_join.jaccard_components(docs).where("class_id is not null"))
+    others = stages.write(found.where("doc_id is null or doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.select(*COLUMNS).join(sized_broadcast(others), F.col("doc_id").eqNullSafe(others["doc_id"]), "left_anti")
+    repeated = stages.write(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = repeated.count()
+    if not n:
+        return kept
+    once = kept.join(sized_broadcast(repeated, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(sized_broadcast(repeated, n), "doc_id", "left_anti").unionByName(once)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -28,6 +43,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return seen.where(F.size("seen.starts") == 0).select(*COLUMNS)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows where a text has changed."""
+    model = secret_scan.train_secret_model(docs)
+    seen = secret_scan.scan_secrets(docs.select(*COLUMNS), model, into="seen")
+    changed = F.size("seen.starts") > 0
+    return seen.select(
+        "doc_id", F.col("seen.redacted").alias("text"), "lang", "source", F.when(changed, F.length("seen.redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix_sources(docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, language_id, license_scan, mixing, quality, suffix_dedup, toxicity
+from . import ann, decontaminate, jaccard_join, language_id, license_scan, mixing, quality, secret_scan, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_language_id, op4_quality, op5_jaccard_join, op6_nearest_neighbours, op8_toxicity, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_language_id, op4_quality, op5_jaccard_join, op6_nearest_neighbours, op7_secret_scan, op8_toxicity, op9_decontamination, op10_mixing)}
 SQL = {"op1_suffix_dedup": suffix_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op9_decontamination": decontaminate.SQL}

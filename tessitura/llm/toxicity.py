@@ -142,7 +142,8 @@ def train_toxicity(
                 for a, b, c in zip(words, words[1:], words[2:]):
                     context = zlib.crc32(f"{a} {c}".encode())
                     seen.update((entry, context) for entry in entries_of(b))
-            yield pd.DataFrame({"word": [w for w, _ in seen], "context": [c for _, c in seen]})
+            if seen:
+                yield pd.DataFrame(list(seen), columns=["word", "context"])
 
     candidates = (
         rows.where("y = 1").mapInPandas(neighbours, "word string, context long").distinct().groupBy("word").agg(F.count("*").alias("n"))
@@ -153,7 +154,8 @@ def train_toxicity(
     def shares(batches):
         for batch in batches:
             count = Counter((w, y == 1) for text, y in zip(batch["text"], batch["y"]) for w in known.intersection(e for b in set(folded_words(text)) for e in entries_of(b)))
-            yield pd.DataFrame([(w, t, c) for (w, t), c in count.items()], columns=["word", "bad", "n"])
+            if count:
+                yield pd.DataFrame([(w, t, c) for (w, t), c in count.items()], columns=["word", "bad", "n"])
 
     counts: dict[str, dict[bool, int]] = {}
     for r in rows.mapInPandas(shares, "word string, bad boolean, n long").groupBy("word", "bad").agg(F.sum("n").alias("n")).collect():
@@ -168,7 +170,8 @@ def train_toxicity(
             for text, y in zip(batch["text"], batch["y"]):
                 words = folded_words(text)
                 count.update({(f"{a} {b}", y == 1) for a, b in zip(words, words[1:]) if not lexicon.keys().isdisjoint((*entries_of(a), *entries_of(b)))})
-            yield pd.DataFrame([(p, t, c) for (p, t), c in count.items()], columns=["phrase", "bad", "n"])
+            if count:
+                yield pd.DataFrame([(p, t, c) for (p, t), c in count.items()], columns=["phrase", "bad", "n"])
 
     kept = rows.mapInPandas(phrases, "phrase string, bad boolean, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g")
