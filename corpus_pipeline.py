@@ -1,4 +1,5 @@
-"""A corpus pipeline of stages over `documents`: language ID, benchmark decontamination, mixing. Each stage reads what its predecessor wrote."""
+"""A corpus pipeline of five stages over `documents`: language ID, near duplicates, benchmark
+decontamination, secrets, mixing. Each stage reads what its predecessor wrote."""
 
 from __future__ import annotations
 
@@ -11,7 +12,9 @@ from tessitura.llm._common import shared_dir
 
 STAGES = [
     ("language_id", s.keep_known_language),
+    ("ngram_jaccard", s.keep_one_of_each_group),
     ("decontaminate", s.drop_contaminated),
+    ("secrets", s.redact_secrets),
     ("mixing", s.mix),
 ]
 
