@@ -12,12 +12,16 @@ partitions of a group is a signature, and similar sets share one. A subset that
 is a signature only for sets in which more groups have such a subset than the spare groups allow;
 two sets that agree in empty subsets alone are both of that kind.
 
+Signatures that only one class has are dropped first: tasks send the hashes of their signatures, each
+once, to the place where equal ones meet, and a bit map of bounded size that marks the shared ones
+goes back to all tasks. (Where it is too full to help, more signatures go on; none is lost.)
+
 Sets that share a signature are a bucket. First each set is compared with the bucket's first and
 last class, a number of pairs linear in the bucket, and linked classes are joined into components.
-Then only pairs of different components are left: in a bucket of at most `small` classes they are
-compared one by one; the classes of larger buckets are signed again with subsets of more features
-(`WIDE`), which keeps apart what a common passage has brought together, and are compared in those
-buckets. Every comparison is of whole feature sets, so no link is lost and none is invented.
+Then only pairs of different components are left; they are compared in blocks of at most about
+`block` classes, by bit maps that hold the parity of the features in each cell: two sets differ in at
+least as many features as their maps differ in bits. Pairs that pass, mostly very near ones, are
+compared by their whole feature sets, so no link is lost and none is invented.
 
 Nulls are texts without words. Documents with a null id take part, and have as component the least
 id of their component, null if it has none. Repeated documents fall into one class.
@@ -35,8 +39,10 @@ from pyspark.sql import functions as F
 
 from ._common import Stages, sized_broadcast
 
-#: (k2, n2) of the first signatures and of those for large mixed buckets.
-BASE, WIDE = (1, 2), (3, 6)
+#: (k2, n2): differences that a group may hold, and its partitions.
+SCHEME = (1, 2)
+#: Most bits of the map of shared signatures: 32 MB.
+MOST_BITS = 28
 #: Each band's sizes are below this times those of the band before.
 BAND = 1.25
 _U = np.uint64
@@ -89,7 +95,7 @@ LIMITS = band_limits()
 class Signer:
     """Signatures for links at `percent` percent of Jaccard similarity."""
 
-    def __init__(self, percent: int, scheme: tuple[int, int]):
+    def __init__(self, percent: int, scheme: tuple[int, int] = SCHEME):
         self.percent, (self.k2, self.n2) = percent, scheme
         self.subsets = np.array(list(combinations(range(self.n2), self.n2 - self.k2)))
         self.plans: dict[int, tuple[int, int]] = {}
@@ -150,76 +156,162 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if len(x) else np.zeros(0, np.int64))
 
 
-def shingle_classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and class of every document with columns doc_id, text."""
+def parity_map(features: np.ndarray) -> bytes:
+    """Parity of the number of features in each of 2^i cells, about two thirds as many as features."""
+    bits = max(64, 1 << int(len(features) * 2 // 3).bit_length())
+    odd = np.bincount((features >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_map(words: np.ndarray, size: int) -> np.ndarray:
+    """A parity map (rows of 64-bit words) with fewer cells."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def signed_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class and signatures (8 bytes each) of documents with columns doc_id, text."""
 
     def run(batches):
-        hashes = _WordHashes()
+        hashes, signer = _WordHashes(), Signer(percent)
         for batch in batches:
             sets = [shingle_set(t, words, hashes) for t in _bytes(batch.column("text"))]
+            sigs = [signer.signatures(s).tobytes() if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "cid"]
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
+                ["doc_id", "n_shingles", "cid", "sigs"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cid long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cid long, sigs binary")
 
 
-def document_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, cid) of every document."""
+def shared_map(signed: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """Bit map (and the log of its size) of the signatures that occur at least twice, by their first bits."""
+    cut = min(16, max(4, (total // 4_000_000).bit_length()))
+    bits = min(MOST_BITS, max(cut + 3, (16 * total).bit_length()))
+
+    def send(batches):
+        def pack(held):
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            rest = ((value << _U(cut)) >> _U(32)).astype(np.uint32)
+            edges = np.searchsorted(value >> _U(64 - cut), np.arange((1 << cut) + 1, dtype=_U))
+            rows = [(p, rest[a:b][count[a:b] == 1].tobytes(), rest[a:b][count[a:b] > 1].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["p", "once", "more"])
+
+        held, n = [], 0
+        for batch in batches:
+            for sigs in batch.column("sigs").to_pylist():
+                if sigs:
+                    held.append(np.frombuffer(sigs, _U))
+                    n += len(held[-1])
+            if n > 2_000_000:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def meet(table: pa.Table) -> pa.Table:
+        once = np.sort(np.frombuffer(b"".join(table.column("once").to_pylist()), np.uint32))
+        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint32)
+        shared = np.concatenate([once[1:][once[1:] == once[:-1]], more, np.intersect1d(once, more)])
+        flags = np.zeros(1 << (bits - cut), np.uint8)
+        flags[shared >> np.uint32(32 - (bits - cut))] = 1
+        return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int64()), "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    rows = signed.select("sigs").mapInArrow(send, "p long, once binary, more binary").groupBy("p").applyInArrow(meet, "p long, flags binary")
+    size = 1 << (bits - cut) >> 3
+    found = np.zeros(1 << bits >> 3, np.uint8)
+    for row in rows.toLocalIterator():
+        found[row.p * size : (row.p + 1) * size] = np.frombuffer(row.flags, np.uint8)
+    return found, bits
+
+
+def shared_signatures(signed: DataFrame, total: int) -> DataFrame:
+    """(sig, cid) of the signatures that the map marks."""
+    found, bits = shared_map(signed, total)
+    sent = signed.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
-        hashes, signer = _WordHashes(), Signer(percent, BASE)
         for batch in batches:
-            sigs, cids, held = [], [], 0
-            for t in _bytes(batch.column("text")):
-                s = shingle_set(t, words, hashes)
-                if len(s):
-                    sigs.append(signer.signatures(s))
-                    cids.append(np.full(len(sigs[-1]), set_digest(s), np.int64))
-                    held += len(sigs[-1])
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(cids))], ["sig", "cid"])
-                    sigs, cids, held = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(cids))], ["sig", "cid"])
-
-    return docs.select("text").mapInArrow(run, "sig long, cid long")
+            sigs, cids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            for cid, data in zip(batch.column("cid").to_pylist(), batch.column("sigs").to_pylist()):
+                if data:
+                    values = np.frombuffer(data, _U)
+                    place = values >> _U(64 - bits)
+                    values = values[(sent.value[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1]
+                    sigs.append(values)
+                    cids.append(np.full(len(values), cid, np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(cids))], ["sig", "cid"])
+
+    return signed.select("cid", "sigs").mapInArrow(run, "sig long, cid long")
 
 
 def feature_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cid, features) of every document that has features."""
+    """(cid, n, parity, features) of every document that has features."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
             sets = [s for s in (shingle_set(t, words, hashes) for t in _bytes(batch.column("text"))) if len(s)]
             features = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), features], ["cid", "features"])
+            columns = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_map(s) for s in sets], pa.binary()), features]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "n", "parity", "features"])
 
-    return docs.select("text").mapInArrow(run, "cid long, features array<long>")
+    return docs.select("text").mapInArrow(run, "cid long, n long, parity binary, features array<long>")
 
 
-def wide_signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, cid, comp) of given feature sets, by the wide scheme."""
+def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent: int):
+    """Pairs (a, b) of different components whose sizes and parity maps allow a link."""
+    cid, comp, n = np.array(cids), np.array(comps), np.array(sizes)
+    width = min(map(len, parities)) // 8
+    maps = np.concatenate([fold_map(np.frombuffer(p, _U)[None, :], width) for p in parities])
+    for i in range(len(cid) - 1):
+        j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        if len(j):
+            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            for k in j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]:
+                yield min(cid[i], cid[k]), max(cid[i], cid[k])
 
-    def run(batches):
-        signer = Signer(percent, WIDE)
-        for batch in batches:
-            for cid, comp, features in zip(batch.column("cid").to_pylist(), batch.column("comp").to_pylist(), batch.column("features")):
-                sigs = signer.signatures(np.asarray(features.values).astype(np.int64).view(_U))
-                n = len(sigs)
-                yield pa.RecordBatch.from_arrays([_signed(sigs), pa.array(np.full(n, cid, np.int64)), pa.array(np.full(n, comp, np.int64))], ["sig", "cid", "comp"])
 
-    return sets.select("cid", "comp", "features").mapInArrow(run, "sig long, cid long, comp long")
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from rows (sig, i, j, cid, comp, n, parity) that come grouped by sig, i, j."""
 
+    def solve(group):
+        return list(near_in_block(*zip(*((r[3], r[4], r[5], r[6]) for r in group)), percent)) if len(group) > 1 else []
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with `linked`: whether 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("cid").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("features").alias("fb"))
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        group, out = [], set()
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "cid", "comp", "n", "parity"))):
+                if group and row[:3] != group[-1][:3]:
+                    out.update(solve(group))
+                    group = []
+                    if len(out) > 50_000:
+                        yield batch_of(out)
+                        out = set()
+                group.append(row)
+        out.update(solve(group))
+        yield batch_of(out)
+
+    return rows.select("sig", "i", "j", "cid", "comp", "n", "parity").mapInArrow(run, "a long, b long")
+
+
+def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * |intersection| >= percent * |union|."""
+    ids = stages.write(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+    some = sets.join(sized_broadcast(ids), "cid", "left_semi")
+    left = some.select(F.col("cid").alias("a"), F.col("features").alias("fa"))
+    right = some.select(F.col("cid").alias("b"), F.col("features").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (F.size("fa") + F.size("fb") - both)).alias("linked"))
+    linked = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both))
+    return stages.write(linked.select("a", "b"))
 
 
 def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -244,14 +336,18 @@ def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) ->
     return edges.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, stages: Stages, words: int, percent: int, small: int) -> DataFrame | None:
+def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: int, percent: int, block: int) -> DataFrame | None:
     """Links (a, b) that join every two similar classes, directly or by way of others; None without any."""
-    signatures = document_signatures(docs, words, percent)
-    shared = stages.write(signatures.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high"))
-    buckets = stages.write(signatures.join(shared, "sig").select("sig", "cid", "low", "high").distinct())
-    stages.drop(shared)
-    involved = buckets.select("cid").distinct()
-    wanted = stages.write(classes.join(involved, "cid").groupBy("cid").agg(F.min("doc_key").alias("doc_key")))
+    classed = signed.where("cid is not null").withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
+    copied = stages.write(classed.groupBy("cid").agg(F.count("*").alias("c"), F.min("doc_key").alias("first_key")).where("c > 1").drop("c"))
+    single = classed.join(sized_broadcast(copied), "cid", "left").where("first_key is null or doc_key = first_key")
+    total = int(single.agg(F.coalesce(F.sum(F.length("sigs")), F.lit(0))).first()[0]) // 8
+    marked = shared_signatures(single, total)
+    marked = stages.write(marked)
+    shared = stages.write(marked.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high"))
+    buckets = stages.write(marked.join(shared, "sig").select("sig", "cid", "low", "high").distinct())
+    stages.drop(marked, shared)
+    wanted = stages.write(single.select("cid", "doc_key").join(buckets.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_key").alias("doc_key")))
     n_wanted = wanted.count()
     if not n_wanted:
         return None
@@ -259,37 +355,39 @@ def similar_classes(docs: DataFrame, classes: DataFrame, stages: Stages, words:
     texts = keyed.join(sized_broadcast(wanted.select("doc_key").distinct(), n_wanted), "doc_key", "left_semi")
     sets = feature_sets(texts, words).join(sized_broadcast(wanted.select("cid"), n_wanted), "cid", "left_semi")
     sets = stages.write(sets.dropDuplicates(["cid"]))
+    maps = sets.select("cid", "n", "parity")
 
     def ordered(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
     stars = buckets.select(*ordered("cid", "low")).unionByName(buckets.select(*ordered("cid", "high"))).where("a < b").distinct()
-    checked = stages.write(verify(stars, sets, percent))
-    links = checked.where("linked").select("a", "b")
+    sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
+    apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
+    links = verify(stages, near_pairs(apart, percent).distinct(), sets, percent)
     comps = stages.write(connected_components(stages, links))
 
-    placed = stages.write(buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp")))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
-    inside = stages.write(placed.join(mixed.select("sig", "n"), "sig"))
-    large = inside.where(F.col("n") > small).select("cid", "comp").distinct()
-    wide = wide_signatures(large.join(sets, "cid"), percent)
-    wide_mixed = wide.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-    near = stages.write(wide.join(wide_mixed, "sig").unionByName(inside.where(F.col("n") <= small).select("sig", "cid", "comp")).distinct())
-    other = near.select("sig", F.col("cid").alias("b"), F.col("comp").alias("other"))
-    pairs = near.withColumnRenamed("cid", "a").join(other, "sig").where("a < b and comp <> other").select("a", "b").distinct()
-    more = stages.write(verify(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b"))
+    placed = buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
+    placed = stages.write(placed)
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
+    inside = placed.join(mixed.select("sig", F.ceil(F.col("c") / block).alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    blocks = inside.select("sig", "cid", "comp", "own", other).select("sig", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = blocks.join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = verify(stages, near_pairs(grouped, percent).distinct(), sets, percent)
+    stages.drop(placed, buckets, sets)
     return links.unionByName(more)
 
 
 def jaccard_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, small: int = 64
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, block: int = 1024
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id of its component), class_id."""
     stages = Stages(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    members = stages.write(shingle_classes(rows, words))
-    classes = members.where("cid is not null").select("cid", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_key"))
-    links = similar_classes(rows, classes, stages, words, percent, small)
+    signed = stages.write(signed_documents(rows, words, percent))
+    links = similar_classes(rows, signed, stages, words, percent, block)
+    members = stages.write(signed.drop("sigs"))
+    stages.drop(signed)
     least = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     if links is None:
         grouped = least.where("n > 1").select("cid", F.col("first_id").alias("component_id"))
