@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .names import strip, text
 
@@ -128,10 +127,11 @@ def download_name(file_name: Column, title: Column, logical_id: Column, composer
     return F.coalesce(F.when(safe != "", F.concat(safe, end)), whole)
 
 
-EVIDENCE = T.StructType.fromDDL(
-    "maestro struct<composer_id: string>,"
-    "open struct<canonical_name: string, viaf: string, qid: string, mbid: string, isni: string, aliases: array<string>>,"
-    "authority array<struct<name: string, viaf: string, qid: string, birth: string, death: string>>"
+AUTHORITY_HITS = "array<struct<name: string, viaf: string, qid: string, birth: string, death: string>>"
+EVIDENCE = (
+    "struct<maestro: struct<composer_id: string>,"
+    " open: struct<canonical_name: string, viaf: string, qid: string, mbid: string, isni: string, aliases: array<string>>,"
+    f" authority: {AUTHORITY_HITS}>"
 )
 
 
@@ -147,7 +147,7 @@ def identity_payload(reason: Column, evidence: Column) -> Column:
     mbid, isni = some(e["open"]["mbid"]), some(e["open"]["isni"])
     name = F.coalesce(some(e["open"]["canonical_name"]), some(first["name"]))
     none = F.array().cast("array<string>")
-    others = F.filter(F.transform(F.coalesce(e["authority"], F.array().cast(EVIDENCE["authority"].dataType)), lambda a: a["name"]), lambda n: (text(n) != "") & ~n.eqNullSafe(name))
+    others = F.filter(F.transform(F.coalesce(e["authority"], F.array().cast(AUTHORITY_HITS)), lambda a: a["name"]), lambda n: (text(n) != "") & ~n.eqNullSafe(name))
     key = F.coalesce(F.concat(F.lit("viaf:"), viaf), F.concat(F.lit("mbid:"), mbid), F.concat(F.lit("qid:"), qid))
     return F.when(
         key.isNotNull(),
