@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare licence words.
 
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. The inverse
-document frequency of every template word is counted over all documents. For each document the
-`top` licence words of highest IDF that it holds are looked up in the postings
-(template, position); occurrences that agree on `document position - template position`, give or
+document frequency of every template word is counted over all documents. Rare words are those of at
+least `RARE` in IDF, and in any case the rarer half of the template words. For each document the
+`top` rare words of highest IDF that it holds are looked up in the postings (template, position); occurrences that agree on `document position - template position`, give or
 take `slack` words, point to a place. A place is accepted if the IDF-weighted share of template
 words found there reaches `least` and the template's mandatory phrases stand in it.
 
@@ -53,6 +53,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
+#: IDF of a word that every twentieth document holds.
+RARE = math.log(20)
+
 RESULT = "n_words long, base_starts array<int>, base_labels array<string>, places array<struct<label: string, start: int, share: double>>"
 
 
@@ -68,6 +71,9 @@ class TemplateIndex:
             for at, word in enumerate(words):
                 self.postings[word].append((t, at))
         self.vocabulary = frozenset(self.postings)
+        ordered = sorted(idf.get(w, 0.0) for w in self.vocabulary)
+        cut = min(RARE, ordered[len(ordered) // 2]) if ordered else 0.0
+        self.rare = frozenset(w for w in self.vocabulary if idf.get(w, 0.0) >= cut)
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(start, label) of all places of base phrases; places may overlap."""
@@ -84,7 +90,7 @@ class TemplateIndex:
 
     def places(self, words: list[bytes], top: int, slack: int, least: float) -> list[tuple[str, int, float]]:
         """(label, start, share) of the best accepted place per template and neighbourhood."""
-        present = self.vocabulary.intersection(words)
+        present = self.rare.intersection(words)
         if len(present) < 2:
             return []
         rare = set(sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))[:top])
@@ -132,7 +138,7 @@ def licence_word_idf(docs: DataFrame, *, text: str = "text", templates=None) ->
         yield pd.DataFrame({"word": ["", *(w.decode() for w in seen)], "n": [rows, *seen.values()]})
 
     sums = docs.select(F.col(text).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    n = {row.word.encode(): row.n for row in sums.toLocalIterator()}
+    n = {row.word.encode(): row.n for row in sums.collect()}
     total = n.pop(b"", 0)
     return {w: math.log((total + 1) / (n.get(w, 0) + 1)) for w in vocabulary}
 
