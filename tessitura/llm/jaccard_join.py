@@ -224,7 +224,7 @@ def shared_map(signed: DataFrame, total: int) -> tuple[np.ndarray, int]:
     rows = signed.select("sigs").mapInArrow(send, "p long, once binary, more binary").groupBy("p").applyInArrow(meet, "p long, flags binary")
     size = 1 << (bits - cut) >> 3
     found = np.zeros(1 << bits >> 3, np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         found[row.p * size : (row.p + 1) * size] = np.frombuffer(row.flags, np.uint8)
     return found, bits
 
