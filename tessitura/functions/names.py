@@ -86,20 +86,21 @@ CORRECT, INCORRECT, NOT_REVIEWED = "correct", "incorrect", "not_reviewed"
 # ----------------------------------------------------------- end of fixed values
 
 
+def _bare(sign: str) -> str:
+    """The compatibility form of a character without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
+
+
 def _foldable() -> tuple[str, str]:
-    """Characters whose compatibility form without marks is one other character, and those."""
-    pairs = []
-    for code in range(0x80, 0x2000):
-        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare != chr(code):
-            pairs.append((chr(code), bare))
+    """Characters whose bare form is one other character, and those."""
+    pairs = [(chr(code), _bare(chr(code))) for code in range(0x80, 0x2000) if len(_bare(chr(code))) == 1 and _bare(chr(code)) != chr(code)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 #: From the Unicode tables of this Python.
 ACCENTED, BARE = _foldable()
-#: Ligatures and fractions whose form is several characters.
-SPELLED_OUT = {"ĳ": "ij", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "№": "No"}
+#: Latin letters, ligatures and signs whose bare form is several characters.
+SPELLED_OUT = {chr(code): _bare(chr(code)) for code in (*range(0x80, 0x250), *range(0xFB00, 0xFB07), 0x2026, 0x2116) if len(_bare(chr(code))) > 1}
 
 
 def text(c: Column) -> Column:

@@ -25,7 +25,7 @@ def canonical_map(nodes: DataFrame, *, id: str = "id", status: str = "status", p
     for _ in range(rounds):
         hop = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
         open_rows = state.where("not done and at is not null")
-        moved = open_rows.join(hop, "at", "left").select("id", F.when(F.col("next_done"), F.col("at")).otherwise(F.col("next")).alias("at"), F.coalesce("next_done", F.lit(False)).alias("done"))
+        moved = open_rows.join(hop, "at", "left").select("id", F.col("next").alias("at"), F.coalesce("next_done", F.lit(False)).alias("done"))
         state = state.where("done or at is null").unionByName(moved)
         state = state.checkpoint() if shared else state.persist()
         if not state.where("not done and at is not null and at <> id").limit(1).count():
