@@ -2,7 +2,7 @@
 
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. The inverse
 document frequency of every template word is counted over all documents. Rare words are those of at
-least `RARE` in IDF, and in any case the rarer half of the template words. For each document the
+least `RARE` in IDF, and in any case the rarer half of the template words that occur. For each document the
 `top` rare words of highest IDF that it holds are looked up in the postings (template, position); occurrences that agree on `document position - template position`, give or
 take `slack` words, point to a place. A place is accepted if the IDF-weighted share of template
 words found there reaches `least` and the template's mandatory phrases stand in it.
@@ -71,8 +71,8 @@ class TemplateIndex:
             for at, word in enumerate(words):
                 self.postings[word].append((t, at))
         self.vocabulary = frozenset(self.postings)
-        ordered = sorted(idf.get(w, 0.0) for w in self.vocabulary)
-        cut = min(RARE, ordered[len(ordered) // 2]) if ordered else 0.0
+        seen = sorted(v for v in idf.values() if v < max(idf.values()))  # words that no document holds have the largest
+        cut = min(RARE, seen[len(seen) // 2]) if seen else 0.0
         self.rare = frozenset(w for w in self.vocabulary if idf.get(w, 0.0) >= cut)
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:

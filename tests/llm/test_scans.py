@@ -1,0 +1,113 @@
+"""Decontamination, licences, secrets and mixing against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessitura.llm import decontaminate, license_scan, mixing, secret_scan
+
+from .conftest import documents, prose
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+@pytest.mark.parametrize("block_words", [250_000, 40])
+def test_contamination(spark, rng, block_words):
+    items = [(i, prose(rng, n)) for i, n in enumerate((30, 12, 10, 4, 1, 25))] + [(None, prose(rng, 15)), (7, None), (8, "!!"), (1, prose(rng, 11)), (2, "Été déjà vu " * 4)]
+    docs = [(i, prose(rng, 40)) for i in range(5)]
+    for i, (_, t) in enumerate(items):
+        w = (t or "").split()
+        docs.append((20 + i, f"{prose(rng, 9)}, {' - '.join(w[: len(w) - i % 3])}! {prose(rng, 3).upper()} {' '.join(w)}"))
+    docs += [(90, None), (91, ""), (92, "ÉTÉ Été déjà vu" * 2)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = {r.doc_id: r for r in decontaminate.contamination_report(documents(spark, docs), bench, block_words=block_words).collect()}
+    for doc_id, text in docs:
+        w, hit, named = words(text), set(), set()
+        for item, t in items:
+            iw = words(t)
+            m = min(10, len(iw))
+            for s in range(len(iw) - m + 1 if m else 0):
+                for p in range(len(w) - m + 1):
+                    if w[p : p + m] == iw[s : s + m]:
+                        hit.update(range(p, p + m))
+                        named |= {str(item)} if item is not None else set()
+        r = got[doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(named), bool(hit)), doc_id
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
+
+
+def test_contamination_without_items(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination_report(documents(spark, [(1, "a b")]), bench).first().n_hit == 0
+
+
+def test_licenses(spark, rng):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"
+    docs = [
+        (1, "Released under the MIT License. " + prose(rng, 30)), (2, prose(rng, 5) + " Licensed under the Apache License, Version 2.0."), (3, "cc-by-NC cc by nc, CC BY NC"),
+        (4, prose(rng, 40) + " " + gpl + " " + prose(rng, 20)), (5, None), (6, ""), (7, "under the mit licenses"), (8, prose(rng, 200)), (9, "the MIT of this license is under"),
+    ]
+    got = {r.doc_id: r for r in license_scan.license_report(documents(spark, docs)).collect()}
+    for doc_id, text in docs:
+        w = words(text)
+        places = sorted((p, label) for phrase, label in license_scan.BASE_PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split())
+        r = got[doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+    assert got[4].labels == "gpl-3" and got[8].labels == "" and got[9].labels == ""
+    assert license_scan.license_report(documents(spark, docs).limit(0)).count() == 0
+
+
+def test_secrets(spark, rng):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    docs = [(i, f'{prose(rng, 20)} token = "{h}" {prose(rng, 5)}') for i, h in enumerate(hexes[:40])]
+    docs += [(100 + i, f"{prose(rng, 20)} commit {h} {prose(rng, 5)} 4929348385146306") for i, h in enumerate(hexes[40:])]
+    docs += [(200, None), (201, ""), (202, prose(rng, 50))]
+    frame = documents(spark, docs).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    model = secret_scan.train_secret_model(frame)
+    got = {r.doc_id: r.secrets for r in secret_scan.scan_secrets(frame, model).collect()}
+    found = sum(len(got[i].starts) == 1 and docs[i][1][got[i].starts[0] : got[i].ends[0]] == hexes[i] for i in range(40))
+    wrong = sum(len(got[d].starts) > 0 for d, _ in docs[40:])
+    assert found == 40 and wrong == 0 and "<secret>" in got[0].redacted and hexes[0] not in got[0].redacted and got[200].redacted is None
+    empty = frame.limit(0)
+    assert secret_scan.scan_secrets(empty, secret_scan.train_secret_model(empty)).count() == 0
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped, total = set(), share * sum(sizes.values())
+    while True:
+        left = total - sum(most * sizes[s] for s in capped)
+        rest = sum(w[s] for s in sizes if s not in capped)
+        over = {s for s in sizes if s not in capped and left * w[s] / rest > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in capped else left * w[s] / rest for s in sizes}
+        capped |= over
+
+
+def test_mixing(spark, rng):
+    docs = [(i, prose(rng, rng.randrange(0, 60)), "en", rng.choice(["a", "b", "c", "d", None, "é"])) for i in range(400)]
+    docs += [(1000, None, "en", "a"), (1001, " \t", None, "empty"), (3, "again and again", "en", "a"), (None, "no id here", "en", "b")]
+    out = mixing.mix_sources(documents(spark, docs)).collect()
+    again = mixing.mix_sources(documents(spark, docs).repartition(3)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again)) and len(out) == len(docs)
+    sizes: dict = {}
+    for _, t, _, s in docs:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = brute_targets(sizes)
+    for s in sizes:
+        rows = [r for r in out if r.source == s]
+        assert all(r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s]) for r in rows)
+        assert all(0 <= r.taken <= 2 * r.size for r in rows)
+        assert abs(sum(r.taken for r in rows) - want[s]) <= 1
+    assert mixing.mix_sources(documents(spark, docs).limit(0)).count() == 0
