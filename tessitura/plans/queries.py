@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, names
@@ -160,7 +160,10 @@ def f13_content_keys(t):
     return t("pages").select("page_id", keys.basename(url).alias("base"), keys.content_key(url).alias("content_key"), link.alias("link"))
 
 
-SENTENCE = F.substring_index("text", ".", 1)
+def first_sentence() -> Column:
+    return F.substring_index("text", ".", 1)
+
+
 DUCK = "split_part(text, '.', 1)"
 
 
@@ -168,17 +171,17 @@ DUCK = "split_part(text, '.', 1)"
     f"SELECT doc_id, trim(regexp_replace(translate(lower(strip_accents({DUCK})), '.,;:''\"·´`-_()', '             '), '[\\s]+', ' ', 'g')) AS k FROM documents"
 )
 def f3_normalize_name(t):
-    return t("documents").select("doc_id", names.normalize_name(SENTENCE).alias("k"))
+    return t("documents").select("doc_id", names.normalize_name(first_sentence()).alias("k"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({DUCK}, '[^\\p{{L}}-]', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g'), ' +', ' ', 'g') AS k FROM documents")
 def f5_clean_name(t):
-    return t("documents").select("doc_id", names.clean_name(SENTENCE).alias("k"))
+    return t("documents").select("doc_id", names.clean_name(first_sentence()).alias("k"))
 
 
 @query(f"SELECT doc_id, contains({DUCK}, chr(65533)) OR regexp_matches({DUCK}, '[ÐÃ]') OR length(regexp_replace({DUCK}, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 AS bad FROM documents")
 def f6_is_mojibake(t):
-    return t("documents").select("doc_id", names.is_mojibake(SENTENCE).alias("bad"))
+    return t("documents").select("doc_id", names.is_mojibake(first_sentence()).alias("bad"))
 
 
 NOISE = " OR ".join(f"contains(lower(s), '{n}')" for n in names.NOISE)
@@ -188,14 +191,14 @@ NOISE = " OR ".join(f"contains(lower(s), '{n}')" for n in names.NOISE)
     f"SELECT doc_id, CASE WHEN length(s) < 2 OR NOT regexp_matches(s, '\\p{{L}}') OR contains(s, chr(65533)) OR regexp_matches(s, '[ÐÃ]') OR length(regexp_replace(s, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 OR {NOISE} OR regexp_matches(s, '[0-9]') THEN 'incorrect' WHEN regexp_matches(s, '^[A-Za-zÀ-ÿ''.\\-, ]+$') AND len(list_filter(regexp_split_to_array(s, '[\\s,]+'), lambda x: x <> '')) >= 2 THEN 'correct' ELSE 'not_reviewed' END AS verdict FROM (SELECT doc_id, trim({DUCK}, ' \n\t\r') AS s FROM documents)"
 )
 def f7_classify_name(t):
-    return t("documents").select("doc_id", names.classify_name(SENTENCE).alias("verdict"))
+    return t("documents").select("doc_id", names.classify_name(first_sentence()).alias("verdict"))
 
 
 @query(
     f"SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) > 1 AND w[-2] = 'o' THEN trim(array_to_string(list_transform(w[:-3], lambda x: x[1]), '') || ' o' || w[-1]) ELSE trim(array_to_string(list_transform(w[:-2], lambda x: x[1]), '') || ' ' || w[-1]) END AS k FROM (SELECT doc_id, regexp_extract_all(replace(replace(lower({DUCK}), '''', ''), '’', ''), '[a-zà-ÿ]+') AS w FROM documents)"
 )
 def f8_name_key(t):
-    return t("documents").select("doc_id", names.name_key(SENTENCE).alias("k"))
+    return t("documents").select("doc_id", names.name_key(first_sentence()).alias("k"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[;,]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|') AS items FROM documents")
@@ -413,7 +416,7 @@ def c5_check_links(t):
 
 
 def composers_of_documents(t) -> DataFrame:
-    return t("documents").select(F.col("doc_id").alias("id"), SENTENCE.alias("name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_status"))
+    return t("documents").select(F.col("doc_id").alias("id"), first_sentence().alias("name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_status"))
 
 
 @query("SELECT verdict, count(*) AS n FROM (" + SQL["f7_classify_name"] + ") GROUP BY 1")
