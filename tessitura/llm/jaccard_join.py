@@ -317,9 +317,11 @@ def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> D
 def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) -> DataFrame:
     """(cid, comp) for every node of the links (a, b); comp is the least node of its component.
 
-    Alternating large-star and small-star steps; each round is written, none is collected.
+    Alternating large-star and small-star steps; each round is written, none is collected. A round
+    that leaves the number of edges and two sums of their hashes as they were has changed nothing.
     """
     edges = stages.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -328,16 +330,17 @@ def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) ->
         small = large.join(small_least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = stages.write(small)
-        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(after, ["a", "b"], "left_anti").limit(1).count()
         stages.drop(edges)
         edges = after
-        if not changed:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
 
 
 def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: int, percent: int, block: int) -> DataFrame | None:
-    """Links (a, b) that join every two similar classes, directly or by way of others; None without any."""
+    """(cid, comp) of the classes that links join, directly or by way of others; None without shared signatures."""
     classed = signed.where("cid is not null").withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
     copied = stages.write(classed.groupBy("cid").agg(F.count("*").alias("c"), F.min("doc_key").alias("first_key")).where("c > 1").drop("c"))
     single = classed.join(sized_broadcast(copied), "cid", "left").where("first_key is null or doc_key = first_key")
@@ -375,7 +378,11 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     grouped = blocks.join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     more = verify(stages, near_pairs(grouped, percent).distinct(), sets, percent)
     stages.drop(placed, buckets, sets)
-    return links.unionByName(more)
+    a, b = comps.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("cid").alias("b"), F.col("comp").alias("cb"))
+    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    joined = stages.write(connected_components(stages, between)).select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
+    nodes = comps.unionByName(joined.select(F.col("comp").alias("cid"), "comp")).distinct()
+    return nodes.join(joined, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")).distinct()
 
 
 def jaccard_components(
@@ -385,14 +392,13 @@ def jaccard_components(
     stages = Stages(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = stages.write(signed_documents(rows, words, percent))
-    links = similar_classes(rows, signed, stages, words, percent, block)
+    comps = similar_classes(rows, signed, stages, words, percent, block)
     members = stages.write(signed.drop("sigs"))
     stages.drop(signed)
     least = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    if links is None:
+    if comps is None:
         grouped = least.where("n > 1").select("cid", F.col("first_id").alias("component_id"))
     else:
-        comps = stages.write(connected_components(stages, links))
         joined = least.join(comps, "cid", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "cid"))
         joined = stages.write(joined)
         ids = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
