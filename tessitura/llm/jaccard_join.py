@@ -21,7 +21,9 @@ last class, a number of pairs linear in the bucket, and linked classes are joine
 Then only pairs of different components are left; they are compared in blocks of at most about
 `block` classes, by bit maps that hold the parity of the features in each cell: two sets differ in at
 least as many features as their maps differ in bits. Pairs that pass, mostly very near ones, are
-compared by their whole feature sets, so no link is lost and none is invented.
+compared by their whole feature sets, so no link is lost and none is invented. That is done twice:
+first each block gives only pairs that span what its maps connect, which joins most components,
+and then every pair that still lies between components.
 
 Nulls are texts without words. Documents with a null id take part, and have as component the least
 id of their component, null if it has none. Repeated documents fall into one class.
@@ -263,8 +265,16 @@ def feature_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, n long, parity binary, features array<long>")
 
 
-def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent: int):
-    """Pairs (a, b) of different components whose sizes and parity maps allow a link."""
+def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent: int, spanning: bool):
+    """Pairs (a, b) of different components whose sizes and parity maps allow a link; with `spanning`
+    only so many that they connect what all of them do."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
     cid, comp, n = np.array(cids), np.array(comps), np.array(sizes)
     width = min(map(len, parities)) // 8
     maps = np.concatenate([fold_map(np.frombuffer(p, _U)[None, :], width) for p in parities])
@@ -274,17 +284,22 @@ def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent:
         if len(j):
             apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
             for k in j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]:
-                yield min(cid[i], cid[k]), max(cid[i], cid[k])
+                if spanning:
+                    low, high = root(comps[i]), root(comps[k])
+                    if low == high:
+                        continue
+                    parent[high] = low
+                yield min(cids[i], cids[k]), max(cids[i], cids[k])
 
 
-def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
     """(a, b) from rows (sig, i, j, cid, comp, n, parity) that come grouped by sig, i, j."""
 
     def solve(group):
-        return list(near_in_block(*zip(*((r[3], r[4], r[5], r[6]) for r in group)), percent)) if len(group) > 1 else []
+        return list(near_in_block(*zip(*((r[3], r[4], r[5], r[6]) for r in group)), percent, spanning)) if len(group) > 1 else []
 
     def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         group, out = [], set()
@@ -304,7 +319,8 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union|."""
+    """The pairs (a, b), repeated ones once, with 100 * |intersection| >= percent * |union|."""
+    pairs = stages.write(pairs.distinct())
     ids = stages.write(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
     some = sets.join(sized_broadcast(ids), "cid", "left_semi")
     left = some.select(F.col("cid").alias("a"), F.col("features").alias("fa"))
@@ -366,20 +382,30 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     stars = buckets.select(*ordered("cid", "low")).unionByName(buckets.select(*ordered("cid", "high"))).where("a < b").distinct()
     sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
     apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
-    links = verify(stages, near_pairs(apart, percent).distinct(), sets, percent)
+    links = verify(stages, near_pairs(apart, percent), sets, percent)
     comps = stages.write(connected_components(stages, links))
+    for spanning in (True, False):
+        grouped = mixed_blocks(stages, buckets, comps, block).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        more = verify(stages, near_pairs(grouped, percent, spanning), sets, percent)
+        comps = stages.write(join_components(stages, comps, more))
+    stages.drop(buckets, sets)
+    return comps
+
 
+def mixed_blocks(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """(sig, cid, comp, i, j) of buckets with several components, in pairs of blocks."""
     placed = buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
     placed = stages.write(placed)
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
     inside = placed.join(mixed.select("sig", F.ceil(F.col("c") / block).alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    blocks = inside.select("sig", "cid", "comp", "own", other).select("sig", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    grouped = blocks.join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = verify(stages, near_pairs(grouped, percent).distinct(), sets, percent)
-    stages.drop(placed, buckets, sets)
+    return inside.select("sig", "cid", "comp", "own", other).select("sig", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def join_components(stages: Stages, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links between classes, by way of the graph of components."""
     a, b = comps.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("cid").alias("b"), F.col("comp").alias("cb"))
-    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = stages.write(connected_components(stages, between)).select(F.col("cid").alias("comp"), F.col("comp").alias("root"))
     nodes = comps.unionByName(joined.select(F.col("comp").alias("cid"), "comp")).distinct()
     return nodes.join(joined, "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")).distinct()
