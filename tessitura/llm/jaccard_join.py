@@ -159,8 +159,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def parity_map(features: np.ndarray) -> bytes:
-    """Parity of the number of features in each of 2^i cells, about two thirds as many as features."""
-    bits = max(64, 1 << int(len(features) * 2 // 3).bit_length())
+    """Parity of the number of features in each of 2^i cells, more than features."""
+    bits = max(64, 1 << (len(features) * 3 // 2).bit_length())
     odd = np.bincount((features >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -265,9 +265,10 @@ def feature_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, n long, parity binary, features array<long>")
 
 
-def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent: int, spanning: bool):
+def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list, shared: list, percent: int, spanning: bool):
     """Pairs (a, b) of different components whose sizes and parity maps allow a link; with `spanning`
-    only so many that they connect what all of them do."""
+    only so many that they connect what all of them do, else only those whose least shared signature
+    (of the lists `shared`) is this bucket's, so that a pair comes from one bucket."""
     parent: dict = {}
 
     def root(x):
@@ -275,10 +276,17 @@ def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent:
             x = parent[x]
         return x
 
-    cid, comp, n = np.array(cids), np.array(comps), np.array(sizes)
+    sets: dict = {}
+
+    def held(i):
+        if i not in sets:
+            sets[i] = frozenset(shared[i])
+        return sets[i]
+
+    comp, n = np.array(comps), np.array(sizes)
     width = min(map(len, parities)) // 8
     maps = np.concatenate([fold_map(np.frombuffer(p, _U)[None, :], width) for p in parities])
-    for i in range(len(cid) - 1):
+    for i in range(len(cids) - 1):
         j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
         if len(j):
@@ -289,14 +297,16 @@ def near_in_block(cids: list, comps: list, sizes: list, parities: list, percent:
                     if low == high:
                         continue
                     parent[high] = low
+                elif shared[i] and shared[k] and min(held(i) & held(k)) != sig:
+                    continue
                 yield min(cids[i], cids[k]), max(cids[i], cids[k])
 
 
 def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
-    """(a, b) from rows (sig, i, j, cid, comp, n, parity) that come grouped by sig, i, j."""
+    """(a, b) from rows (sig, i, j, cid, comp, n, parity, shared) that come grouped by sig, i, j."""
 
     def solve(group):
-        return list(near_in_block(*zip(*((r[3], r[4], r[5], r[6]) for r in group)), percent, spanning)) if len(group) > 1 else []
+        return list(near_in_block(group[0][0], *list(zip(*group))[3:], percent, spanning)) if len(group) > 1 else []
 
     def batch_of(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -304,7 +314,7 @@ def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFra
     def run(batches):
         group, out = [], set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "cid", "comp", "n", "parity"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "cid", "comp", "n", "parity", "shared"))):
                 if group and row[:3] != group[-1][:3]:
                     out.update(solve(group))
                     group = []
@@ -315,7 +325,7 @@ def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFra
         out.update(solve(group))
         yield batch_of(out)
 
-    return rows.select("sig", "i", "j", "cid", "comp", "n", "parity").mapInArrow(run, "a long, b long")
+    return rows.select("sig", "i", "j", "cid", "comp", "n", "parity", "shared").mapInArrow(run, "a long, b long")
 
 
 def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -381,25 +391,31 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
 
     stars = buckets.select(*ordered("cid", "low")).unionByName(buckets.select(*ordered("cid", "high"))).where("a < b").distinct()
     sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
-    apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
+    apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).withColumn("shared", F.lit(None).cast("array<long>")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
     links = verify(stages, near_pairs(apart, percent), sets, percent)
     comps = stages.write(connected_components(stages, links))
     for spanning in (True, False):
-        grouped = mixed_blocks(stages, buckets, comps, block).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        grouped = mixed_blocks(stages, buckets, comps, block, not spanning).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = verify(stages, near_pairs(grouped, percent, spanning), sets, percent)
         comps = stages.write(join_components(stages, comps, more))
     stages.drop(buckets, sets)
     return comps
 
 
-def mixed_blocks(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
-    """(sig, cid, comp, i, j) of buckets with several components, in pairs of blocks."""
+def mixed_blocks(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int, lists: bool) -> DataFrame:
+    """(sig, cid, comp, shared, i, j) of buckets with several components, in pairs of blocks; `shared`
+    are all such buckets of the class, if `lists`."""
     placed = buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
     placed = stages.write(placed)
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
     inside = placed.join(mixed.select("sig", F.ceil(F.col("c") / block).alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
+    inside = stages.write(inside)
+    if lists:
+        inside = inside.join(inside.groupBy("cid").agg(F.collect_list("sig").alias("shared")), "cid")
+    else:
+        inside = inside.withColumn("shared", F.lit(None).cast("array<long>"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return inside.select("sig", "cid", "comp", "own", other).select("sig", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return inside.select("sig", "cid", "comp", "shared", "own", other).select("sig", "cid", "comp", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def join_components(stages: Stages, comps: DataFrame, links: DataFrame) -> DataFrame:
