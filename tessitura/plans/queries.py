@@ -458,5 +458,186 @@ def e10_ingest_identifiers(t):
     return identity.ingest_identifiers(current, snapshot, "composer").outcomes
 
 
+def entries_of_pages(t) -> DataFrame:
+    return t("pages").selectExpr("page_id as id", "page_id % 5 as archive_id", "url as relative_path", "cast(page_id as string) as logical_id", "'c' as composer", "left(html, 40) as title", "if(page_id % 2 = 0, 'ready', 'missing') as status", "page_id as file_id")
+
+
+@query("SELECT page_id AS id, n_name AS archive_name, page_id % 2 = 0 AS available FROM pages JOIN nation ON n_nationkey = page_id % 5 WHERE contains(lower(url), 'blog') OR contains(lower(left(html, 40)), 'blog') ORDER BY page_id LIMIT 60")
+def p2_search_entries(t):
+    archives = t("nation").selectExpr("cast(n_nationkey as bigint) as id", "n_name as name")
+    return search.search_entries(entries_of_pages(t), archives, "Blog", limit=60).select("id", "archive_name", "available")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0 ORDER BY p_partkey LIMIT 80 OFFSET 10")
+def p5_pending_review(t):
+    rows = t("part").selectExpr("p_partkey as id", "'active' as status", "if(p_size % 3 = 0, null, 'correct') as review_status")
+    return search.pending_review(rows, 80, 10).select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE contains(lower(c_name), '012')")
+def j3_has_alias_like(t):
+    aliases = t("customer").select(F.col("c_custkey").alias("composer_id"), names.normalize_name(F.col("c_name")).alias("normalized_alias"))
+    return resolve.has_alias_like(t("customer").selectExpr("c_custkey as id"), aliases, "012")
+
+
+@query(
+    "SELECT s_suppkey AS key, coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 7 = 0)) AS composer_id FROM supplier WHERE coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 7 = 0)) IS NOT NULL"
+)
+def j10_find_existing(t):
+    who = t("supplier").selectExpr("s_suppkey as key", "cast(s_suppkey * 3 as string) as mbid", "cast(s_nationkey as string) as viaf", "cast(null as string) as qid", "cast(null as string) as name")
+    composers = t("customer").selectExpr("c_custkey as id", "c_name as name", "'active' as status", "cast(c_custkey as string) as musicbrainz_id")
+    ids = t("customer").where("c_custkey % 7 = 0").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
+    return resolve.find_existing(who, composers, ids)
+
+
+@query("SELECT s_suppkey AS request_id, (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 40 = 0) AS ids FROM supplier")
+def j11_find_candidates(t):
+    asked = t("supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_name").alias("name"), F.array(F.struct(F.lit("viaf").alias("id_type"), F.col("s_nationkey").cast("string").alias("id_value"))).alias("identifiers"))
+    composers = t("customer").selectExpr("c_custkey as id", "c_name as name", "'active' as status", "cast(null as bigint) as merged_into")
+    ids = t("customer").where("c_custkey % 40 = 0").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
+    aliases = t("customer").where("false").selectExpr("c_custkey as composer_id", "c_name as normalized_alias")
+    found = resolve.find_candidates(asked, composers, aliases, ids)
+    return found.select("request_id", F.nullif(F.array_join("composer_ids", ","), F.lit("")).alias("ids"))
+
+
+@query("SELECT p_partkey AS id, count(l_orderkey) AS places, p_size % 5 <> 0 AND count(l_orderkey) > 0 AS available FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'N' GROUP BY p_partkey, p_size")
+def j14_file_details(t):
+    files = t("part").selectExpr("p_partkey as id", "if(p_size % 5 = 0, 'failed', 'available') as status")
+    places = t("lineitem").selectExpr("l_partkey as file_id", "l_suppkey as provider_id", "concat(l_orderkey, '-', l_linenumber) as object_key", "if(l_returnflag = 'N', 'stored', 'removed') as status")
+    out = search.file_details(files, places, t("supplier").selectExpr("s_suppkey as id", "s_name as name"))
+    return out.select("id", F.size("places").cast("long").alias("places"), "available")
+
+
+@query("SELECT c_custkey AS id, lower(c_name) AS aliases, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS work_count FROM customer")
+def j15_composer_details(t):
+    ids = t("customer").where("false").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "'x' as id_value")
+    evidence = t("customer").where("false").selectExpr("c_custkey as composer_id", "'r' as rule", "'d' as decision")
+    aliases = t("customer").selectExpr("c_custkey as composer_id", "lower(c_name) as alias")
+    out = search.composer_details(t("customer").selectExpr("c_custkey as id"), aliases, t("orders").selectExpr("o_custkey as composer_id"), ids, evidence)
+    return out.select("id", F.array_join("aliases", ",").alias("aliases"), "work_count")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def j16_lookup(t):
+    return resolve.lookup_ids(t("orders").select("o_orderkey", "o_custkey"), t("customer").where("c_acctbal > 5000").selectExpr("c_custkey as o_custkey"), "o_custkey")
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS archives, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS downloaded, (SELECT count(*) FROM orders) AS entries, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS ready, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS missing, (SELECT count(*) FROM documents) AS files, (SELECT sum(n_chars)::BIGINT FROM documents) AS bytes")
+def a4_snapshot(t):
+    archives = t("supplier").selectExpr("if(s_suppkey % 2 = 0, 'x', null) as local_path", "'imported' as status")
+    entries = t("orders").selectExpr("case o_orderstatus when 'F' then 'ready' when 'O' then 'missing' else 'failed' end as status")
+    return profile.snapshot(archives, entries, t("documents").selectExpr("n_chars as size_bytes")).drop("materialized")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS rows, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 6) AS viaf_id_pct, count(DISTINCT c_nationkey) AS keys, count(DISTINCT c_nationkey) AS keys_with_several FROM customer")
+def a14_authority_profile(t):
+    rows = t("customer").selectExpr("cast(c_nationkey as string) as name_key", "if(c_acctbal > 0, 'v', '') as viaf_id")
+    return rounded(profile.authority_profile(rows, fields=("viaf_id",)), "viaf_id_pct")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 30")
+def t2_page_desc(t):
+    return tables.page_desc(t("orders").select("o_orderkey"), ["o_orderkey"], 30)
+
+
+@query("SELECT row_number() OVER (ORDER BY a.archive_id, url) AS id, url AS relative_path, title FROM (SELECT DISTINCT ON (page_id % 5, url) page_id % 5 AS k, url, left(html, 20) AS title FROM pages ORDER BY page_id % 5, url, page_id DESC) p JOIN (SELECT k, row_number() OVER (ORDER BY 'a' || k) AS archive_id FROM (SELECT DISTINCT page_id % 5 AS k FROM pages)) a USING (k)")
+def x1_build_index(t):
+    rows = t("pages").orderBy("page_id").selectExpr("url as relative_path", "concat('a', page_id % 5) as archive_name", "null as archive_url", "null as logical_id", "null as composer", "left(html, 20) as title")
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("archive_url", "logical_id", "composer")})
+    archives = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "n_name as name", "n_name as url", "n_name as status")
+    entries = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "cast(n_nationkey as bigint) as archive_id", "n_name as relative_path", "n_name as logical_id", "n_name as composer", "n_name as title", "n_name as status")
+    return catalogue.build_index(rows, archives, entries).entries.select("id", "relative_path", "title")
+
+
+@query("SELECT doc_id, position, tag FROM (SELECT doc_id, unnest(range(0, len(l))) AS position, unnest(l) AS tag FROM (SELECT doc_id, list_filter([lang, source], lambda x: x IS NOT NULL) AS l FROM documents WHERE doc_id % 2 = 0)) UNION ALL SELECT doc_id, 0, 'old' FROM documents WHERE doc_id % 2 = 1")
+def x5_replace_list(t):
+    old = t("documents").selectExpr("doc_id", "0 as position", "'old' as tag")
+    new = t("documents").where("doc_id % 2 = 0").selectExpr("doc_id", "array(concat(' ', lang), '', source, lang) as tag")
+    return longs(tables.replace_list(old, new, "doc_id", "tag"), "position")
+
+
+@query("SELECT CASE WHEN l_partkey % 3 = 0 AND l_returnflag = 'N' THEN l_partkey + 1 ELSE l_partkey END AS composer_id, count(*) AS works FROM lineitem GROUP BY 1")
+def x8_move_aliases(t):
+    aliases = t("part").selectExpr("p_partkey as composer_id", "'N' as alias", "'n' as normalized_alias")
+    works = t("lineitem").selectExpr("l_partkey as composer_id", "l_returnflag as composer")
+    moves = t("part").where("p_partkey % 3 = 0").selectExpr("p_partkey as composer_id", "'N' as alias", "p_partkey + 1 as target")
+    return identity.move_aliases(aliases, works, moves).works.groupBy("composer_id").agg(F.count("*").alias("works"))
+
+
+@query("SELECT CASE WHEN l_partkey % 50 = 0 THEN 'ANONIMA' END AS attribution_type, count(*) AS n, count(*) FILTER (l_partkey % 50 <> 0) AS with_composer FROM lineitem GROUP BY 1")
+def x10_to_attribution(t):
+    composers = nodes(t).drop("merged_into")
+    works = t("lineitem").where("l_partkey > 0").selectExpr("l_partkey as composer_id", "cast(null as string) as attribution_type", "cast(null as string) as attribution_note")
+    works = works.unionByName(t("lineitem").where("l_partkey = 0").selectExpr("cast(null as bigint) as composer_id", "'ANONIMA' as attribution_type", "'' as attribution_note"))
+    out = identity.to_attribution(composers, works, composers.where("id % 50 = 0").select("id"), "ANONIMA")[1]
+    return out.groupBy("attribution_type").agg(F.count("*").alias("n"), F.count("composer_id").alias("with_composer"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'correct' WHEN p_partkey % 2 = 0 THEN 'x' END AS review_status FROM part WHERE p_partkey > 0")
+def x11_edit_composers(t):
+    rows = nodes(t).selectExpr("id", "if(id % 2 = 0, 'x', null) as review_status")
+    return tables.edit_rows(rows, rows.where("id % 9 = 0").selectExpr("id", "'correct' as review_status"), "id")
+
+
+@query("WITH n AS (SELECT DISTINCT o_custkey AS composer_id, lower(o_orderpriority) AS alias FROM orders) SELECT composer_id, count(*) AS n FROM (SELECT composer_id, trim(regexp_replace(translate(alias, '-', ' '), ' +', ' ', 'g')) AS k FROM n UNION SELECT c_custkey, lower(c_name) FROM customer) GROUP BY 1")
+def x12_add_aliases(t):
+    aliases = t("customer").select(F.col("c_custkey").alias("composer_id"), F.col("c_name").alias("alias"), names.normalize_name(F.col("c_name")).alias("normalized_alias"))
+    new = t("orders").selectExpr("o_custkey as composer_id", "lower(o_orderpriority) as alias")
+    return identity.add_aliases(aliases, new)[0].groupBy("composer_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH k AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS b FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(b, '[^.]\\.[^.]*$') THEN regexp_replace(b, '\\.[^.]*$', '') ELSE b END AS work_key FROM k) SELECT work_key, row_number() OVER (ORDER BY work_key) AS id, min(page_id) AS first_entry, count(*) AS entries FROM c WHERE work_key <> '' GROUP BY 1"
+)
+def e1_build_works(t):
+    entries = t("pages").selectExpr("page_id as id", "url as relative_path", "cast(null as string) as composer", "cast(page_id as string) as title", "cast(null as bigint) as work_id")
+    works = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "n_name as work_key", "n_name as relative_path", "n_name as composer", "n_name as composer_id", "n_name as title")
+    people = t("nation").where("false").selectExpr("n_name as id", "n_name as name", "n_name as status", "n_name as merged_into")
+    aliases = people.selectExpr("id as composer_id", "name as alias", "name as normalized_alias")
+    done = catalogue.build_works(entries, works, aliases, people)
+    linked = done.entries.where("work_id is not null").groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("entries"))
+    return done.works.select("work_key", "id", F.col("title").cast("long").alias("first_entry")).join(linked, "id")
+
+
+@query(
+    "SELECT coalesce(c.composer, 'unknown') AS owner, count(*) AS n FROM part p LEFT JOIN (SELECT lower(prefix) AS k, min(p_brand) AS composer FROM (SELECT DISTINCT upper(left(p_type, 1)) AS prefix, p_brand FROM part) GROUP BY 1 HAVING count(*) = 1) c ON c.k = lower(left(p.p_type, 1)) GROUP BY 1"
+)
+def e3_backfill_composer_ids(t):
+    seeds = t("part").selectExpr("upper(left(p_type, 1)) as prefix", "p_brand as composer").distinct()
+    people = t("part").selectExpr("p_brand as id", "p_brand as name", "'active' as status", "cast(null as string) as merged_into").distinct()
+    aliases = people.select(F.col("id").alias("composer_id"), F.col("name").alias("alias"), names.normalize_name(F.col("name")).alias("normalized_alias"))
+    works = t("part").selectExpr("p_partkey as id", "cast(null as string) as composer", "concat(left(p_type, 1), '. 5') as catalogue", "cast(null as string) as composer_id")
+    out = catalogue.backfill_composer_ids(works, aliases, people, seeds, unknown_id="unknown").works
+    return out.groupBy(F.col("composer_id").alias("owner")).agg(F.count("*").alias("n"))
+
+
+@query()
+def e4_clean_candidates(t):
+    rows = t("documents").select(F.lit("unknown").alias("status"), first_sentence().alias("attribution"))
+    return identity.clean_candidates(rows).select("name_key", "label", "work_count")
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) + 7 AS file_id FROM orders WHERE o_orderkey % 2 = 0")
+def c4_register_mirror(t):
+    entries = t("orders").selectExpr("o_orderkey as id", "concat('a/', o_orderkey, '.mxl') as relative_path", "if(o_orderkey % 2 = 0, null, 1L) as file_id")
+    return content.register_mirror(entries, 3, start=7).entries.where("id % 2 = 0").select("id", "file_id")
+
+
+@query("SELECT doc_id, CAST(nullif(regexp_extract(text, '(^|[^\\p{L}\\p{N}_])(1[89][0-9][0-9]|20[0-9][0-9])($|[^\\p{L}\\p{N}_])', 2), '') AS BIGINT) AS year FROM documents")
+def f22_extract_year(t):
+    return longs(t("documents").select("doc_id", names.extract_year(F.col("text")).alias("year")), "year")
+
+
+@query()
+def f10_extract_name(t):
+    rows = t("documents").select("doc_id", F.array_join(F.slice(F.split("text", r"\\s+"), 1, 3), " ").alias("s"))
+    return rows.select("doc_id", names.extract_name(F.col("s")).alias("name"), names.validate_name(F.col("s"))["score"].alias("score"), names.candidate_label(F.col("s"))["label"].alias("label"))
+
+
+@query()
+def f27_entity_ids(t):
+    return t("customer").select("c_custkey", identity.entity_ids(F.col("c_name")).alias("id"), keys.external_key(F.col("c_name")).alias("external"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a1_item_ratings"](spark, sf_dir)
