@@ -107,6 +107,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, Unicode white space included."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -192,8 +197,10 @@ def _is_upper(c: Column) -> Column:
 def validate_name(c: Column) -> Column:
     """struct(valid, score, reason): whether a name has the form of a person's name."""
     s = F.regexp_replace(strip(text(c)), "([a-z])([A-Z])", "$1 $2")
-    tokens = F.filter(F.split(s, r"(?U)\s+"), lambda t: t != "")
+    return let(F.filter(F.split(s, r"(?U)\s+"), lambda t: t != ""), _judge_tokens)
+
 
+def _judge_tokens(tokens: Column) -> Column:
     def points(t: Column) -> Column:
         one = F.length(t) == 1
         capital = (one & _is_upper(t)) | is_title(t) | _is_upper(t)
@@ -246,8 +253,7 @@ def extract_name(c: Column, person: Callable[[Column], Column] | None = None) ->
     marked = F.regexp_replace(_marked_part(s), r"^[ \[\]()\t.:]+|[ \[\]()\t.:]+$", "")
     if person is not None:
         marked = F.coalesce(marked, person(s))
-    options = [clean_name(marked), clean_name(s)]
-    found = F.coalesce(*(F.when((o != "") & validate_name(o)["valid"], o) for o in options))
+    found = F.coalesce(*(let(clean_name(x), lambda o: F.when((o != "") & validate_name(o)["valid"], o)) for x in (marked, s)))
     return F.when((s != "") & ~is_mojibake(s), found)
 
 
@@ -275,8 +281,7 @@ def candidate_label(c: Column) -> Column:
     """struct(label, verdict) of an attribution: real, review, mojibake, no_persona or qualifier."""
     s = strip(text(c))
     low = F.lower(s)
-    cleaned = clean_name(c)
-    words = F.filter(F.split(cleaned, " "), lambda w: w != "")
+    words = F.filter(F.split(clean_name(c), " "), lambda w: w != "")
     bare = (F.size(words) == 0) | F.forall(words, lambda w: F.length(w) <= 1) | (F.length(F.array_join(words, "")) <= 2)
 
     def label(name: str, verdict: str) -> Column:
