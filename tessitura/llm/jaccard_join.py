@@ -43,6 +43,8 @@ from ._common import Stages, sized_broadcast
 
 #: (k2, n2): differences that a group may hold, and its partitions.
 SCHEME = (1, 2)
+#: Buckets that a class names to have a pair from one bucket.
+LISTED = 16
 #: Most bits of the map of shared signatures: 32 MB.
 MOST_BITS = 28
 #: Each band's sizes are below this times those of the band before.
@@ -159,8 +161,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def parity_map(features: np.ndarray) -> bytes:
-    """Parity of the number of features in each of 2^i cells, more than features."""
-    bits = max(64, 1 << (len(features) * 3 // 2).bit_length())
+    """Parity of the number of features in each of 2^i cells, more than features, or in large sets two thirds as many."""
+    bits = max(64, 1 << (len(features) * 3 // 2 if len(features) < 700 else len(features) * 2 // 3).bit_length())
     odd = np.bincount((features >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -267,8 +269,8 @@ def feature_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list, shared: list, percent: int, spanning: bool):
     """Pairs (a, b) of different components whose sizes and parity maps allow a link; with `spanning`
-    only so many that they connect what all of them do, else only those whose least shared signature
-    (of the lists `shared`) is this bucket's, so that a pair comes from one bucket."""
+    only so many that they connect what all of them do, else, where their lists `shared` have a bucket
+    in common, only in the least such bucket, so that most pairs come from one bucket."""
     parent: dict = {}
 
     def root(x):
@@ -297,7 +299,7 @@ def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list
                     if low == high:
                         continue
                     parent[high] = low
-                elif shared[i] and shared[k] and min(held(i) & held(k)) != sig:
+                elif shared[i] and shared[k] and min(held(i) & held(k), default=sig) != sig:
                     continue
                 yield min(cids[i], cids[k]), max(cids[i], cids[k])
 
@@ -395,23 +397,30 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     links = verify(stages, near_pairs(apart, percent), sets, percent)
     comps = stages.write(connected_components(stages, links))
     for spanning in (True, False):
-        grouped = mixed_blocks(stages, buckets, comps, block, not spanning).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        inside = mixed_members(stages, buckets, comps, block)
+        grouped = mixed_blocks(inside, not spanning).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = verify(stages, near_pairs(grouped, percent, spanning), sets, percent)
+        stages.drop(inside)
         comps = stages.write(join_components(stages, comps, more))
     stages.drop(buckets, sets)
     return comps
 
 
-def mixed_blocks(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int, lists: bool) -> DataFrame:
-    """(sig, cid, comp, shared, i, j) of buckets with several components, in pairs of blocks; `shared`
-    are all such buckets of the class, if `lists`."""
-    placed = buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
-    placed = stages.write(placed)
+def mixed_members(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """(sig, cid, comp, blocks, own) of buckets with several components."""
+    placed = stages.write(buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp")))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
     inside = placed.join(mixed.select("sig", F.ceil(F.col("c") / block).alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
     inside = stages.write(inside)
+    stages.drop(placed)
+    return inside
+
+
+def mixed_blocks(inside: DataFrame, lists: bool) -> DataFrame:
+    """(sig, cid, comp, shared, i, j): the members in pairs of blocks. `shared` are the `LISTED` least
+    of the buckets of a class, if `lists`."""
     if lists:
-        inside = inside.join(inside.groupBy("cid").agg(F.collect_list("sig").alias("shared")), "cid")
+        inside = inside.join(inside.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("shared")), "cid")
     else:
         inside = inside.withColumn("shared", F.lit(None).cast("array<long>"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
