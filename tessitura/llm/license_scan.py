@@ -1,11 +1,14 @@
 """Licence scan with a positional index of rare licence words.
 
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. The inverse
-document frequency of every template word is counted over all documents. Rare words are those of at
-least `RARE` in IDF, and in any case the rarer half of the template words that occur. For each document the
-`top` rare words of highest IDF that it holds are looked up in the postings (template, position); occurrences that agree on `document position - template position`, give or
-take `slack` words, point to a place. A place is accepted if the IDF-weighted share of template
-words found there reaches `least` and the template's mandatory phrases stand in it.
+document frequency of every template word is counted over all documents. Each template has its own
+rare words: those of highest IDF, however common, that hold at least twice the weight that a place
+may lack. A file is searched for every template whose mandatory phrases it holds: each occurrence of
+a rare word is looked up in the postings (position in the template), and points to the places at
+`document position - template position`, give or take `slack` words. A place is accepted if the
+IDF-weighted share of template words found there reaches `least` and the template's mandatory phrases
+stand in it; places where too few rare words are found to reach `least` with all the others are
+passed over, so no acceptable place is lost.
 
 Besides, the fixed base phrases are found wherever their words stand consecutively.
 Nulls are texts without words; they have no labels and score 0. The score is 1 where a base phrase
@@ -53,9 +56,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
-#: IDF of a word that every twentieth document holds.
-RARE = math.log(20)
-
 RESULT = "n_words long, base_starts array<int>, base_labels array<string>, places array<struct<label: string, start: int, share: double>>"
 
 
@@ -66,20 +66,31 @@ class TemplateIndex:
         self.templates = [(label, t.encode().split(), [k.encode().split() for k in keys]) for label, t, keys in (TEMPLATES if templates is None else templates)]
         self.phrases = [(b" " + b" ".join(p.encode().split()) + b" ", label) for p, label in (BASE_PHRASES if phrases is None else phrases).items()]
         self.idf = idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for at, word in enumerate(words):
-                self.postings[word].append((t, at))
-        self.vocabulary = frozenset(self.postings)
-        seen = sorted(v for v in idf.values() if v < max(idf.values()))  # words that no document holds have the largest
-        cut = min(RARE, seen[len(seen) // 2]) if seen else 0.0
-        self.rare = frozenset(w for w in self.vocabulary if idf.get(w, 0.0) >= cut)
+        self.vocabulary = frozenset(w for _, words, _ in self.templates for w in words)
+        self.keys = [[b" " + b" ".join(key) + b" " for key in keys] for _, _, keys in self.templates]
+        self.weights = [[idf.get(w, 0.0) + 0.1 for w in words] for _, words, _ in self.templates]
+        self.found: dict[tuple[int, float], tuple[dict[bytes, list[int]], float]] = {}
+
+    def rare(self, t: int, least: float) -> tuple[dict[bytes, list[int]], float]:
+        """Positions of the template's rare words, and the weight of them that an acceptable place holds at least."""
+        if (t, least) in self.found:
+            return self.found[t, least]
+        _, words, _ = self.templates[t]
+        weights, postings, held = self.weights[t], {}, 0.0
+        total = sum(weights)
+        for word in sorted(set(words), key=lambda w: (-self.idf.get(w, 0.0), w)):
+            if held >= 2 * (1 - least) * total and len(postings) > 1:
+                break
+            postings[word] = [at for at, w in enumerate(words) if w == word]
+            held += sum(weights[at] for at in postings[word])
+        self.found[t, least] = postings, held - (1 - least) * total
+        return self.found[t, least]
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(start, label) of all places of base phrases; places may overlap."""
         if not words:
             return []
-        line = b" " + b" ".join(words) + b" "
+        line = self.line(words)
         found = []
         for phrase, label in self.phrases:
             at = line.find(phrase)
@@ -88,37 +99,50 @@ class TemplateIndex:
                 at = line.find(phrase, at + 1)
         return sorted(found)
 
-    def places(self, words: list[bytes], top: int, slack: int, least: float) -> list[tuple[str, int, float]]:
+    @staticmethod
+    def line(words: list[bytes]) -> bytes:
+        return b" " + b" ".join(words) + b" "
+
+    def places(self, words: list[bytes], slack: int, least: float) -> list[tuple[str, int, float]]:
         """(label, start, share) of the best accepted place per template and neighbourhood."""
-        present = self.rare.intersection(words)
-        if len(present) < 2:
+        if not words:
             return []
-        rare = set(sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))[:top])
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for at, word in enumerate(words):
-            if word in rare:
-                for t, pos in self.postings[word]:
-                    for shift in range(-slack, slack + 1):
-                        votes[t, at - pos + shift].add(word)
+        line = self.line(words)
         best: dict[tuple[str, int], tuple[float, int]] = {}
-        for (t, start), voters in votes.items():
-            label, template, keys = self.templates[t]
-            if len(voters) < min(2, len(set(template))):
+        positions: dict[bytes, list[int]] | None = None
+        for t, (label, template, keys) in enumerate(self.templates):
+            if not template or not all(key in line for key in self.keys[t]):
                 continue
-            share = self.share(words, template, start, slack)
-            if share >= least and all(self.stands(words, key, start - slack, start + len(template) + slack) for key in keys):
-                cell = (label, start // (len(template) + 2 * slack))
-                best[cell] = max(best.get(cell, (0.0, 0)), (share, -start))
+            if positions is None:
+                positions = defaultdict(list)
+                for at, word in enumerate(words):
+                    if word in self.vocabulary:
+                        positions[word].append(at)
+            postings, needed = self.rare(t, least)
+            votes: dict[int, set[int]] = defaultdict(set)
+            for word in postings.keys() & positions.keys():
+                for at in positions[word]:
+                    for pos in postings[word]:
+                        for shift in range(-slack, slack + 1):
+                            votes[at - pos + shift].add(pos)
+            weights = self.weights[t]
+            for start, found in votes.items():
+                if sum(weights[pos] for pos in found) < needed - 1e-9:
+                    continue
+                share = self.share(words, t, start, slack)
+                if share >= least and all(self.stands(words, key, start - slack, start + len(template) + slack) for key in keys):
+                    cell = (label, start // (len(template) + 2 * slack))
+                    best[cell] = max(best.get(cell, (0.0, 0)), (share, -start))
         return sorted((label, max(0, -start), share) for (label, _), (share, start) in best.items())
 
-    def share(self, words: list[bytes], template: list[bytes], start: int, slack: int) -> float:
-        weights = [self.idf.get(w, 0.0) + 0.1 for w in template]
+    def share(self, words: list[bytes], t: int, start: int, slack: int) -> float:
+        template, weights = self.templates[t][1], self.weights[t]
         found = sum(weight for j, (w, weight) in enumerate(zip(template, weights)) if w in words[max(0, start + j - slack) : max(0, start + j + slack + 1)])
         return found / sum(weights)
 
     @staticmethod
     def stands(words: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
-        line = b" " + b" ".join(words[max(0, low) : max(0, high)]) + b" "
+        line = TemplateIndex.line(words[max(0, low) : max(0, high)])
         return b" " + b" ".join(phrase) + b" " in line
 
 
@@ -144,7 +168,7 @@ def licence_word_idf(docs: DataFrame, *, text: str = "text", templates=None) ->
 
 
 def scan_licenses(
-    docs: DataFrame, *, text: str = "text", into: str = "licenses", templates=None, phrases=None, top: int = 12, slack: int = 1, least: float = 0.7
+    docs: DataFrame, *, text: str = "text", into: str = "licenses", templates=None, phrases=None, slack: int = 1, least: float = 0.7
 ) -> DataFrame:
     """`docs` with a struct column `into`: n_words, base phrase places and labels, template places."""
     index = TemplateIndex(licence_word_idf(docs, text=text, templates=templates), templates, phrases)
@@ -156,7 +180,7 @@ def scan_licenses(
         for t in texts:
             words = words_of(t)
             base = sent.value.base(words)
-            places = [{"label": a, "start": b, "share": c} for a, b, c in sent.value.places(words, top, slack, least)]
+            places = [{"label": a, "start": b, "share": c} for a, b, c in sent.value.places(words, slack, least)]
             rows.append((len(words), [a for a, _ in base], [b for _, b in base], places))
         return pd.DataFrame(rows, columns=["n_words", "base_starts", "base_labels", "places"], dtype=object)
 

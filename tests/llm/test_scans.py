@@ -67,6 +67,16 @@ def test_licenses(spark, rng):
     assert license_scan.license_report(documents(spark, docs).limit(0)).count() == 0
 
 
+def test_common_and_many_licenses(spark, rng):
+    notices = {label: text for label, text, _ in license_scan.TEMPLATES if label in ("mit", "bsd-3", "cc0", "unlicense", "mpl-2") and len(text.split()) > 8}
+    other = sorted({w for _, text, _ in license_scan.TEMPLATES for w in text.split()} - set(notices["mit"].split()))
+    docs = [(i, f"{prose(rng, 20)} {notices['mit']} {prose(rng, 5)}" if i % 3 == 0 else f"{prose(rng, 20)} {other[i % len(other)]} {prose(rng, 5)}") for i in range(90)]
+    docs += [(100, " ".join(f"{prose(rng, 30)} {text}" for text in notices.values()))]
+    got = {r.doc_id: r for r in license_scan.license_report(documents(spark, docs)).collect()}
+    assert all(got[i].labels == ("mit" if i % 3 == 0 else "") for i in range(90))
+    assert len(notices) == 5 and got[100].labels == ",".join(sorted(notices)) and got[100].score > 0.99
+
+
 def test_secrets(spark, rng):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
     docs = [(i, f'{prose(rng, 20)} token = "{h}" {prose(rng, 5)}') for i, h in enumerate(hexes[:40])]
