@@ -114,6 +114,19 @@ def test_bare_secrets(spark, rng):
     assert [i for i, v in enumerate(values) if v in got[i]] == [] and all(got[d] == t for d, t in docs[60:])
 
 
+def test_rare_secrets_in_many_findings(spark, rng):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(1500)]
+    docs = [(i, f'token = "{h}"' if i % 500 == 0 else f"commit {h} by zzword") for i, h in enumerate(hexes)]
+    docs += [(2000 + i, "yyword " * i) for i in range(1501)]
+    frame = documents(spark, docs)
+    model = secret_scan.train_secret_model(frame, max_findings=60, max_words=2)
+    assert model.words == ["yyword", "commit"]
+    got = {r.doc_id: len(r.secrets.starts) for r in secret_scan.scan_secrets(frame, model).collect()}
+    assert {d for d, n in got.items() if n} == {0, 500, 1000}
+    again = secret_scan.train_secret_model(frame.repartition(7), max_findings=60, max_words=2)
+    assert again.words == model.words and again.forest.nodes == model.forest.nodes
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
