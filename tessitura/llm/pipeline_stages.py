@@ -23,10 +23,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays, once if it is repeated.
+    """Of each group of near duplicates (word shingles of five, similarity of 0.8 or more) the document of least id stays, once if it is repeated.
     Documents with a null id stay."""
     stages = Stages(spark)
-    found = stages.write(jaccard_join.jaccard_components(docs).where("class_id is not null"))
+    found = stages.write(jaccard_join.jaccard_components(docs, words=5, percent=80).where("class_id is not null"))
     others = stages.write(found.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.select(*COLUMNS).join(sized_broadcast(others), "doc_id", "left_anti")
     repeated = stages.write(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessitura.llm import ann, language_id, quality, toxicity
+from tessitura.llm import ann, language_id, pipeline_stages, quality, toxicity
 
 from .conftest import documents, prose
 
@@ -110,3 +110,23 @@ def test_pipeline(spark, rng, tmp_path):
     assert all("<secret>" in redacted[105 + i] for i in range(4)) and all(redacted[i] == good[i] for i in range(40))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == kept[4] and "taken" in out.columns and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicate_stage(spark, rng):
+    base = [prose(rng, 100) for _ in range(40)]
+    docs = list(enumerate(base))
+    docs += [(100 + i, f"{t} {prose(rng, 10 + i)}") for i, t in enumerate(base[:25])]
+    for i, t in enumerate(base[25:]):
+        w = t.split()
+        for at in rng.sample(range(100), 1 + i % 5):
+            w[at] = "changed"
+        docs.append((200 + i, " ".join(w)))
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in docs)}
+    group = {d: d for d in shingles}
+    for a in shingles:
+        for b in shingles:
+            if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    kept = {r.doc_id for r in pipeline_stages.keep_one_of_each_group(spark, documents(spark, docs), "").collect()}
+    assert kept == set(group.values()) and 45 < len(kept) < 70
