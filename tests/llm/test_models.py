@@ -90,6 +90,23 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(few, few.where("vec_id = 0"), reach=1.0).count() == 2
 
 
+def test_neighbours_outside_tight_groups(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 24))
+    for g in range(100, 700, 200):
+        x[g : g + 200] = x[g] + 0.001 * rng.standard_normal((200, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 100, 5), 100, 320, 680]
+    out = ann.nearest_neighbours(frame, frame.where(F.col("vec_id").isin(asked))).collect()
+    for q in asked:
+        mine = {r.vec_id for r in out if r.query_id == q}
+        order = [i for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        assert len(mine) == 20 and len(mine & set(order)) >= 16, q
+    few = frame.where("vec_id in (0, 20, 30)")
+    for q in (0, 20, 30):
+        assert sorted(r.vec_id for r in ann.nearest_neighbours(few, few.where(F.col("vec_id") == q)).collect()) == sorted({0, 20, 30} - {q})
+
+
 def test_pipeline(spark, rng, tmp_path):
     item = prose(rng, 20)
     good = [prose(rng, 60) for _ in range(40)]
