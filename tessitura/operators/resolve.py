@@ -47,32 +47,39 @@ def resolve_names(names: DataFrame, aliases: DataFrame, composers: DataFrame, *,
 
 def find_existing(identities: DataFrame, composers: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(key, composer_id) by MusicBrainz id, then VIAF, Wikidata, MusicBrainz identifiers, then
-    exact name; the first kind that hits wins, the least id among equals."""
+    exact name; the first kind that hits wins, the least id among equals. Owners of a value are
+    reduced to the least before they meet the identities, so a common value makes no pairs."""
     active = composers.where(F.coalesce(F.col("status"), F.lit("active")) != "merged")
 
     def by_identifier(kind: str, column: str, turn: int) -> DataFrame:
-        owners = identifiers.where(F.col("id_type").isin(kind, {"qid": "wikidata_qid"}.get(kind, kind))).select(F.col("id_value").alias(column), "composer_id")
+        owners = identifiers.where(F.col("id_type").isin(kind, {"qid": "wikidata_qid"}.get(kind, kind))).groupBy(F.col("id_value").alias(column)).agg(F.min("composer_id").alias("composer_id"))
         return identities.where(F.col(column).isNotNull()).join(owners, column).select("key", "composer_id", F.lit(turn).alias("turn"))
 
-    own = active.where("musicbrainz_id is not null").select(F.col("musicbrainz_id").alias("mbid"), F.col("id").alias("composer_id"))
+    own = active.where("musicbrainz_id is not null").groupBy(F.col("musicbrainz_id").alias("mbid")).agg(F.min("id").alias("composer_id"))
     hits = identities.join(own, "mbid").select("key", "composer_id", F.lit(1).alias("turn"))
     for turn, (kind, column) in enumerate((("viaf", "viaf"), ("qid", "qid"), ("mbid", "mbid")), 2):
         hits = hits.unionByName(by_identifier(kind, column, turn))
-    by_name = identities.where("name is not null").join(active.select("name", F.col("id").alias("composer_id")), "name").select("key", "composer_id", F.lit(5).alias("turn"))
+    by_name = identities.where("name is not null").join(active.groupBy("name").agg(F.min("id").alias("composer_id")), "name").select("key", "composer_id", F.lit(5).alias("turn"))
     return hits.unionByName(by_name).groupBy("key").agg(F.min_by("composer_id", F.struct("turn", "composer_id")).alias("composer_id"))
 
 
 def find_candidates(requests: DataFrame, composers: DataFrame, aliases: DataFrame, identifiers: DataFrame) -> DataFrame:
     """request_id and the distinct canonical ids that its name, as alias or name, or any of its
-    identifiers leads to. `requests`: request_id, name, identifiers array<struct<id_type, id_value>>."""
+    identifiers leads to. `requests`: request_id, name, identifiers array<struct<id_type, id_value>>.
+    Requests meet one set of canonical ids per key, not its owners one by one."""
     keyed = requests.select("request_id", normalize_name(F.col("name")).alias("k"), F.explode_outer("identifiers").alias("i"))
     named = keyed.select("request_id", "k").where("k <> ''").distinct()
-    by_alias = named.join(aliases.select(F.col("normalized_alias").alias("k"), F.col("composer_id").alias("id")), "k").select("request_id", "id")
-    by_name = named.join(composers.select(normalize_name(F.col("name")).alias("k"), "id"), "k").select("request_id", "id")
-    values = keyed.select("request_id", F.col("i.id_type").alias("id_type"), F.col("i.id_value").alias("id_value")).where("id_value is not null")
-    by_id = values.join(identifiers.select("id_type", "id_value", F.col("composer_id").alias("id")), ["id_type", "id_value"]).select("request_id", "id")
-    hits = by_alias.unionByName(by_name).unionByName(by_id).distinct().join(canonical_map(composers).map, "id")
-    sets = hits.groupBy("request_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("composer_ids"))
+    values = keyed.select("request_id", F.col("i.id_type").alias("id_type"), F.col("i.id_value").alias("id_value")).where("id_value is not null").distinct()
+    canonical = canonical_map(composers).map
+
+    def met(asked: DataFrame, owners: DataFrame, *key: str) -> DataFrame:
+        sets = owners.join(canonical, "id").groupBy(*key).agg(F.collect_set("canonical_id").alias("ids"))
+        return asked.join(sets, [*key]).select("request_id", "ids")
+
+    hits = met(named, aliases.select(F.col("normalized_alias").alias("k"), F.col("composer_id").alias("id")), "k")
+    hits = hits.unionByName(met(named, composers.select(normalize_name(F.col("name")).alias("k"), "id"), "k"))
+    hits = hits.unionByName(met(values, identifiers.select("id_type", "id_value", F.col("composer_id").alias("id")), "id_type", "id_value"))
+    sets = hits.groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("composer_ids"))
     return requests.select("request_id").join(sets, "request_id", "left").withColumn("composer_ids", F.coalesce("composer_ids", F.array().cast(sets.schema["composer_ids"].dataType)))
 
 

@@ -131,3 +131,30 @@ def test_search_is_literal_and_blank_lists_all(spark):
     assert [(r.id, r.score) for r in found.collect()] == [(2, 100), (1, 90), (3, 40)]
     assert search.search_works(works, "%", others={"composer": 40}).count() == 1 and search.search_works(works, " ", others={}).count() == 3
     assert names.fold_key(F.lit("x")) is not None
+
+
+def test_common_identifiers_make_no_pairs(spark):
+    from tessitura.operators import resolve
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    def reduced(frame):
+        """Of each inner join of the plan, whether its right side is aggregated."""
+        plan = frame._jdf.queryExecution().analyzed()
+        joins = [n for n in nodes(plan) if n.nodeName() == "Join" and n.joinType().toString() == "Inner"]
+        return [any(n.nodeName() == "Aggregate" for n in nodes(j.children().apply(1))) for j in joins]
+
+    composers = spark.createDataFrame([(i, f"n{i % 9}", "active", f"m{i}", None) for i in range(60)], "id long, name string, status string, musicbrainz_id string, merged_into long")
+    ids = composers.selectExpr("id as composer_id", "'viaf' as id_type", "cast(id % 2 as string) as id_value")
+    who = spark.createDataFrame([(i, None, str(i % 3), None, "n4") for i in range(30)], "key long, mbid string, viaf string, qid string, name string")
+    found = resolve.find_existing(who, composers, ids)
+    assert all(reduced(found)) and {r.key: r.composer_id for r in found.collect()} == {i: (0, 1, 4)[i % 3] for i in range(30)}
+    asked = who.selectExpr("key as request_id", "if(key = 2, 'n4', 'none') as name", "array(struct('viaf' as id_type, viaf as id_value)) as identifiers")
+    aliases = spark.createDataFrame([("none5", 3)], "normalized_alias string, composer_id long")
+    found = resolve.find_candidates(asked, composers.drop("musicbrainz_id"), aliases, ids)
+    assert sum(reduced(found)) == 3
+    want = {i: [x for x in range(60) if i % 3 < 2 and x % 2 == i % 3 or i == 2 and x % 9 == 4] for i in range(30)}
+    assert {r.request_id: r.composer_ids for r in found.collect()} == want
