@@ -156,3 +156,19 @@ def test_mixing(spark, rng):
         assert all(0 <= r.taken <= 2 * r.size for r in rows)
         assert abs(sum(r.taken for r in rows) - want[s]) <= 1
     assert mixing.mix_sources(documents(spark, docs).limit(0)).count() == 0
+
+
+def test_mixing_reruns_and_repeated_rows(spark, rng):
+    """Reruns agree to the last digit; rows that are equal in id and size are taken as one would be."""
+    docs = [(i, prose(rng, rng.randrange(0, 60)), "en", rng.choice("abc")) for i in range(300)]
+    docs += [(None, "no id " * 5, "en", "hot")] * 400 + [(7, "same row " * 3, "en", "hot")] * 100 + [(8, "x y", "en", "hot2")] * 300
+    frame = documents(spark, docs)
+    runs = [sorted(map(str, mixing.mix_sources(frame.repartition(n, *key)).collect())) for n, key in ((1, ()), (3, ()), (5, ("text",)), (7, ()), (4, ("doc_id",)))]
+    assert all(r == runs[0] for r in runs[1:]) and len(runs[0]) == len(docs)
+    out = mixing.mix_sources(frame, carry=("text", "rid")).collect()
+    assert sorted((r.doc_id or -1, r.text, r.rid) for r in out) == sorted((d or -1, t, "x") for d, t, *_ in docs)
+    for source in ("a", "hot", "hot2"):
+        rows = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1 and all(r.taken <= 2 * r.size for r in rows)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(frame, carry=("source",))
