@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many narrow rows may be broadcast (about 16 MB of keys).
-BROADCAST_ROWS = 500_000
+#: A side of at most so many bytes may be broadcast, and a row of a few keys counts as so many.
+BROADCAST_BYTES = 32_000_000
+ROW_BYTES = 64
+BROADCAST_ROWS = BROADCAST_BYTES // ROW_BYTES
 
 _own_dirs: dict[str, str] = {}
 
@@ -59,10 +61,19 @@ class Stages:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint where the counted rows are few; else the frame as it is, for a shuffled join."""
+def sized_broadcast(df: DataFrame, rows: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """A broadcast hint where the counted rows, of `row_bytes` each at most, are small; else the frame
+    as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores as long as a column of the frame is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:

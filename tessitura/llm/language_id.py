@@ -3,10 +3,17 @@
 Characters are lower-cased letters; every run of other characters is one blank. The n-grams of
 one to three characters are hashed into `buckets` cells. Training counts cells per language over
 a sample of bounded size, and the log-probability matrix (languages x cells) is broadcast.
-A text's score per language is the log prior plus the sum of its n-grams' log-probabilities.
+The language of a text is that of the largest log prior plus sum of its n-grams' log-probabilities.
+The texts of an Arrow batch are scored together: their n-grams are the rows of a sparse matrix
+(text x cell) in compressed form, which is multiplied with the matrix of log-probabilities.
+
+The score is the posterior of that language, with the evidence scaled to that of at most `EVIDENCE`
+n-grams; otherwise it would be 1 for every longer text. It takes no part in the choice.
 
 A null text, or one without a letter, is `und` with score 0. Null languages are never learned.
-Without training rows every text is `und`. Ties go to the language first in order.
+Without training rows every text is `und`. Ties go to the language first in order. Repeated rows are
+scored alike, and count as often as they stand in the training rows. An empty table gives no rows;
+other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -23,27 +30,34 @@ from ._common import bounded_sample, prepare, remainder
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), dtype=bool, count=0x10000)
 #: Characters worked on at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 20
-#: Evidence is scaled to at most so many n-grams, which keeps scores of long texts from all being 1.
+#: So many n-grams count in a score at most.
 EVIDENCE = 60.0
+#: N-grams that one matrix product takes at most, but for those of one piece of a text.
+PRODUCT = 1 << 22
 
 
 def letters_of(text: str) -> np.ndarray:
     """Code points, lower-cased; each run of non-letters is one blank (32)."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = np.ones(len(code), dtype=bool)
     low = code < 0x10000
-    letter[low] = _LETTER[code[low]]
+    if low.all():
+        letter = _LETTER[code]
+    else:
+        letter = np.empty(len(code), dtype=bool)
+        letter[low] = _LETTER[code[low]]
+        high, at = np.unique(code[~low], return_inverse=True)
+        letter[~low] = np.array([chr(c).isalpha() for c in high])[at]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     return np.where(letter, code, np.uint32(32))[keep | (np.arange(len(code)) == 0)]
 
 
-def ngram_cells(letters: np.ndarray, buckets: int) -> np.ndarray:
-    """Cells of all n-grams of 1, 2 and 3 letters that are not only blanks."""
+def ngram_cells(letters: np.ndarray, buckets: int, known: int = 0) -> np.ndarray:
+    """Cells of all n-grams of 1, 2 and 3 letters, but for single blanks, that end after the first `known` letters."""
     c = letters.astype(np.uint64)
-    blank = letters == 32
-    one = c[~blank]
-    two = (c[:-1] << np.uint64(21) | c[1:]) if len(c) > 1 else c[:0]
+    one = c[known:][letters[known:] != 32]
+    c, two_known = c[max(0, known - 2) :], max(0, min(known, 2) - 1)
+    two = (c[two_known:-1] << np.uint64(21) | c[two_known + 1 :]) if len(c) > two_known + 1 else c[:0]
     three = (c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) if len(c) > 2 else c[:0]
     parts = [one + np.uint64(1 << 63), two + np.uint64(1 << 62), three]
     grams = np.concatenate(parts)
@@ -52,10 +66,15 @@ def ngram_cells(letters: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def text_cells(text: str, buckets: int):
-    """Arrays of cells, a bounded piece of the text at a time; pieces overlap by two letters."""
+    """Arrays of cells, a bounded piece of the text at a time; n-grams over the ends of pieces count once."""
+    held = np.zeros(0, np.uint32)
     for start in range(0, len(text), CHUNK):
-        letters = letters_of(text[max(0, start - 2) : start + CHUNK] if start else text[:CHUNK])
-        yield ngram_cells(letters, buckets)
+        letters = letters_of(text[start : start + CHUNK])
+        if len(held) and held[-1] == 32 and letters[0] == 32:
+            letters = letters[1:]
+        joined = np.concatenate([held, letters])
+        yield ngram_cells(joined, buckets, len(held))
+        held = joined[-2:]
 
 
 def has_letter(text: str) -> bool:
@@ -71,16 +90,39 @@ class LanguageModel:
         total = counts.sum(axis=1, keepdims=True) + alpha * counts.shape[1]
         self.table = np.log((counts + alpha) / total).T.astype(np.float32).copy() if langs else np.zeros((1, 0), np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not has_letter(text):
-            return "und", 0.0
-        total, seen = np.zeros(len(self.langs)), 0
-        for cells in text_cells(text, len(self.table)):
-            total += np.take(self.table, cells, axis=0).sum(axis=0, dtype=np.float64)
-            seen += len(cells)
-        total = self.prior + total * min(1.0, EVIDENCE / max(seen, 1))
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    def predict(self, texts) -> tuple[list[str], list[float]]:
+        """Languages and scores of texts (strings or None)."""
+        total, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        known = [bool(self.langs) and bool(t) and has_letter(t) for t in texts]
+        rows, cells, held = [], [], 0
+
+        def product():
+            """The held rows of the matrix (text x cell) times the matrix of log-probabilities."""
+            starts = np.concatenate([[0], np.cumsum([len(c) for c in cells])[:-1]])
+            sums = np.add.reduceat(np.take(self.table, np.concatenate(cells), axis=0), starts, axis=0, dtype=np.float64)
+            np.add.at(total, rows, sums)
+            np.add.at(seen, rows, [len(c) for c in cells])
+
+        for i, t in enumerate(texts):
+            for piece in text_cells(t, len(self.table)) if known[i] else ():
+                if len(piece):
+                    rows.append(i)
+                    cells.append(piece)
+                    held += len(piece)
+                if held > PRODUCT:
+                    product()
+                    rows, cells, held = [], [], 0
+        if rows:
+            product()
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if self.langs:
+            best = np.argmax(self.prior + total, axis=1)
+            scaled = self.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(seen, 1))[:, None]
+            top = scaled.max(axis=1)
+            share = np.exp(scaled[np.arange(len(texts)), best] - top) / np.exp(scaled - top[:, None]).sum(axis=1) if len(texts) else []
+            for i in np.flatnonzero(known):
+                langs[i], scores[i] = self.langs[best[i]], float(share[i])
+        return langs, scores
 
 
 def train_language_model(
@@ -125,7 +167,8 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text: str = "tex
 
     @pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"], dtype=object)
+        langs, scores = sent.value.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return docs.withColumn(into, predict(F.col(text)))
 
