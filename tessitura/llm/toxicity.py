@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding disguises.
 
-Folding: lower case, compatibility forms undone, look-alike letters of other alphabets replaced, and
-digits or signs that stand for letters replaced where a letter follows. A text is
-then its words (runs of letters), joined by blanks.
+Folding: compatibility forms undone, lower case, marks over letters dropped, look-alike letters of
+other alphabets replaced, and digits or signs that stand for letters replaced before a letter, and
+at the end of a word if nothing else stands there (`!` and `|` end a sentence, not a word). A text
+is then its words (runs of letters), joined by blanks.
 
 The lexicon is learned from labelled documents: a word, or a stem `abc*` that words begin with, is a
 candidate if it stands between many different pairs of neighbours in toxic documents (copies of one
@@ -30,24 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import bounded_sample, prepare, remainder
+from ._common import Stages, bounded_sample, prepare, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
 # Letters of other alphabets that look like Latin ones, and what they look like.
 LOOKALIKES = dict(zip("аеорсхуіјѕԁһӏκοανρτυιєвмтнкґ", "aeopcxyijsdhlkoavptuiebmthkr"))
 # Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
-_SIGNS = re.compile("[" + re.escape("".join(STANDS_FOR)) + r"]{1,3}(?=[^\W\d_])")
+_INSIDE = re.compile("[" + re.escape("".join(STANDS_FOR)) + r"]{1,3}(?=[^\W\d_])")
+_AT_END = re.compile(r"(?<=[^\W\d_])[" + re.escape("".join(c for c in STANDS_FOR if c not in "!|")) + r"]{1,3}(?!\w)")
+_MARKS = re.compile(r"[\u0300-\u036f]+")
 _TABLE = {ord(a): b for a, b in LOOKALIKES.items()}
 # Everyday phrases in which a usual lexicon word is harmless.
 EXCEPTIONS = ("clown fish", "trash bin", "trash can", "pond scum")
 
 
 def fold(text: str) -> str:
-    text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_TABLE)
-    return _SIGNS.sub(lambda m: "".join(STANDS_FOR[c] for c in m.group()), text)
+        text = unicodedata.normalize("NFKC", _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()).translate(_TABLE)
+    text = _INSIDE.sub(_letters, text.lower())
+    return _AT_END.sub(_letters, text)
+
+
+def _letters(found: re.Match) -> str:
+    return "".join(STANDS_FOR[c] for c in found.group())
 
 
 def folded_words(text: str | None) -> list[str]:
@@ -126,12 +133,12 @@ def train_toxicity(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_train: int = 12_000, max_words: int = 2_000, contexts: int = 6, odds: float = 1.5
 ) -> ToxicityModel:
     """Learns lexicon, exceptions and score from at most about `max_train` labelled documents."""
-    prepare(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, max_train).repartition(16).cache()
+    stages = Stages(docs.sparkSession)
+    rows = stages.write(labelled_sample(docs, labels, label, max_train).repartition(16))
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sum(v for k, v in n.items() if k == 1), sum(v for k, v in n.items() if k != 1)
     if not bad or not good:
-        rows.unpersist()
+        stages.drop(rows)
         return ToxicityModel({}, EXCEPTIONS, 1.0 if bad else 0.0)
 
     def neighbours(batches):
@@ -186,7 +193,7 @@ def train_toxicity(
 
     table = rows.mapInPandas(features, "a double, b double, y double").toPandas()
     model.fit(table[["a", "b"]].to_numpy(), table["y"].to_numpy())
-    rows.unpersist()
+    stages.drop(rows)
     return model
 
 
