@@ -119,7 +119,8 @@ def train_quality(statistics: DataFrame, labels: DataFrame, *, label: str = "qua
     chosen = bounded_sample(labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")), F.col("doc_id"), max_train)
     rows = statistics.select("doc_id", "statistics").join(F.broadcast(chosen), "doc_id")
     held = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("c")).cast("binary")) % 3 == 0
-    rows = rows.select("statistics", (F.col("y") == 1).cast("double").alias("y"), held.alias("held")).repartition(parts).cache()
+    stages = Stages(statistics.sparkSession)
+    rows = stages.write(rows.select("statistics", (F.col("y") == 1).cast("double").alias("y"), held.alias("held")).repartition(parts))
 
     def moments(batches):
         s = np.zeros((3, SIZE))
@@ -134,7 +135,7 @@ def train_quality(statistics: DataFrame, labels: DataFrame, *, label: str = "qua
     n = np.stack(sums["n"]).sum(axis=0) if len(sums) else np.zeros(SIZE)
     ones = sums["y"].sum() if len(sums) else 0.0
     if n[0] < 10 or ones in (0.0, n[0]):
-        rows.unpersist()
+        stages.drop(rows)
         return QualityModel(float(ones / n[0]) if n[0] else 0.0)
     model = QualityModel(float(ones / n[0]))
     model.centre = np.stack(sums["s"]).sum(axis=0) / n
@@ -163,7 +164,7 @@ def train_quality(statistics: DataFrame, labels: DataFrame, *, label: str = "qua
 
     seen = rows.where("held").mapInPandas(outputs, "r double, y double").toPandas().sort_values(["r", "y"])
     model.curve = isotonic(seen["r"].to_numpy(), seen["y"].to_numpy()) if len(seen) else (np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
-    rows.unpersist()
+    stages.drop(rows)
     return model
 
 
