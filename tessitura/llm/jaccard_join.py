@@ -25,8 +25,11 @@ compared by their whole feature sets, so no link is lost and none is invented. T
 first each block gives only pairs that span what its maps connect, which joins most components,
 and then every pair that still lies between components.
 
-Nulls are texts without words. Documents with a null id take part, and have as component the least
-id of their component, null if it has none. Repeated documents fall into one class.
+Nulls are texts without words. Ids are of any type that has an order. Documents with a null id take part, and have as component the least
+id of their component, null if it has none. Repeated documents fall into one class. An empty table gives no rows; other
+columns of the documents take no part.
+
+Classes are known by 64 bits: among 10^9 different texts, two that share a class by chance are expected about 0.03 times.
 """
 
 from __future__ import annotations
@@ -192,10 +195,10 @@ def signed_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cid long, sigs binary")
 
 
-def shared_map(signed: DataFrame, total: int) -> tuple[np.ndarray, int]:
+def shared_map(signed: DataFrame, total: int, most_bits: int) -> tuple[np.ndarray, int]:
     """Bit map (and the log of its size) of the signatures that occur at least twice, by their first bits."""
     cut = min(16, max(4, (total // 4_000_000).bit_length()))
-    bits = min(MOST_BITS, max(cut + 3, (16 * total).bit_length()))
+    bits = min(most_bits, max(cut + 3, (16 * total).bit_length()))
 
     def send(batches):
         def pack(held):
@@ -233,9 +236,9 @@ def shared_map(signed: DataFrame, total: int) -> tuple[np.ndarray, int]:
     return found, bits
 
 
-def shared_signatures(signed: DataFrame, total: int) -> DataFrame:
-    """(sig, cid) of the signatures that the map marks."""
-    found, bits = shared_map(signed, total)
+def shared_signatures(signed: DataFrame, total: int, most_bits: int) -> DataFrame:
+    """(sig, cid) of the signatures that the map marks; of all if there are so many that a map would mark most of them."""
+    found, bits = shared_map(signed, total, most_bits) if total <= 4 << most_bits else (np.full(1, 255, np.uint8), 3)
     sent = signed.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
@@ -267,8 +270,8 @@ def feature_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, n long, parity binary, features array<long>")
 
 
-def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list, shared: list, percent: int, spanning: bool):
-    """Pairs (a, b) of different components whose sizes and parity maps allow a link; with `spanning`
+def near_in_block(sig: int, i_block: int, j_block: int, cids: list, comps: list, sizes: list, parities: list, shared: list, owns: list, percent: int, spanning: bool):
+    """Of two blocks (pairs inside one are left to where it is alone), pairs (a, b) of different components whose sizes and parity maps allow a link; with `spanning`
     only so many that they connect what all of them do, else, where their lists `shared` have a bucket
     in common, only in the least such bucket, so that most pairs come from one bucket."""
     parent: dict = {}
@@ -285,11 +288,14 @@ def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list
             sets[i] = frozenset(shared[i])
         return sets[i]
 
-    comp, n = np.array(comps), np.array(sizes)
+    comp, n, own = np.array(comps), np.array(sizes), np.array(owns)
     width = min(map(len, parities)) // 8
     maps = np.concatenate([fold_map(np.frombuffer(p, _U)[None, :], width) for p in parities])
     for i in range(len(cids) - 1):
-        j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        other = comp[i + 1 :] != comp[i]
+        if i_block != j_block:
+            other &= own[i + 1 :] != own[i]
+        j = np.flatnonzero(other) + i + 1
         j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
         if len(j):
             apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
@@ -305,10 +311,10 @@ def near_in_block(sig: int, cids: list, comps: list, sizes: list, parities: list
 
 
 def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
-    """(a, b) from rows (sig, i, j, cid, comp, n, parity, shared) that come grouped by sig, i, j."""
+    """(a, b) from rows (sig, i, j, cid, comp, n, parity, shared, own) that come grouped by sig, i, j."""
 
     def solve(group):
-        return list(near_in_block(group[0][0], *list(zip(*group))[3:], percent, spanning)) if len(group) > 1 else []
+        return list(near_in_block(*group[0][:3], *list(zip(*group))[3:], percent, spanning)) if len(group) > 1 else []
 
     def batch_of(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -316,7 +322,7 @@ def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFra
     def run(batches):
         group, out = [], set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "cid", "comp", "n", "parity", "shared"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "cid", "comp", "n", "parity", "shared", "own"))):
                 if group and row[:3] != group[-1][:3]:
                     out.update(solve(group))
                     group = []
@@ -327,7 +333,7 @@ def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFra
         out.update(solve(group))
         yield batch_of(out)
 
-    return rows.select("sig", "i", "j", "cid", "comp", "n", "parity", "shared").mapInArrow(run, "a long, b long")
+    return rows.select("sig", "i", "j", "cid", "comp", "n", "parity", "shared", "own").mapInArrow(run, "a long, b long")
 
 
 def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -364,16 +370,18 @@ def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) ->
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds; allow more")
     return edges.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
 
 
-def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: int, percent: int, block: int) -> DataFrame | None:
+def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: int, percent: int, block: int, most_bits: int) -> DataFrame | None:
     """(cid, comp) of the classes that links join, directly or by way of others; None without shared signatures."""
-    classed = signed.where("cid is not null").withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
+    classed = signed.where("cid is not null").withColumn("doc_key", F.xxhash64("doc_id"))
     copied = stages.write(classed.groupBy("cid").agg(F.count("*").alias("c"), F.min("doc_key").alias("first_key")).where("c > 1").drop("c"))
     single = classed.join(sized_broadcast(copied), "cid", "left").where("first_key is null or doc_key = first_key")
     total = int(single.agg(F.coalesce(F.sum(F.length("sigs")), F.lit(0))).first()[0]) // 8
-    marked = shared_signatures(single, total)
+    marked = shared_signatures(single, total, most_bits)
     marked = stages.write(marked)
     shared = stages.write(marked.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high"))
     buckets = stages.write(marked.join(shared, "sig").select("sig", "cid", "low", "high").distinct())
@@ -382,7 +390,7 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     n_wanted = wanted.count()
     if not n_wanted:
         return None
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_key"), "text")
+    keyed = docs.select(F.xxhash64("doc_id").alias("doc_key"), "text")
     texts = keyed.join(sized_broadcast(wanted.select("doc_key").distinct(), n_wanted), "doc_key", "left_semi")
     sets = feature_sets(texts, words).join(sized_broadcast(wanted.select("cid"), n_wanted), "cid", "left_semi")
     sets = stages.write(sets.dropDuplicates(["cid"]))
@@ -393,7 +401,7 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
 
     stars = buckets.select(*ordered("cid", "low")).unionByName(buckets.select(*ordered("cid", "high"))).where("a < b").distinct()
     sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
-    apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).withColumn("shared", F.lit(None).cast("array<long>")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
+    apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).withColumn("own", F.col("cid")).withColumn("shared", F.lit(None).cast("array<long>")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
     links = verify(stages, near_pairs(apart, percent), sets, percent)
     comps = stages.write(connected_components(stages, links))
     for spanning in (True, False):
@@ -417,14 +425,14 @@ def mixed_members(stages: Stages, buckets: DataFrame, comps: DataFrame, block: i
 
 
 def mixed_blocks(inside: DataFrame, lists: bool) -> DataFrame:
-    """(sig, cid, comp, shared, i, j): the members in pairs of blocks. `shared` are the `LISTED` least
+    """(sig, cid, comp, shared, own, i, j): the members in pairs of blocks. `shared` are the `LISTED` least
     of the buckets of a class, if `lists`."""
     if lists:
         inside = inside.join(inside.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("shared")), "cid")
     else:
         inside = inside.withColumn("shared", F.lit(None).cast("array<long>"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return inside.select("sig", "cid", "comp", "shared", "own", other).select("sig", "cid", "comp", "shared", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return inside.select("sig", "cid", "comp", "shared", "own", other).select("sig", "cid", "comp", "shared", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def join_components(stages: Stages, comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -437,13 +445,13 @@ def join_components(stages: Stages, comps: DataFrame, links: DataFrame) -> DataF
 
 
 def jaccard_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, block: int = 1024
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, block: int = 1024, most_bits: int = MOST_BITS
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id of its component), class_id."""
     stages = Stages(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = stages.write(signed_documents(rows, words, percent))
-    comps = similar_classes(rows, signed, stages, words, percent, block)
+    comps = similar_classes(rows, signed, stages, words, percent, block, most_bits)
     members = stages.write(signed.drop("sigs"))
     stages.drop(signed)
     least = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
