@@ -14,11 +14,12 @@ vectors.
 Buckets are dealt into parts, and a part into blocks of rows; queries come in blocks too and go only
 to parts that hold a bucket they visit, so a task holds one block of each. Equal vectors are one
 candidate with the k + 1 least ids, which is all that ties can need, and equal queries are searched
-once.
+once. Where different vectors tie at the end of a block's list, those of least ids stay.
 
 Rows with a null id take no part, nor do vectors that are null, empty, zero, or hold null or
-non-finite components; nor vectors of another length than most. A query with fewer than k candidates
-gets all of them. Repeated rows count once. Empty tables give no rows.
+non-finite components. Vectors of different lengths have no inner product: each length is searched
+by itself. A query with fewer than k candidates gets all of them. Repeated rows count once; different vectors under one
+id are candidates of their own. Empty tables give no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Stages, bounded_sample, prepare, sized_broadcast
+from ._common import Stages, bounded_sample, sized_broadcast
 from .jaccard_join import mix
 
 ERF = np.vectorize(math.erf)
@@ -107,12 +108,27 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, e) with finite, non-zero vectors of the usual length, in double precision."""
+    """(vec_id, e) with finite, non-zero vectors in double precision."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where("vec_id is not null and size(e) > 0")
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.where(finite & F.exists("e", lambda x: x != 0))
-    usual = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("e") == (usual[0]["n"] if usual else -1)).distinct()
+    return rows.where(finite & F.exists("e", lambda x: x != 0)).distinct()
+
+
+def best_places(score: np.ndarray, cls: np.ndarray, margin: int, ties: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `margin` largest finite scores of each row; of those that tie with the last one the `ties` of least cls."""
+    if score.shape[1] <= margin:
+        return np.nonzero(np.isfinite(score))
+    last = np.partition(score, score.shape[1] - margin, axis=1)[:, score.shape[1] - margin]
+    spread = 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(last), last, 0.0)))[:, None]
+    row, column = np.nonzero(score > last[:, None] + spread)
+    rows, columns = [row], [column]
+    tied = np.isfinite(score) & (np.abs(score - np.where(np.isfinite(last), last, 0.0)[:, None]) <= spread) & np.isfinite(last)[:, None]
+    for r in np.flatnonzero(tied.any(axis=1)):
+        at = np.flatnonzero(tied[r])
+        at = at[np.argsort(cls[at])][:ties]
+        rows.append(np.full(len(at), r))
+        columns.append(at)
+    return np.concatenate(rows), np.concatenate(columns)
 
 
 def _matrix(column) -> np.ndarray:
@@ -154,11 +170,23 @@ def nearest_neighbours(
     seed: int = 11,
 ) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score. `queries` has the columns of `vectors`."""
-    spark = vectors.sparkSession
-    stages = Stages(spark)
-    prepare(spark)
+    stages = Stages(vectors.sparkSession)
     rows = stages.write(valid_vectors(vectors, vec_id, embedding))
     asked = stages.write(valid_vectors(queries, vec_id, embedding).select(F.col("vec_id").alias("query_id"), "e"))
+    lengths = sorted(r.n for r in asked.select(F.size("e").alias("n")).distinct().collect())
+    found = None
+    for n in lengths or [0]:
+        some = of_one_length(rows.where(F.size("e") == n), asked.where(F.size("e") == n), stages, k, tables, functions, width, reach, sample, block, query_block, seed)
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def of_one_length(
+    rows: DataFrame, asked: DataFrame, stages: Stages, k: int, tables: int, functions: int, width: float, reach: float, sample: int, block: int, query_block: int, seed: int
+) -> DataFrame:
+    """Neighbours among vectors of one length: (vec_id, e) and (query_id, e)."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     near_ids = Window.partitionBy("e").orderBy("vec_id")
     classes = rows.withColumn("turn", F.row_number().over(near_ids)).where(F.col("turn") <= k + 1)
     classes = stages.write(classes.groupBy("e").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.col("ids")[0]))
@@ -168,6 +196,7 @@ def nearest_neighbours(
     norm = classes.agg(F.max(squares)).first()[0]
     chosen = _matrix(bounded_sample(classes.select("cls", "e"), F.col("cls"), sample).toPandas()["e"])
     dim = chosen.shape[1] if len(chosen) else 1
+    wide = 8 * dim + 64
     norm = float(np.sqrt(norm or 1.0))
     model = ProbeHash(dim, norm, tables, functions, width, reach, seed)
     distance = spark.sparkContext.broadcast(NeighbourDistance(chosen, model, n, k))
@@ -177,7 +206,7 @@ def nearest_neighbours(
             if len(batch):
                 yield batch.assign(near=distance.value.of(_matrix(batch["e"])))
 
-    distinct = stages.write(distinct.mapInPandas(estimate, "e array<double>, q long, near double"))
+    distinct = stages.write(distinct.repartition(cores, "q").mapInPandas(estimate, "e array<double>, q long, near double"))
     parts, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
 
     def index(batches):
@@ -224,9 +253,8 @@ def nearest_neighbours(
             visited = np.zeros((len(some), len(buckets)), bool)
             visited[query[hit], at[hit]] = True
             score = np.where(visited[:, bucket], y @ x.T, -np.inf)
-            top = np.argpartition(-score, min(margin, score.shape[1]) - 1, axis=1)[:, :margin]
-            found = np.isfinite(np.take_along_axis(score, top, axis=1))
-            out.append(pd.DataFrame({"q": np.repeat(some["q"].to_numpy(), found.sum(axis=1)), "cls": cls[top[found]]}))
+            at, top = best_places(score, cls, margin, k + 1)
+            out.append(pd.DataFrame({"q": some["q"].to_numpy()[at], "cls": cls[top]}))
         return pd.concat(out)
 
     keys = ["t", "part", "b", "qb"]
@@ -236,7 +264,7 @@ def nearest_neighbours(
 
     def ranked(found: DataFrame) -> DataFrame:
         """(q, l): the k + 1 best of the candidates, equal vectors by their least ids."""
-        scored = found.join(classes, "cls").join(sized_broadcast(distinct.select("q", F.col("e").alias("x")), n_queries), "q").withColumn("score", product_sum)
+        scored = found.join(classes, "cls").join(sized_broadcast(distinct.select("q", F.col("e").alias("x")), n_queries, wide), "q").withColumn("score", product_sum)
         best = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
         scored = scored.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= k + 1).select("q", "score", F.explode("ids").alias("vec_id"))
         ties = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -255,7 +283,7 @@ def nearest_neighbours(
             seen = model.covered(model.unit_queries(y), batch["near"].to_numpy(), np.nan_to_num(far, nan=2.0))
             yield batch[(batch["n"].to_numpy() <= k) | ~(seen >= reach)][["q", "e"]]
 
-    state = distinct.join(sized_broadcast(lists.select("q", F.size("l").alias("n"), F.array_min(F.transform("l", lambda c: c["score"])).alias("last")), n_queries), "q", "left")
+    state = distinct.join(sized_broadcast(lists.select("q", F.size("l").alias("n"), F.array_min(F.transform("l", lambda c: c["score"])).alias("last")), n_queries), "q", "left").repartition(cores, "q")
     state = state.select("q", "e", "near", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("last", F.lit(0.0)).alias("last"))
     again = stages.write(state.mapInPandas(unsure, distinct.select("q", "e").schema))
     n_again = again.count()
@@ -268,8 +296,8 @@ def nearest_neighbours(
             for low in range(0, len(right), 256):
                 some = right.iloc[low : low + 256]
                 score = _matrix(some["e"]) @ x.T
-                top = np.argpartition(-score, min(margin, score.shape[1]) - 1, axis=1)[:, :margin]
-                out.append(pd.DataFrame({"q": np.repeat(some["q"].to_numpy(), top.shape[1]), "cls": cls[top].ravel()}))
+                at, top = best_places(score, cls, margin, k + 1)
+                out.append(pd.DataFrame({"q": some["q"].to_numpy()[at], "cls": cls[top]}))
             return pd.concat(out)
 
         again_blocks = -(-n_again // query_block)
@@ -278,7 +306,7 @@ def nearest_neighbours(
         all_found = rows_of.groupBy("b", "qb").cogroup(asked_of.groupBy("b", "qb")).applyInPandas(rank_all, "q long, cls long")
         exact = ranked(stages.write(all_found))
         lists = stages.write(lists.join(sized_broadcast(again.select("q"), n_again), "q", "left_anti").unionByName(exact))
-    ask = asked.join(sized_broadcast(distinct.select("q", "e"), n_queries), "e").select("query_id", "q")
+    ask = asked.join(sized_broadcast(distinct.select("q", "e"), n_queries, wide), "e").select("query_id", "q")
     own = F.slice(F.filter(F.array_sort("l"), lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-    result = ask.join(sized_broadcast(lists, n_queries), "q").select("query_id", F.posexplode(own).alias("p", "c"))
+    result = ask.join(sized_broadcast(lists, n_queries, 40 * k + 64), "q").select("query_id", F.posexplode(own).alias("p", "c"))
     return result.select("query_id", (F.col("p") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
