@@ -8,17 +8,21 @@ The suffixes of a corpus do not fit one sort, so they are sharded such that equa
 The anchor of a string of `length` bytes is its k-gram of least hash, the leftmost of equals; equal
 strings have equal anchors. The starts with the same anchor are a run, and the bytes that the
 strings from a run cover are its context. Runs whose anchor hash occurs once are done. Runs with
-equal contexts have equal suffixes and share one place in suffix order. What remains, anchors with
-different contexts, lies at the ends of repeats: there a suffix array of the contexts is built by
-prefix doubling up to `length` bytes. Equal strings are neighbours in it, ordered by position, so
-that the previous smaller position is an earlier match (longest previous factor >= length) and the
-next one a later match.
-
-An anchor with more than `split` different contexts is split: each string goes by its own 64-bit
-hash to the place where its equals are counted, so that no task holds the anchor's contexts.
+equal contexts have equal suffixes throughout, so they are one place in suffix order: their first is
+sorted for all of them, and the others have it as an earlier match of their whole length. The contexts
+of an anchor go into one suffix array, built by prefix doubling up to `length` bytes. The positions
+before and after each suffix in that order that are smaller than its own, with the common prefixes on
+the way, give its longest previous factor (LPF); the same with greater positions its longest next
+factor. Both are computed up to `length`. A string has an earlier match if its LPF is `length`, and a
+later one if its longest next factor is.
+
+An anchor with more than `split` different contexts is split, so that no task holds them all: each of
+its strings goes by the 64-bit hash of its bytes to a shard of its own, where only equal strings meet.
+In such a shard every LPF is `length`, but for the first string's, so it is counted and not sorted.
 
 Nulls are empty texts; texts shorter than `length` lose nothing. Repeated rows are documents of
-their own and copies of each other. An empty table gives no rows.
+their own and copies of each other. The order of documents is that of their ids, null first; ids that are no
+whole numbers are ordered by a hash. Other columns take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,8 +124,8 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("rid", "doc_key", "text").mapInArrow(run, "h long, g long, rid long, doc_key long, start long, n long")
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each place by its first `length` bytes (missing bytes are zeros), by prefix doubling."""
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(span, rank of each place by its first `span` bytes), up to `length`, by prefix doubling; missing bytes are zeros."""
 
     def rank(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
@@ -137,13 +141,57 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     for j in range(8):
         keys = (keys << _U(8)) | padded[j : j + n]
     ranks, span = rank(keys), 8
+    levels = [(span, ranks)]
     while span < length:
         step = min(span, length - span)
         later = np.zeros(n, np.int64)
         later[: max(0, n - step)] = ranks[step:] + 1
         ranks = rank(ranks * (n + 2) + later)
         span += step
-    return ranks
+        levels.append((span, ranks))
+    return levels
+
+
+def common_prefixes(data: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of the places a[i] and b[i], up to `length`; both have so many bytes."""
+    found = np.where(levels[-1][1][a] == levels[-1][1][b], length, 0)
+    live = np.flatnonzero(found == 0)
+    a, b, got = a[live], b[live], np.zeros(len(live), np.int64)
+    for span, ranks in reversed(levels[:-1]):
+        got += span * (ranks[a + got] == ranks[b + got])
+    for _ in range(7):
+        got += (got < length) & (data[np.minimum(a + got, len(data) - 1)] == data[np.minimum(b + got, len(data) - 1)])
+    found[live] = np.minimum(got, length - 1)
+    return found
+
+
+def nearest_smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Per place in suffix order the common prefix with the nearest one before it that has a smaller
+    position; 0 without one. `shared` are the common prefixes with the place before.
+
+    All places jump at once: what lies between a place and the one it points to has greater positions,
+    so where that one is greater too, its own pointer is the next to try.
+    """
+    to, prefix = np.arange(-1, len(position) - 1), shared.copy()
+    prefix[:1] = 0
+    live = np.flatnonzero(to >= 0)
+    while len(live):
+        live = live[position[to[live]] > position[live]]
+        prefix[live] = np.minimum(prefix[live], prefix[to[live]])
+        to[live] = to[to[live]]
+        prefix[live[to[live] < 0]] = 0
+        live = live[to[live] >= 0]
+    return prefix
+
+
+def longest_factors(position: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and next factors, by place in suffix order, from positions in the text and common prefixes."""
+    back = np.concatenate([[0], shared[1:][::-1]])[: len(shared)]
+
+    def both(p: np.ndarray) -> np.ndarray:
+        return np.maximum(nearest_smaller(p, shared), nearest_smaller(p[::-1], back)[::-1])
+
+    return both(position), both(-position)
 
 
 def matched_starts(contexts: list[bytes], counts: list[int], places: list[tuple], length: int):
@@ -152,7 +200,9 @@ def matched_starts(contexts: list[bytes], counts: list[int], places: list[tuple]
     `counts` are the numbers of starts; `places` orders the contexts' first starts, as sortable tuples
     whose last item is a position.
     """
-    ranks = prefix_ranks(np.frombuffer(b"".join(contexts), np.uint8), length)
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    levels = prefix_ranks(data, length)
+    ranks = levels[-1][1]
     base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]])
     where = np.concatenate([np.arange(b, b + n) for b, n in zip(base, counts)])
     order = sorted(range(len(contexts)), key=lambda i: places[i])
@@ -160,11 +210,12 @@ def matched_starts(contexts: list[bytes], counts: list[int], places: list[tuple]
     turn[order] = np.arange(len(contexts))
     text_order = np.repeat(turn, counts) * (max(counts) + 1) + np.concatenate([np.arange(n) for n in counts])
     suffix_order = np.lexsort((text_order, ranks[where]))
-    ordered = ranks[where][suffix_order]
-    same = ordered[1:] == ordered[:-1]
+    place = where[suffix_order]
+    shared = np.concatenate([[0], common_prefixes(data, levels, place[:-1], place[1:], length)])
+    previous, following = longest_factors(text_order[suffix_order], shared)
     earlier, later = np.zeros(len(where), bool), np.zeros(len(where), bool)
-    earlier[suffix_order[1:]] = same
-    later[suffix_order[:-1]] = same
+    earlier[suffix_order] = previous >= length
+    later[suffix_order] = following >= length
     cuts = np.cumsum(counts)[:-1]
     return np.split(earlier, cuts), np.split(later, cuts)
 
@@ -175,15 +226,15 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def suffix_matches(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans (rid, low, high) by the suffix arrays of the contexts, which come grouped by h."""
+    """Spans (rid, doc_key, low, high) by the suffix arrays of the contexts, which come grouped by h."""
 
     def solve(rows):
         earlier, later = matched_starts([r[4] for r in rows], [r[5] for r in rows], [(r[1], r[2], r[3]) for r in rows], length)
         out = []
         for row, e, s in zip(rows, earlier, later):
             if row[6] == 1 or keep_first:
-                out += [(row[2], row[3] + a, row[3] + b - 1 + length) for a, b in _ranges(e if keep_first else e | s)]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["rid", "low", "high"])
+                out += [(row[2], row[1], row[3] + a, row[3] + b - 1 + length) for a, b in _ranges(e if keep_first else e | s)]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], ["rid", "doc_key", "low", "high"])
 
     def run(batches):
         rows, held = [], 0
@@ -198,7 +249,7 @@ def suffix_matches(contexts: DataFrame, length: int, keep_first: bool) -> DataFr
         if rows:
             yield solve(rows)
 
-    return contexts.select("h", "doc_key", "rid", "start", "context", "n", "copies").mapInArrow(run, "rid long, low long, high long")
+    return contexts.select("h", "doc_key", "rid", "start", "context", "n", "copies").mapInArrow(run, "rid long, doc_key long, low long, high long")
 
 
 def string_hashes(contexts: DataFrame, length: int) -> DataFrame:
@@ -237,11 +288,11 @@ def cut_spans(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, stages: Stages, length: int, keep_first: bool, split: int) -> DataFrame:
-    """Spans (rid, low, high) to remove; they may overlap."""
-    runs = document_runs(rows, length)
+    """Spans (rid, doc_key, low, high) to remove; they may overlap."""
+    runs = stages.write(document_runs(rows, length))
     shared = stages.write(runs.groupBy("h").agg(F.count("*").alias("c"), F.min("g").alias("a"), F.max("g").alias("b")).where("c > 1"))
     found = stages.write(runs.join(shared.select("h", (F.col("a") < F.col("b")).alias("differ")), "h"))
-    stages.drop(shared)
+    stages.drop(shared, runs)
     contexts = stages.write(
         found.groupBy("h", "g", "differ").agg(F.count("*").alias("copies"), F.min(F.struct("doc_key", "rid", "start", "n")).alias("first"))
     )
@@ -249,14 +300,14 @@ def repeated_spans(rows: DataFrame, stages: Stages, length: int, keep_first: boo
     whole = found.join(copied, ["h", "g"])
     if keep_first:
         whole = whole.where((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start")))
-    whole = whole.select("rid", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + length).alias("high"))
+    whole = whole.select("rid", "doc_key", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + length).alias("high"))
 
     many = contexts.where("differ").groupBy("h").agg(F.count("*").alias("contexts"))
     refs = contexts.where("differ").join(many, "h").select("h", "copies", (F.col("contexts") > split).alias("split"), "first.*")
-    per_doc = stages.write(refs.groupBy("rid").agg(F.collect_list(F.struct("h", "copies", "split", "doc_key", "start", "n")).alias("refs")))
-    texts = rows.select("rid", "text").join(sized_broadcast(per_doc.select("rid")), "rid", "left_semi").dropDuplicates(["rid"])
-    slices = texts.join(per_doc, "rid").select("rid", F.col("text").cast("binary").alias("data"), F.explode("refs").alias("r")).select(
-        "rid", "r.*", F.substring("data", F.col("r.start").cast("int") + 1, (F.col("r.n") - 1 + length).cast("int")).alias("context")
+    per_doc = stages.write(refs.groupBy("rid", "doc_key").agg(F.collect_list(F.struct("h", "copies", "split", "start", "n")).alias("refs")))
+    texts = rows.select("rid", "doc_key", "text").join(sized_broadcast(per_doc.select("rid", "doc_key")), ["rid", "doc_key"], "left_semi").dropDuplicates(["rid", "doc_key"])
+    slices = texts.join(per_doc, ["rid", "doc_key"]).select("rid", "doc_key", F.col("text").cast("binary").alias("data"), F.explode("refs").alias("r")).select(
+        "rid", "doc_key", "r.*", F.substring("data", F.col("r.start").cast("int") + 1, (F.col("r.n") - 1 + length).cast("int")).alias("context")
     )
     slices = stages.write(slices)
     parts = slices.where("not split").repartition("h").sortWithinPartitions("h")
@@ -267,7 +318,7 @@ def repeated_spans(rows: DataFrame, stages: Stages, length: int, keep_first: boo
     hot = strings.join(equal, ["h", "f"])
     if keep_first:
         hot = hot.where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
-    hot = stages.write(hot.select("rid", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
+    hot = stages.write(hot.select("rid", "doc_key", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
     spans = stages.write(whole.unionByName(ends).unionByName(hot).distinct())
     stages.drop(found, contexts, per_doc, slices, ends, hot)
     return spans
@@ -280,21 +331,23 @@ def remove_repeats(
     if keep not in ("first", "none") or length <= GRAM:
         raise ValueError(f"keep is 'first' or 'none', and length is over {GRAM}")
     stages = Stages(docs.sparkSession)
+    whole_numbers = docs.select(F.col(doc_id)).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    order = F.col(doc_id).cast("long") if whole_numbers else F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.lit("order"), doc_id))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_key"),
+        F.coalesce(order, F.lit(-(2**63))).alias("doc_key"),
         F.xxhash64(doc_id, text).alias("rid"),
     )
     spans = repeated_spans(rows, stages, length, keep == "first", split)
-    per_doc = stages.write(spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    per_doc = stages.write(spans.groupBy("rid", "doc_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     stages.drop(spans)
-    n = per_doc.count()
+    n, both = per_doc.count(), ["rid", "doc_key"]
     if n > BROADCAST_ROWS:
-        return cut_spans(rows.join(per_doc, "rid", "left"), length)
-    ids = F.broadcast(per_doc.select("rid"))
-    whole = rows.join(ids, "rid", "left_anti").withColumn("spans", F.expr("cast(null as array<struct<low: bigint, high: bigint>>)"))
-    cut = rows.join(ids, "rid", "left_semi").join(per_doc, "rid")
+        return cut_spans(rows.join(per_doc, both, "left"), length)
+    ids = F.broadcast(per_doc.select(both))
+    whole = rows.join(ids, both, "left_anti").withColumn("spans", F.expr("cast(null as array<struct<low: bigint, high: bigint>>)"))
+    cut = rows.join(ids, both, "left_semi").join(per_doc, both)
     return cut_spans(whole.select("doc_id", "text", "spans"), length).unionByName(cut_spans(cut.select("doc_id", "text", "spans"), length))
 
 
