@@ -79,9 +79,9 @@ def entropy_balance(stages: Stages, histogram: DataFrame, targets: DataFrame, mo
     state = stages.write(
         targets.where(F.col("source_size") > 0)
         .withColumn("mean", F.col("source_size") / F.col("docs"))
-        .withColumn("tilt", F.lit(0.0))
         .withColumn("low", F.when(short, F.lit(-1e12)).otherwise(0.0))
         .withColumn("high", F.when(short, 0.0).otherwise(F.lit(math.log(most)) * F.col("mean") / F.col("least")))
+        .withColumn("tilt", F.when(F.col("target") >= F.lit(float(most)) * F.col("source_size"), F.col("high")).otherwise(F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-9)))))
     )
     sources = state.count()
     for _ in range(rounds):
