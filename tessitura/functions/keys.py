@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .names import strip, text
 
 # File endings and formats, media types, kinds of identifiers.
@@ -161,14 +162,13 @@ def identity_payload(reason: Column, evidence: Column) -> Column:
 
 def number_rows(df: DataFrame, order: list[str], start: int, into: str = "id", parts: int = 32) -> DataFrame:
     """Consecutive numbers from start + 1 in the given unique order, without one task for all rows:
-    range partitions, a running sum of their sizes, and a number inside each."""
-    from pyspark import StorageLevel
-
-    cut = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    range partitions, a running sum of their sizes, and a number inside each. The parts are written to
+    the shared folder first, so that a lost executor can't cut them anew."""
+    cut = stage(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return cut.join(F.broadcast(offsets), "_p").withColumn(into, (F.lit(start) + F.col("_o") + inside).cast("long")).drop("_p", "_o")
+    return cut.join(offsets, "_p").withColumn(into, (F.lit(start) + F.col("_o") + inside).cast("long")).drop("_p", "_o")
 
 

@@ -118,10 +118,11 @@ def strip(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
+    """Letters without their accents, ligatures spelled out; plain ASCII passes untouched."""
     bare = F.translate(c, ACCENTED, BARE)
     for sign, spelled in SPELLED_OUT.items():
         bare = F.replace(bare, F.lit(sign), F.lit(spelled))
-    return F.regexp_replace(bare, r"\p{M}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(bare, r"\p{M}+", "")).otherwise(c)
 
 
 def fold_key(c: Column) -> Column:
@@ -235,7 +236,7 @@ def _judge_tokens(tokens: Column) -> Column:
 
 
 def _marked_part(s: Column) -> Column:
-    """What the marks in a text point to as a name; null without a mark, '' if nothing is there."""
+    """What the marks in a text point to as a name; null without a mark, blank if nothing is there."""
     lower = F.lower(s)
     after = [F.when(F.instr(lower, m) > 0, F.substr(s, F.instr(lower, m) + len(m))) for m in NAME_FOLLOWS]
     arranged = r"(?iuUs)^(.*?)\barr(?:\.|anged)"
@@ -250,7 +251,7 @@ def extract_name(c: Column, person: Callable[[Column], Column] | None = None) ->
     `person`, a vectorised recogniser, is asked where no mark is found; leave it out and it is skipped.
     """
     s = strip(text(c))
-    marked = F.regexp_replace(_marked_part(s), r"^[ \[\]()\t.:]+|[ \[\]()\t.:]+$", "")
+    marked = F.regexp_replace(F.nullif(_marked_part(s), F.lit("")), r"^[ \[\]()\t.:]+|[ \[\]()\t.:]+$", "")
     if person is not None:
         marked = F.coalesce(marked, person(s))
     found = F.coalesce(*(let(clean_name(x), lambda o: F.when((o != "") & validate_name(o)["valid"], o)) for x in (marked, s)))

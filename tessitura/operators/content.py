@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ class Expanded(NamedTuple):
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
-    """(archive_id, relative_path, sha256, size) of the TAR archives (id, content: binary). Members are
-    hashed block by block; their bytes are never rows."""
+    """(archive_id, relative_path, sha256, size) of small TAR archives (id, content: binary). Members are
+    hashed block by block; their bytes are never rows. `archive_members_at` reads large ones."""
 
     def run(batches):
         for batch in batches:
@@ -77,6 +79,41 @@ def archive_members(archives: DataFrame) -> DataFrame:
     return archives.select("id", "content").mapInPandas(run, "archive_id long, relative_path string, sha256 string, size long")
 
 
+def archive_members_at(archives: DataFrame, opener: Callable | None = None) -> DataFrame:
+    """As `archive_members`, for archives of any size: (id, path). Each task reads its archives as streams,
+    a block at a time. `opener` takes a path and gives a binary file; by default the path is a URI
+    that pyarrow's file systems know (local, HDFS, S3, GCS)."""
+
+    def run(batches):
+        def opened(path: str):
+            store, at = pafs.FileSystem.from_uri(path)
+            return store.open_input_stream(at)
+
+        rows = []
+
+        def frame():
+            return pd.DataFrame(rows, columns=["archive_id", "relative_path", "sha256", "size"])
+
+        for batch in batches:
+            for archive_id, path in zip(batch["id"], batch["path"]):
+                try:
+                    with (opener or opened)(path) as source, tarfile.open(fileobj=source, mode="r|*") as tar:
+                        for member in tar:
+                            if member.isfile():
+                                digest, inner = hashlib.sha256(), tar.extractfile(member)
+                                while piece := inner.read(BLOCK):
+                                    digest.update(piece)
+                                rows.append((archive_id, member.name, digest.hexdigest(), member.size))
+                                if len(rows) == 10_000:
+                                    yield frame()
+                                    rows.clear()
+                except tarfile.TarError:
+                    continue
+        yield frame()
+
+    return archives.select("id", "path").mapInPandas(run, "archive_id long, relative_path string, sha256 string, size long")
+
+
 def expand_archives(archives: DataFrame, entries: DataFrame, members: DataFrame) -> Expanded:
     """Entries become ready or failed by the members found, files are one per hash, archives
     materialized (any entry ready), failed (all failed) or imported (no entries)."""
@@ -87,7 +124,7 @@ def expand_archives(archives: DataFrame, entries: DataFrame, members: DataFrame)
     files = done.where("status = 'ready'").groupBy("sha256").agg(F.min(basename(F.col("relative_path"))).alias("name"), F.first("size").alias("size_bytes"))
     per_archive = done.groupBy(F.col("archive_id").alias("id")).agg(F.count_if(F.col("status") == "ready").alias("_ready"))
     status = F.when(F.col("_ready") > 0, "materialized").when(F.col("_ready") == 0, "failed").otherwise("imported")
-    return Expanded(done, files, archives.drop("status", "content").join(per_archive, "id", "left").withColumn("status", status).drop("_ready"))
+    return Expanded(done, files, archives.drop("status", "content", "path").join(per_archive, "id", "left").withColumn("status", status).drop("_ready"))
 
 
 class Mirrored(NamedTuple):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import catalogue_prefix, normalize_name
+from ..sources.staging import stage, unstage
 
 
 class Canonical(NamedTuple):
@@ -17,19 +18,24 @@ class Canonical(NamedTuple):
 
 def canonical_map(nodes: DataFrame, *, id: str = "id", status: str = "status", parent: str = "merged_into", rounds: int = 40) -> Canonical:
     """Every node's first non-merged ancestor (id, canonical_id). Chains that break or go in a
-    circle are rejects. Pointers double each round, so a chain of n links takes log2(n) rounds, and
-    each round's table is checkpointed to the shared folder where one is set."""
+    circle are rejects. Pointers double each round, so a chain of n links takes log2(n) rounds; a round
+    that finishes no chain leaves only broken ones and circles. Each round's table is written to the shared folder."""
     merged = F.col(status) == "merged"
     state = nodes.select(F.col(id).alias("id"), F.when(merged, F.col(parent)).otherwise(F.col(id)).alias("at"), (~F.coalesce(merged, F.lit(False))).alias("done"))
-    shared = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    state = stage(state)
+    finished = state.where("done").count()
     for _ in range(rounds):
         hop = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
         open_rows = state.where("not done and at is not null")
         moved = open_rows.join(hop, "at", "left").select("id", F.col("next").alias("at"), F.coalesce("next_done", F.lit(False)).alias("done"))
-        state = state.where("done or at is null").unionByName(moved)
-        state = state.checkpoint() if shared else state.persist()
-        if not state.where("not done and at is not null and at <> id").limit(1).count():
+        after = stage(state.where("done or at is null").unionByName(moved))
+        unstage(state)
+        state, before = after, finished
+        finished = state.where("done").count()
+        if finished == before:
             break
+    else:
+        raise RuntimeError(f"chains are still open after {rounds} rounds; allow more")
     return Canonical(state.where("done").select("id", F.col("at").alias("canonical_id")), state.where("not done").select("id"))
 
 
@@ -86,7 +92,7 @@ def find_candidates(requests: DataFrame, composers: DataFrame, aliases: DataFram
 def infer_from_catalogue(refs: DataFrame, catalogues: DataFrame, *, ref: str = "ref") -> DataFrame:
     """The composer of a catalogue reference, where exactly one catalogue has its prefix."""
     single = catalogues.groupBy(F.lower("prefix").alias("_p")).agg(F.count("*").alias("_n"), F.first("composer").alias("composer")).where("_n = 1").drop("_n")
-    return refs.withColumn("_p", F.lower(catalogue_prefix(F.col(ref)))).join(F.broadcast(single), "_p", "left").drop("_p")
+    return refs.withColumn("_p", F.lower(catalogue_prefix(F.col(ref)))).join(single, "_p", "left").drop("_p")
 
 
 def has_alias_like(composers: DataFrame, aliases: DataFrame, q: str) -> DataFrame:

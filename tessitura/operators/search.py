@@ -144,7 +144,7 @@ def assemble_works(works: DataFrame, entries: DataFrame, genres: DataFrame, inst
 
 def work_record(detail: DataFrame, unknown: str = "Unknown composer") -> DataFrame:
     """Id, title, composer label, metadata, and available resources with type and link."""
-    tags = F.filter(F.transform(F.split(text(F.col("tags")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(text(F.col("tags")), ","), lambda t: F.trim(t)), lambda t: t != "")
     name = lambda r: F.coalesce(r["file_id"].cast("string"), F.concat(F.lit("res-"), basename(r["relative_path"])))
     resources = F.transform(
         F.filter("resources", lambda r: r["available"]),
@@ -158,7 +158,7 @@ def work_record(detail: DataFrame, unknown: str = "Unknown composer") -> DataFra
 def file_details(files: DataFrame, locations: DataFrame, providers: DataFrame) -> DataFrame:
     """Files with their stored places; available if not failed and stored somewhere."""
     stored = locations.where("status = 'stored'").select("file_id", "provider_id", "object_key")
-    named = stored.join(F.broadcast(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))), "provider_id", "left")
+    named = stored.join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider")), "provider_id", "left")
     places = named.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("provider_id", "provider", "object_key"))).alias("places"))
     out = files.join(places, "id", "left").withColumn("places", F.coalesce("places", F.array().cast(places.schema["places"].dataType)))
     return out.withColumn("available", (F.coalesce(F.col("status"), F.lit("")) != "failed") & (F.size("places") > 0))

@@ -11,6 +11,7 @@ from ..functions.keys import content_key, external_key, number_rows, uuid5
 from ..functions.names import clean_name, extract_name, is_mojibake, normalize_name, strip, text
 from ..operators.resolve import infer_from_catalogue, resolve_names
 from ..operators.tables import bulk_set, first_per_key, insert_ignore, last_per_key, replace_list, upsert
+from ..sources.staging import stage
 
 UNKNOWN_ID = "00000000-0000-0000-0000-000000000000"
 
@@ -49,8 +50,9 @@ class Index(NamedTuple):
 
 def build_index(rows: DataFrame, archives: DataFrame, entries: DataFrame) -> Index:
     """Archives by name (the first url wins), entries by (archive, path); a new import overwrites
-    logical id, composer and title and leaves the rest. `rows` as read_index_csv gives them."""
-    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    logical id, composer and title and leaves the rest. `rows` as read_index_csv gives them; their order
+    is that of their column `pos`, or without one that of their partitions."""
+    placed = rows.withColumn("_at", F.col("pos") if "pos" in rows.columns else F.struct(F.monotonically_increasing_id()))
     named = first_per_key(placed, ["archive_name"], ["_at"]).select(F.col("archive_name").alias("name"), F.col("archive_url").alias("url"))
     fresh = named.join(archives.select("name"), "name", "left_anti")
     start = archives.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -98,10 +100,11 @@ class Populated(NamedTuple):
 
 def populate_composers(names: DataFrame, composers: DataFrame, aliases: DataFrame, provider: str | None = None, *, name: str = "name") -> Populated:
     """Names grouped by the normal form of what is extracted from them; the usual spelling gives
-    the canonical name. Groups that resolve already are reused. Heavy functions see each spelling once."""
+    the canonical name. Groups that resolve already are reused. Heavy functions see each spelling once, and what they give is written."""
     raw = names.select(F.col(name).alias("raw")).where(~F.lower(strip(text(F.col(name)))).isin("", "na", "nan", "null", "none", "-"))
     counted = raw.groupBy("raw").agg(F.count("*").alias("n")).where(~is_mojibake(F.col("raw")))
     keyed = counted.withColumn("found", F.coalesce(extract_name(F.col("raw")), clean_name(F.col("raw")))).withColumn("normalized_alias", normalize_name(F.col("found"))).where("normalized_alias <> ''")
+    keyed = stage(keyed.select("raw", "n", "found", "normalized_alias"))
     usual = first_per_key(keyed, ["normalized_alias"], [F.desc("n"), F.desc(F.length("raw")), "raw"])
     groups = usual.select("normalized_alias", F.col("found").alias("canonical"))
     known = groups.join(aliases.select("normalized_alias").distinct(), "normalized_alias", "left_semi")

@@ -13,8 +13,11 @@ from ..functions.names import (
 )
 from ..operators.resolve import find_candidates, find_existing
 from ..operators.tables import edit_rows, first_per_key, flag_conflicts, insert_ignore
+from ..sources.staging import stage
 from .catalogue import UNKNOWN_ID
 
+# What stands before the identifier in the id of an entity made by matching.
+MATCH_PREFIX = "250k:"
 # Resolver outcomes.
 RESOLVED = ["resolved_by_mbid", "resolved_by_viaf", "resolved_by_qid_plus_evidence", "resolved_by_name_dates"]
 RESOLVABLE = [*RESOLVED, "resolved_by_prolific", "matched_existing"]
@@ -72,19 +75,25 @@ def apply_merges(composers: DataFrame, aliases: DataFrame, identifiers: DataFram
 class Moved(NamedTuple):
     aliases: DataFrame
     works: DataFrame
+    rejects: DataFrame
 
 
 def move_aliases(aliases: DataFrame, works: DataFrame, moves: DataFrame) -> Moved:
-    """Moves (composer_id, alias, target): the alias goes, and works with that owner and spelling follow."""
-    m = moves.select("composer_id", "alias", F.col("target").alias("_t"))
-    a = aliases.join(m, ["composer_id", "alias"], "left").withColumn("composer_id", F.coalesce("_t", "composer_id")).select(*aliases.columns)
+    """Moves (composer_id, alias, target): the alias goes, and works with that owner and spelling follow.
+    A move given twice is one; moves of one alias to several targets are rejects. An alias that the
+    target has already is dropped; of several moved ones with one normal form the first by spelling stays."""
+    asked = moves.groupBy("composer_id", "alias").agg(F.min("target").alias("_t"), (F.count_distinct("target") > 1).alias("_several"))
+    m, keys = asked.where("not _several and _t is not null").drop("_several"), ["composer_id", "normalized_alias"]
+    seen = aliases.join(m, ["composer_id", "alias"], "left")
+    moved = seen.where("_t is not null").withColumn("composer_id", F.col("_t")).select(*aliases.columns)
+    stayed = seen.where("_t is null").select(*aliases.columns)
     w = works.join(m.withColumnRenamed("alias", "composer"), ["composer_id", "composer"], "left").withColumn("composer_id", F.coalesce("_t", "composer_id"))
-    return Moved(a.dropDuplicates(["composer_id", "normalized_alias"]), w.select(*works.columns))
+    return Moved(insert_ignore(stayed, first_per_key(moved, keys, ["alias"]), keys), w.select(*works.columns), asked.where("_several").select("composer_id", "alias"))
 
 
 def promote_aliases(composers: DataFrame, aliases: DataFrame, works: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Picks (composer_id, alias) become entities of their own, with the works of that spelling."""
-    made = picks.withColumn("target", uuid5(F.concat(F.lit("alias:"), normalize_name(F.col("alias")))))
+    made = picks.select("composer_id", "alias").distinct().withColumn("target", uuid5(F.concat(F.lit("alias:"), normalize_name(F.col("alias")))))
     new = made.select(F.col("target").alias("id"), F.col("alias").alias("name"), F.lit("active").alias("status"), F.lit(True).alias("visible")).dropDuplicates(["id"])
     moved = move_aliases(aliases, works, made)
     return insert_ignore(composers, new, ["id"]), moved.aliases, moved.works
@@ -124,12 +133,36 @@ class Cleaned(NamedTuple):
     composers: DataFrame
     merges: DataFrame
     counts: DataFrame
+    aliases: DataFrame | None = None
+    works: DataFrame | None = None
 
 
-def clean_names(composers: DataFrame) -> Cleaned:
+def clean_names(composers: DataFrame, aliases: DataFrame | None = None, works: DataFrame | None = None, rounds: int = 10) -> Cleaned:
     """Cleans names of active entities. Of those whose clean names are equal (case and accents
     aside) one stays: an entity that had the clean name already, else the least id; the others are
-    merges (source, target, operation_id) for apply_merges."""
+    merges (source, target, operation_id).
+
+    With aliases and works the merges are applied to all three, and all is done again until nothing
+    changes; counts and merges are those of all rounds. Without them, merges are for apply_merges."""
+    if aliases is None or works is None:
+        return _clean_once(composers)
+    nobody = aliases.select("composer_id", F.lit("").alias("id_type"), F.lit("").alias("id_value")).limit(0)
+    merges = counts = None
+    for _ in range(rounds):
+        once = _clean_once(composers)
+        renamed, merged = once.counts.first()
+        merges = once.merges if merges is None else merges.unionByName(once.merges)
+        counts = once.counts if counts is None else counts.unionByName(once.counts)
+        if not renamed and not merged:
+            break
+        done = apply_merges(once.composers, aliases, nobody, works, once.merges)
+        composers, aliases, works = stage(done.composers), stage(done.aliases), stage(done.works)
+    else:
+        raise RuntimeError(f"names still change after {rounds} rounds; allow more")
+    return Cleaned(composers, merges, counts.agg(F.sum("renamed").alias("renamed"), F.sum("merged").alias("merged")), aliases, works)
+
+
+def _clean_once(composers: DataFrame) -> Cleaned:
     active = composers.where("status = 'active'").withColumn("clean", clean_name(F.col("name"))).where("clean <> ''").withColumn("key", fold_key(F.col("clean")))
     ranked = active.withColumn("_new", (F.col("name") != F.col("clean")).cast("int"))
     heads = first_per_key(ranked, ["key"], ["_new", "id"]).select("key", F.col("id").alias("target"))
@@ -251,7 +284,7 @@ def match_works(works: DataFrame, responses: DataFrame, composers: DataFrame, al
     n = F.coalesce(F.size("composer_ids"), F.lit(0))
     rows = rows.withColumn("outcome", F.coalesce("early", F.when(n == 1, "matched_existing").when(n > 1, "ambiguous_maestro").otherwise("composer_created")))
     anchor = F.get("identifiers", F.lit(0))
-    new_id = uuid5(F.concat(F.lit("250k:"), anchor["id_type"], F.lit(":"), anchor["id_value"]))
+    new_id = uuid5(F.concat(F.lit(MATCH_PREFIX), anchor["id_type"], F.lit(":"), anchor["id_value"]))
     rows = rows.withColumn("assigned", F.when(F.col("outcome") == "matched_existing", F.get("composer_ids", F.lit(0))).when(F.col("outcome") == "composer_created", new_id))
     created = first_per_key(rows.where("outcome = 'composer_created'"), ["assigned"], ["id"])
     made = created.select(F.col("assigned").alias("id"), F.col("composer").alias("name"), F.lit("active").alias("status"), F.lit(True).alias("visible"))
@@ -288,15 +321,17 @@ class LookedUp(NamedTuple):
     merges: DataFrame
     aliases: DataFrame
     counts: DataFrame
+    works: DataFrame | None = None
 
 
 LOOKUP = "array<struct<id: string, name: string, type: string, score: int, aliases: array<struct<name: string>>>>"
 
 
-def enrich_from_lookups(composers: DataFrame, aliases: DataFrame, lookups: DataFrame) -> LookedUp:
+def enrich_from_lookups(composers: DataFrame, aliases: DataFrame, lookups: DataFrame, works: DataFrame | None = None) -> LookedUp:
     """Cached answers (query_key, payload: JSON). Persons only; the first whose normal name is the
     entity's, else the best score. A canonical name that another entity has gives a merge, else the
-    entity is renamed; both get the id and are correct. Merges are for apply_merges."""
+    entity is renamed; both get the id and are correct. With works, the merges are applied to
+    entities, aliases and works; without, they are for apply_merges."""
     parsed = lookups.select(F.col("query_key").alias("name"), F.posexplode(F.from_json("payload", LOOKUP)).alias("at", "c")).where("lower(c.type) = 'person'")
     exact = (normalize_name(F.col("c.name")) == normalize_name(F.col("name"))).cast("int")
     best = first_per_key(parsed.withColumn("exact", exact).withColumn("rank", F.when(F.col("exact") == 1, F.lit(0)).otherwise(-F.coalesce("c.score", F.lit(0)))), ["name"], [F.desc("exact"), "rank", "at"])
@@ -313,7 +348,12 @@ def enrich_from_lookups(composers: DataFrame, aliases: DataFrame, lookups: DataF
     targets = merges.join(judged.select(F.col("id").alias("source"), "mbid"), "source").groupBy(F.col("target").alias("id")).agg(F.min("mbid").alias("musicbrainz_id"), F.lit("correct").alias("review_status"))
     new_aliases, _ = add_aliases(aliases, judged.select(F.col("target").alias("composer_id"), F.explode(F.concat(F.array("canonical"), F.coalesce("names", F.array().cast("array<string>")))).alias("alias")))
     counts = rows.agg(F.count("*").alias("looked_up"), F.count_if(F.col("canonical").isNull()).alias("no_match")).crossJoin(edits.agg(F.count("*").alias("renamed"))).crossJoin(merges.agg(F.count("*").alias("merged")))
-    return LookedUp(edit_rows(edit_rows(composers, targets, "id"), edits, "id"), merges, new_aliases, counts)
+    edited = edit_rows(edit_rows(composers, targets, "id"), edits, "id")
+    if works is None:
+        return LookedUp(edited, merges, new_aliases, counts)
+    nobody = aliases.select("composer_id", F.lit("").alias("id_type"), F.lit("").alias("id_value")).limit(0)
+    done = apply_merges(edited, new_aliases, nobody, works, merges)
+    return LookedUp(done.composers, merges, done.aliases, counts, done.works)
 
 
 class Ingested(NamedTuple):

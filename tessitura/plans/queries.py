@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, names
@@ -124,10 +124,10 @@ def p4_count_composers(t):
     return search.count_composers(composers, aliases, q="0001", visible="hidden")
 
 
-@query("SELECT o_orderkey AS id, o_custkey AS composer_id FROM orders WHERE o_custkey % 10 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) BETWEEN 2 AND 3")
+@query("SELECT o_orderkey AS id, o_custkey AS composer_id FROM orders SEMI JOIN customer ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) BETWEEN 2 AND 3")
 def p6_works_of(t):
     works = t("orders").selectExpr("o_orderkey as id", "o_custkey as composer_id")
-    return search.works_of(works, t("customer").selectExpr("c_custkey as composer_id").where("composer_id % 10 = 0"), per_key_limit=2, per_key_offset=1).select("id", "composer_id")
+    return search.works_of(works, t("customer").selectExpr("c_custkey as composer_id"), per_key_limit=2, per_key_offset=1).select("id", "composer_id")
 
 
 @query("SELECT n_nationkey AS id, n_name AS composer FROM nation WHERE contains(lower(regexp_replace(n_name, '[_]', ' ')), 'ion 1')")
@@ -142,12 +142,12 @@ def p8_keyset(t):
 
 
 @query(
-    "WITH q AS (SELECT url AS relative_path FROM pages WHERE page_id % 7 = 0 UNION SELECT url || 'x' FROM pages WHERE page_id % 7 = 1), e AS (SELECT url AS relative_path, min(page_id) AS entry_id FROM pages GROUP BY url) SELECT q.relative_path, e.entry_id, e.entry_id IS NOT NULL AS found, coalesce(e.entry_id % 2 = 0, false) AS available FROM q LEFT JOIN e USING (relative_path)"
+    "WITH q AS (SELECT url AS relative_path FROM pages UNION SELECT url || 'x' FROM pages), e AS (SELECT url AS relative_path, min(page_id) AS entry_id FROM pages GROUP BY url) SELECT q.relative_path, e.entry_id, e.entry_id IS NOT NULL AS found, coalesce(e.entry_id % 2 = 0, false) AS available FROM q LEFT JOIN e USING (relative_path)"
 )
 def p10_resolve_entries(t):
     entries = t("pages").selectExpr("page_id as id", "url as relative_path", "if(page_id % 2 = 0, 'ready', 'missing') as status", "page_id as file_id", "page_id % 5 as archive_id")
     archives = t("nation").selectExpr("cast(n_nationkey as bigint) as id", "n_name as name")
-    asked = entries.where("id % 7 = 0").select("relative_path").unionByName(entries.where("id % 7 = 1").selectExpr("concat(relative_path, 'x') as relative_path"))
+    asked = entries.select("relative_path").unionByName(entries.selectExpr("concat(relative_path, 'x') as relative_path"))
     return search.resolve_entries(asked, entries, archives).select("relative_path", "entry_id", "found", "available")
 
 
@@ -160,45 +160,39 @@ def f13_content_keys(t):
     return t("pages").select("page_id", keys.basename(url).alias("base"), keys.content_key(url).alias("content_key"), link.alias("link"))
 
 
-def first_sentence() -> Column:
-    return F.substring_index("text", ".", 1)
-
-
-DUCK = "split_part(text, '.', 1)"
-
-
 @query(
-    f"SELECT doc_id, trim(regexp_replace(translate(lower(strip_accents({DUCK})), '.,;:''\"·´`-_()', '             '), '[\\s]+', ' ', 'g')) AS k FROM documents"
+    f"SELECT doc_id, trim(regexp_replace(translate(lower(strip_accents(text)), '.,;:''\"·´`-_()', '             '), '[\\s]+', ' ', 'g')) AS k FROM documents"
 )
 def f3_normalize_name(t):
-    return t("documents").select("doc_id", names.normalize_name(first_sentence()).alias("k"))
+    return t("documents").select("doc_id", names.normalize_name(F.col("text")).alias("k"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({DUCK}, '[^\\p{{L}}-]', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g'), ' +', ' ', 'g') AS k FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^\\p{{L}}-]', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g'), ' +', ' ', 'g') AS k FROM documents")
 def f5_clean_name(t):
-    return t("documents").select("doc_id", names.clean_name(first_sentence()).alias("k"))
+    return t("documents").select("doc_id", names.clean_name(F.col("text")).alias("k"))
 
 
-@query(f"SELECT doc_id, contains({DUCK}, chr(65533)) OR regexp_matches({DUCK}, '[ÐÃ]') OR length(regexp_replace({DUCK}, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 AS bad FROM documents")
+@query(f"SELECT doc_id, contains(text, chr(65533)) OR regexp_matches(text, '[ÐÃ]') OR length(regexp_replace(text, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 AS bad FROM documents")
 def f6_is_mojibake(t):
-    return t("documents").select("doc_id", names.is_mojibake(first_sentence()).alias("bad"))
+    return t("documents").select("doc_id", names.is_mojibake(F.col("text")).alias("bad"))
 
 
 NOISE = " OR ".join(f"contains(lower(s), '{n}')" for n in names.NOISE)
+CLASSIFY = f"CASE WHEN length(s) < 2 OR NOT regexp_matches(s, '\\p{{L}}') OR contains(s, chr(65533)) OR regexp_matches(s, '[ÐÃ]') OR length(regexp_replace(s, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 OR {NOISE} OR regexp_matches(s, '[0-9]') THEN 'incorrect' WHEN regexp_matches(s, '^[A-Za-zÀ-ÿ''.\\-, ]+$') AND len(list_filter(regexp_split_to_array(s, '[\\s,]+'), lambda x: x <> '')) >= 2 THEN 'correct' ELSE 'not_reviewed' END"
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN length(s) < 2 OR NOT regexp_matches(s, '\\p{{L}}') OR contains(s, chr(65533)) OR regexp_matches(s, '[ÐÃ]') OR length(regexp_replace(s, '[^ÐÃÅãåçêëîíì]', '', 'g')) >= 2 OR {NOISE} OR regexp_matches(s, '[0-9]') THEN 'incorrect' WHEN regexp_matches(s, '^[A-Za-zÀ-ÿ''.\\-, ]+$') AND len(list_filter(regexp_split_to_array(s, '[\\s,]+'), lambda x: x <> '')) >= 2 THEN 'correct' ELSE 'not_reviewed' END AS verdict FROM (SELECT doc_id, trim({DUCK}, ' \n\t\r') AS s FROM documents)"
+    f"SELECT doc_id, {CLASSIFY} AS verdict FROM (SELECT doc_id, trim(text, ' \n\t\r') AS s FROM documents)"
 )
 def f7_classify_name(t):
-    return t("documents").select("doc_id", names.classify_name(first_sentence()).alias("verdict"))
+    return t("documents").select("doc_id", names.classify_name(F.col("text")).alias("verdict"))
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) > 1 AND w[-2] = 'o' THEN trim(array_to_string(list_transform(w[:-3], lambda x: x[1]), '') || ' o' || w[-1]) ELSE trim(array_to_string(list_transform(w[:-2], lambda x: x[1]), '') || ' ' || w[-1]) END AS k FROM (SELECT doc_id, regexp_extract_all(replace(replace(lower({DUCK}), '''', ''), '’', ''), '[a-zà-ÿ]+') AS w FROM documents)"
+    f"SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) > 1 AND w[-2] = 'o' THEN trim(array_to_string(list_transform(w[:-3], lambda x: x[1]), '') || ' o' || w[-1]) ELSE trim(array_to_string(list_transform(w[:-2], lambda x: x[1]), '') || ' ' || w[-1]) END AS k FROM (SELECT doc_id, regexp_extract_all(replace(replace(lower(text), '''', ''), '’', ''), '[a-zà-ÿ]+') AS w FROM documents)"
 )
 def f8_name_key(t):
-    return t("documents").select("doc_id", names.name_key(first_sentence()).alias("k"))
+    return t("documents").select("doc_id", names.name_key(F.col("text")).alias("k"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[;,]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|') AS items FROM documents")
@@ -248,9 +242,9 @@ def a11_gap_profile(t):
     return profile.gap_profile(t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left"), ["lang", "quality", "toxic"])
 
 
-@query("SELECT lower(strip_accents(split_part(text, ' ', 1))) AS key, min(split_part(text, ' ', 1)) AS name, count(*) AS n FROM documents WHERE trim(split_part(text, ' ', 1)) <> '' GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
+@query("SELECT lower(strip_accents(p_name)) AS key, min(p_name) AS name, count(*) AS n FROM part WHERE trim(p_name) <> '' GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
 def a12_long_tail(t):
-    return profile.long_tail(t("documents").select(F.substring_index("text", " ", 1).alias("w")), "w").top
+    return profile.long_tail(t("part"), "p_name").top
 
 
 @query("WITH v AS (SELECT p_brand AS name_key, p_type AS a, sum(p_size) AS w FROM part GROUP BY 1, 2) SELECT name_key, CAST(sum(w) AS BIGINT) AS works, count(*) AS variants, arg_min(a, (-w, a)) AS name FROM v GROUP BY 1 ORDER BY works DESC, name_key LIMIT 200")
@@ -416,7 +410,7 @@ def c5_check_links(t):
 
 
 def composers_of_documents(t) -> DataFrame:
-    return t("documents").select(F.col("doc_id").alias("id"), first_sentence().alias("name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_status"))
+    return t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_status"))
 
 
 @query("SELECT verdict, count(*) AS n FROM (" + SQL["f7_classify_name"] + ") GROUP BY 1")
@@ -428,7 +422,7 @@ def e13_classify_pending(t):
 def e2_populate_composers(t):
     aliases = t("customer").select(F.col("c_custkey").cast("string").alias("composer_id"), F.col("c_name").alias("alias"), names.normalize_name(F.col("c_name")).alias("normalized_alias"))
     composers = t("customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("active").alias("status"))
-    rows = t("documents").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("name"))
+    rows = t("documents").select(F.col("text").alias("name"))
     return catalogue.populate_composers(rows, composers, aliases).composers.where("visible").select("id", "name")
 
 
@@ -459,10 +453,10 @@ def e10_ingest_identifiers(t):
 
 
 def entries_of_pages(t) -> DataFrame:
-    return t("pages").selectExpr("page_id as id", "page_id % 5 as archive_id", "url as relative_path", "cast(page_id as string) as logical_id", "'c' as composer", "left(html, 40) as title", "if(page_id % 2 = 0, 'ready', 'missing') as status", "page_id as file_id")
+    return t("pages").selectExpr("page_id as id", "page_id % 5 as archive_id", "url as relative_path", "cast(page_id as string) as logical_id", "'c' as composer", "html as title", "if(page_id % 2 = 0, 'ready', 'missing') as status", "page_id as file_id")
 
 
-@query("SELECT page_id AS id, n_name AS archive_name, page_id % 2 = 0 AS available FROM pages JOIN nation ON n_nationkey = page_id % 5 WHERE contains(lower(url), 'blog') OR contains(lower(left(html, 40)), 'blog') ORDER BY page_id LIMIT 60")
+@query("SELECT page_id AS id, n_name AS archive_name, page_id % 2 = 0 AS available FROM pages JOIN nation ON n_nationkey = page_id % 5 WHERE contains(lower(url), 'blog') OR contains(lower(html), 'blog') ORDER BY page_id LIMIT 60")
 def p2_search_entries(t):
     archives = t("nation").selectExpr("cast(n_nationkey as bigint) as id", "n_name as name")
     return search.search_entries(entries_of_pages(t), archives, "Blog", limit=60).select("id", "archive_name", "available")
@@ -481,20 +475,20 @@ def j3_has_alias_like(t):
 
 
 @query(
-    "SELECT s_suppkey AS key, coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 7 = 0)) AS composer_id FROM supplier WHERE coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 7 = 0)) IS NOT NULL"
+    "SELECT s_suppkey AS key, coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey)) AS composer_id FROM supplier WHERE coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey * 3), (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey)) IS NOT NULL"
 )
 def j10_find_existing(t):
     who = t("supplier").selectExpr("s_suppkey as key", "cast(s_suppkey * 3 as string) as mbid", "cast(s_nationkey as string) as viaf", "cast(null as string) as qid", "cast(null as string) as name")
     composers = t("customer").selectExpr("c_custkey as id", "c_name as name", "'active' as status", "cast(c_custkey as string) as musicbrainz_id")
-    ids = t("customer").where("c_custkey % 7 = 0").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
+    ids = t("customer").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
     return resolve.find_existing(who, composers, ids)
 
 
-@query("SELECT s_suppkey AS request_id, (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 40 = 0) AS ids FROM supplier")
+@query("SELECT s_suppkey AS request_id, (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = s_nationkey) AS ids FROM supplier")
 def j11_find_candidates(t):
     asked = t("supplier").select(F.col("s_suppkey").alias("request_id"), F.col("s_name").alias("name"), F.array(F.struct(F.lit("viaf").alias("id_type"), F.col("s_nationkey").cast("string").alias("id_value"))).alias("identifiers"))
     composers = t("customer").selectExpr("c_custkey as id", "c_name as name", "'active' as status", "cast(null as bigint) as merged_into")
-    ids = t("customer").where("c_custkey % 40 = 0").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
+    ids = t("customer").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
     aliases = t("customer").where("false").selectExpr("c_custkey as composer_id", "c_name as normalized_alias")
     found = resolve.find_candidates(asked, composers, aliases, ids)
     return found.select("request_id", F.nullif(F.array_join("composer_ids", ","), F.lit("")).alias("ids"))
@@ -540,9 +534,9 @@ def t2_page_desc(t):
     return tables.page_desc(t("orders").select("o_orderkey"), ["o_orderkey"], 30)
 
 
-@query("SELECT row_number() OVER (ORDER BY a.archive_id, url) AS id, url AS relative_path, title FROM (SELECT DISTINCT ON (page_id % 5, url) page_id % 5 AS k, url, left(html, 20) AS title FROM pages ORDER BY page_id % 5, url, page_id DESC) p JOIN (SELECT k, row_number() OVER (ORDER BY 'a' || k) AS archive_id FROM (SELECT DISTINCT page_id % 5 AS k FROM pages)) a USING (k)")
+@query("SELECT row_number() OVER (ORDER BY a.archive_id, url) AS id, url AS relative_path, title FROM (SELECT DISTINCT ON (page_id % 5, url) page_id % 5 AS k, url, html AS title FROM pages ORDER BY page_id % 5, url, page_id DESC) p JOIN (SELECT k, row_number() OVER (ORDER BY 'a' || k) AS archive_id FROM (SELECT DISTINCT page_id % 5 AS k FROM pages)) a USING (k)")
 def x1_build_index(t):
-    rows = t("pages").orderBy("page_id").selectExpr("url as relative_path", "concat('a', page_id % 5) as archive_name", "null as archive_url", "null as logical_id", "null as composer", "left(html, 20) as title")
+    rows = t("pages").orderBy("page_id").selectExpr("url as relative_path", "concat('a', page_id % 5) as archive_name", "null as archive_url", "null as logical_id", "null as composer", "html as title")
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("archive_url", "logical_id", "composer")})
     archives = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "n_name as name", "n_name as url", "n_name as status")
     entries = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "cast(n_nationkey as bigint) as archive_id", "n_name as relative_path", "n_name as logical_id", "n_name as composer", "n_name as title", "n_name as status")
@@ -613,7 +607,7 @@ def e3_backfill_composer_ids(t):
 
 @query()
 def e4_clean_candidates(t):
-    rows = t("documents").select(F.lit("unknown").alias("status"), first_sentence().alias("attribution"))
+    rows = t("documents").select(F.lit("unknown").alias("status"), F.col("text").alias("attribution"))
     return identity.clean_candidates(rows).select("name_key", "label", "work_count")
 
 
@@ -630,11 +624,17 @@ def f22_extract_year(t):
 
 @query()
 def f10_extract_name(t):
-    rows = t("documents").select("doc_id", F.array_join(F.slice(F.split("text", r"\\s+"), 1, 3), " ").alias("s"))
+    rows = t("documents").select("doc_id", F.col("text").alias("s"))
     return rows.select("doc_id", names.extract_name(F.col("s")).alias("name"), names.validate_name(F.col("s"))["score"].alias("score"), names.candidate_label(F.col("s"))["label"].alias("label"))
 
 
-@query()
+def uuid5_sql(name: str) -> str:
+    """The name-based UUID of a text expression, in SQL."""
+    h = f"sha1(unhex('{keys.IDENTITY_NAMESPACE.hex}') || encode({name}))"
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || ('89ab')[(instr('0123456789abcdef', {h}[17:17]) - 1) % 4 + 1] || {h}[18:20] || '-' || {h}[21:32]"
+
+
+@query(f"SELECT c_custkey, {uuid5_sql("'name:' || lower(c_name)")} AS id, 'ext:' || sha1(c_name) AS external FROM customer")
 def f27_entity_ids(t):
     return t("customer").select("c_custkey", identity.entity_ids(F.col("c_name")).alias("id"), keys.external_key(F.col("c_name")).alias("external"))
 

@@ -158,3 +158,61 @@ def test_common_identifiers_make_no_pairs(spark):
     assert sum(reduced(found)) == 3
     want = {i: [x for x in range(60) if i % 3 < 2 and x % 2 == i % 3 or i == 2 and x % 9 == 4] for i in range(30)}
     assert {r.request_id: r.composer_ids for r in found.collect()} == want
+
+
+def test_archives_of_any_size_and_registry(spark, tmp_path):
+    from tessitura.sources import registry
+
+    with tarfile.open(tmp_path / "one.tar.gz", "w:gz") as tar:
+        for name in ("a.mxl", "d/b.mxl"):
+            info = tarfile.TarInfo(name)
+            info.size = 3_000_000
+            tar.addfile(info, io.BytesIO(name.encode() * 600_000))
+    (tmp_path / "bad.tar").write_bytes(b"no archive")
+    archives = spark.createDataFrame([(1, str(tmp_path / "one.tar.gz")), (2, str(tmp_path / "bad.tar"))], "id long, path string")
+    assert rows(content.archive_members_at(archives), "archive_id", "relative_path", "size") == [(1, "a.mxl", 3_000_000), (1, "d/b.mxl", 3_000_000)]
+    assert len(registry.tables()) == 23 and registry.key_of("work_statistics") == "work_id"
+    with pytest.raises(ValueError):
+        registry.scan(spark, str(tmp_path), "users")
+
+
+def test_moves_of_aliases(spark):
+    aliases = spark.createDataFrame([("a", "X", "x"), ("a", "x.", "x"), ("b", "X", "x"), ("c", "Y", "y"), ("c", "y", "y")], "composer_id string, alias string, normalized_alias string")
+    works = spark.createDataFrame([(1, "a", "X"), (2, "a", "other"), (3, "c", "Y")], "id long, composer_id string, composer string")
+    moves = spark.createDataFrame([("a", "X", "b"), ("a", "X", "b"), ("c", "Y", "a"), ("c", "Y", "b")], "composer_id string, alias string, target string")
+    done = identity.move_aliases(aliases, works, moves)
+    assert rows(done.works, "id", "composer_id") == [(1, "b"), (2, "a"), (3, "c")] and rows(done.rejects, "composer_id", "alias") == [("c", "Y")]
+    assert rows(done.aliases, "composer_id", "alias") == [("a", "x."), ("b", "X"), ("c", "Y"), ("c", "y")]
+
+
+def test_clean_names_until_stable(spark):
+    composers = spark.createDataFrame([(1, "Bach 1", "active", True, None), (2, "Bach", "active", True, None), (3, " bach ", "active", True, None), (4, "123", "active", True, None)], "id long, name string, status string, visible boolean, merged_into long")
+    aliases = spark.createDataFrame([(1, "B", "b")], "composer_id long, alias string, normalized_alias string")
+    works = spark.createDataFrame([(7, 1), (8, 3), (9, 4)], "id long, composer_id long")
+    done = identity.clean_names(composers, aliases, works)
+    assert rows(done.works, "id", "composer_id") == [(7, 2), (8, 2), (9, 4)] and tuple(done.counts.first()) == (0, 2)
+    assert rows(done.aliases, "composer_id") == [(1,), (2,)] and rows(done.composers.where("status = 'merged'"), "id", "merged_into") == [(1, 2), (3, 2)]
+
+
+def test_recogniser_is_asked_where_a_mark_points_nowhere(spark):
+    frame = spark.createDataFrame([("Song by",), ("by Ann Lee",), ("plain words",)], "s string")
+    out = frame.select(names.extract_name(F.col("s"), lambda c: F.when(c != "plain words", "Ada Lovelace")).alias("n"))
+    assert [r.n for r in out.collect()] == ["Ada Lovelace", "Ann Lee", None]
+
+
+def test_long_merge_circles_end(spark):
+    ring = [(i, "merged", (i + 1) % 5) for i in range(5)] + [(9, "merged", 0)] + [(100 + i, "merged", 101 + i) for i in range(60)] + [(160, "active", None)]
+    found = resolve.canonical_map(spark.createDataFrame(ring, "id long, status string, merged_into long"))
+    assert found.map.where("canonical_id = 160").count() == 61 and found.rejects.count() == 6
+
+
+def test_csv_in_pieces(spark, tmp_path):
+    lines = ["mxl,title"] + [f"x/{i % 50}.mxl,t{i}" for i in range(2000)]
+    (tmp_path / "m.csv").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for multi_line in (True, False):
+            out = readers.read_metadata_csv(spark, str(tmp_path / "m.csv"), multi_line=multi_line)
+            assert rows(out, "content_key", "title") == sorted(((str(i), f"t{1950 + i}") for i in range(50)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
