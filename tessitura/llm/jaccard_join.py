@@ -256,18 +256,39 @@ def shared_signatures(signed: DataFrame, total: int, most_bits: int) -> DataFram
     return signed.select("cid", "sigs").mapInArrow(run, "sig long, cid long")
 
 
-def feature_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cid, n, parity, features) of every document that has features."""
+def class_texts(docs: DataFrame, wanted: DataFrame, n: int | None = None) -> DataFrame:
+    """The texts of the documents whose keys stand in `wanted` (cid, doc_key), which is one for each class."""
+    return docs.join(sized_broadcast(wanted.select("doc_key").distinct(), n), "doc_key", "left_semi").select("text")
+
+
+def parity_maps(texts: DataFrame, words: int) -> DataFrame:
+    """(cid, n, parity) of the texts that have features; a task gives each class once."""
+
+    def run(batches):
+        hashes, seen = _WordHashes(), set()
+        for batch in batches:
+            sets = {}
+            for s in (shingle_set(t, words, hashes) for t in _bytes(batch.column("text"))):
+                if len(s) and (cid := set_digest(s)) not in seen:
+                    seen.add(cid)
+                    sets[cid] = s
+            columns = [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64()), pa.array([parity_map(s) for s in sets.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "n", "parity"])
+
+    return texts.mapInArrow(run, "cid long, n long, parity binary")
+
+
+def feature_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(cid, features) of the texts that have features."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
             sets = [s for s in (shingle_set(t, words, hashes) for t in _bytes(batch.column("text"))) if len(s)]
             features = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            columns = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_map(s) for s in sets], pa.binary()), features]
-            yield pa.RecordBatch.from_arrays(columns, ["cid", "n", "parity", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), features], ["cid", "features"])
 
-    return docs.select("text").mapInArrow(run, "cid long, n long, parity binary, features array<long>")
+    return texts.mapInArrow(run, "cid long, features array<long>")
 
 
 def near_in_block(sig: int, i_block: int, j_block: int, cids: list, comps: list, sizes: list, parities: list, shared: list, owns: list, percent: int, spanning: bool):
@@ -336,16 +357,21 @@ def near_pairs(rows: DataFrame, percent: int, spanning: bool = False) -> DataFra
     return rows.select("sig", "i", "j", "cid", "comp", "n", "parity", "shared", "own").mapInArrow(run, "a long, b long")
 
 
-def verify(stages: Stages, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), repeated ones once, with 100 * |intersection| >= percent * |union|."""
+def verify(stages: Stages, pairs: DataFrame, docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b), repeated ones once, with 100 * |intersection| >= percent * |union|. Feature sets are
+    made anew, from the texts of the classes that have pairs left."""
     pairs = stages.write(pairs.distinct())
     ids = stages.write(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
-    some = sets.join(sized_broadcast(ids), "cid", "left_semi")
+    n = ids.count()
+    texts = class_texts(docs, wanted.join(sized_broadcast(ids, n), "cid", "left_semi"), n)
+    some = stages.write(feature_sets(texts, words).join(sized_broadcast(ids, n), "cid", "left_semi").dropDuplicates(["cid"]))
     left = some.select(F.col("cid").alias("a"), F.col("features").alias("fa"))
     right = some.select(F.col("cid").alias("b"), F.col("features").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
     linked = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both))
-    return stages.write(linked.select("a", "b"))
+    linked = stages.write(linked.select("a", "b"))
+    stages.drop(pairs, ids, some)
+    return linked
 
 
 def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -376,7 +402,8 @@ def connected_components(stages: Stages, links: DataFrame, rounds: int = 60) ->
 
 
 def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: int, percent: int, block: int, most_bits: int) -> DataFrame | None:
-    """(cid, comp) of the classes that links join, directly or by way of others; None without shared signatures."""
+    """(cid, comp) of the classes that links join, directly or by way of others; None without shared
+    signatures. `signed` is dropped as soon as its signatures have been used."""
     classed = signed.where("cid is not null").withColumn("doc_key", F.xxhash64("doc_id"))
     copied = stages.write(classed.groupBy("cid").agg(F.count("*").alias("c"), F.min("doc_key").alias("first_key")).where("c > 1").drop("c"))
     single = classed.join(sized_broadcast(copied), "cid", "left").where("first_key is null or doc_key = first_key")
@@ -389,12 +416,12 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     wanted = stages.write(single.select("cid", "doc_key").join(buckets.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_key").alias("doc_key")))
     n_wanted = wanted.count()
     if not n_wanted:
+        stages.drop(signed)
         return None
     keyed = docs.select(F.xxhash64("doc_id").alias("doc_key"), "text")
-    texts = keyed.join(sized_broadcast(wanted.select("doc_key").distinct(), n_wanted), "doc_key", "left_semi")
-    sets = feature_sets(texts, words).join(sized_broadcast(wanted.select("cid"), n_wanted), "cid", "left_semi")
-    sets = stages.write(sets.dropDuplicates(["cid"]))
-    maps = sets.select("cid", "n", "parity")
+    stages.drop(signed)
+    maps = parity_maps(class_texts(keyed, wanted, n_wanted), words).join(sized_broadcast(wanted.select("cid"), n_wanted), "cid", "left_semi")
+    maps = stages.write(maps.dropDuplicates(["cid"]))
 
     def ordered(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -402,15 +429,15 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     stars = buckets.select(*ordered("cid", "low")).unionByName(buckets.select(*ordered("cid", "high"))).where("a < b").distinct()
     sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
     apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).withColumn("own", F.col("cid")).withColumn("shared", F.lit(None).cast("array<long>")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
-    links = verify(stages, near_pairs(apart, percent), sets, percent)
+    links = verify(stages, near_pairs(apart, percent), keyed, wanted, words, percent)
     comps = stages.write(connected_components(stages, links))
     for spanning in (True, False):
         inside = mixed_members(stages, buckets, comps, block)
         grouped = mixed_blocks(inside, not spanning).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        more = verify(stages, near_pairs(grouped, percent, spanning), sets, percent)
+        more = verify(stages, near_pairs(grouped, percent, spanning), keyed, wanted, words, percent)
         stages.drop(inside)
         comps = stages.write(join_components(stages, comps, more))
-    stages.drop(buckets, sets)
+    stages.drop(buckets, maps)
     return comps
 
 
@@ -451,9 +478,8 @@ def jaccard_components(
     stages = Stages(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = stages.write(signed_documents(rows, words, percent))
-    comps = similar_classes(rows, signed, stages, words, percent, block, most_bits)
     members = stages.write(signed.drop("sigs"))
-    stages.drop(signed)
+    comps = similar_classes(rows, signed, stages, words, percent, block, most_bits)
     least = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     if comps is None:
         grouped = least.where("n > 1").select("cid", F.col("first_id").alias("component_id"))
