@@ -29,11 +29,11 @@ from ._common import bounded_sample, prepare, remainder
 #: Letters of the basic plane, and what stands for every other character.
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), dtype=bool, count=0x10000)
 #: Characters worked on at a time, so that a very long text needs bounded memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: So many n-grams count in a score at most.
 EVIDENCE = 60.0
 #: N-grams that one matrix product takes at most, but for those of one piece of a text.
-PRODUCT = 1 << 22
+PRODUCT = 1 << 20
 
 
 def letters_of(text: str) -> np.ndarray:
