@@ -8,7 +8,8 @@ a rare word is looked up in the postings (position in the template), and points
 `document position - template position`, give or take `slack` words. A place is accepted if the
 IDF-weighted share of template words found there reaches `least` and the template's mandatory phrases
 stand in it; places where too few rare words are found to reach `least` with all the others are
-passed over, so no acceptable place is lost.
+passed over, so no acceptable place is lost. Of neighbouring places with equal shares the one with
+more words exactly in place counts. Long files are searched a piece at a time.
 
 Besides, the fixed base phrases are found wherever their words stand consecutively.
 Nulls are texts without words; they have no labels and score 0. The score is 1 where a base phrase
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,23 +39,28 @@ BASE_PHRASES = {
 
 # Label, opening words of the usual notice, mandatory phrases.
 TEMPLATES = [
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3", ["gnu affero general public license", "version 3"]),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license", "version 2"]),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license", "version 2"]),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use", "source and binary forms"]),
+    ("bsl-1", "distributed under the boost software license version 1 0", ["boost software license"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial 4 0"]),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike 4 0"]),
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related rights to this work to the public domain worldwide", ["public domain", "to the extent possible under law"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
     ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2", ["gnu general public license", "version 2"]),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", ["gnu general public license", "version 3"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
+    ("lgpl-2", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", ["gnu lesser general public license", "version 2 1"]),
     ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license version 3", ["gnu lesser general public license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["free of charge", "without restriction"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["held liable for any damages"]),
 ]
 
 RESULT = "n_words long, base_starts array<int>, base_labels array<string>, places array<struct<label: string, start: int, share: double>>"
@@ -93,10 +100,11 @@ class TemplateIndex:
         line = self.line(words)
         found = []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, last, start = line.find(phrase), 0, 0
             while at >= 0:
-                found.append((line.count(b" ", 0, at), label))
-                at = line.find(phrase, at + 1)
+                start += line.count(b" ", last, at)
+                found.append((start, label))
+                last, at = at, line.find(phrase, at + 1)
         return sorted(found)
 
     @staticmethod
@@ -108,32 +116,41 @@ class TemplateIndex:
         if not words:
             return []
         line = self.line(words)
-        best: dict[tuple[str, int], tuple[float, int]] = {}
-        positions: dict[bytes, list[int]] | None = None
+        best: dict[tuple[str, int], tuple[float, float, int]] = {}
+        positions: dict[bytes, np.ndarray] | None = None
         for t, (label, template, keys) in enumerate(self.templates):
             if not template or not all(key in line for key in self.keys[t]):
                 continue
             if positions is None:
-                positions = defaultdict(list)
+                lists = defaultdict(list)
                 for at, word in enumerate(words):
                     if word in self.vocabulary:
-                        positions[word].append(at)
-            postings, needed = self.rare(t, least)
-            votes: dict[int, set[int]] = defaultdict(set)
-            for word in postings.keys() & positions.keys():
-                for at in positions[word]:
-                    for pos in postings[word]:
-                        for shift in range(-slack, slack + 1):
-                            votes[at - pos + shift].add(pos)
-            weights = self.weights[t]
-            for start, found in votes.items():
-                if sum(weights[pos] for pos in found) < needed - 1e-9:
-                    continue
+                        lists[word].append(at)
+                positions = {word: np.array(at) for word, at in lists.items()}
+            for start in self.starts(positions, t, len(words), slack, least):
                 share = self.share(words, t, start, slack)
                 if share >= least and all(self.stands(words, key, start - slack, start + len(template) + slack) for key in keys):
                     cell = (label, start // (len(template) + 2 * slack))
-                    best[cell] = max(best.get(cell, (0.0, 0)), (share, -start))
-        return sorted((label, max(0, -start), share) for (label, _), (share, start) in best.items())
+                    best[cell] = max(best.get(cell, (0.0, 0.0, 0)), (share, self.share(words, t, start, 0), -start))
+        return sorted((label, max(0, -start), share) for (label, _), (share, _, start) in best.items())
+
+    def starts(self, positions: dict[bytes, np.ndarray], t: int, n: int, slack: int, least: float, piece: int = 65_536):
+        """Places to which enough weight of the template's rare words points, a piece of the file at a time."""
+        postings, needed = self.rare(t, least)
+        first, end = -len(self.templates[t][1]) - slack, n + slack
+        for low in range(first, end, piece):
+            high = min(low + piece, end)
+            weight = np.zeros(high - low)
+            for word in postings.keys() & positions.keys():
+                at = positions[word]
+                for pos in postings[word]:
+                    some = at[np.searchsorted(at, low + pos - slack) : np.searchsorted(at, high + pos + slack)] - pos - low
+                    pointed = np.zeros(high - low, dtype=bool)
+                    for shift in range(-slack, slack + 1):
+                        moved = some + shift
+                        pointed[moved[(moved >= 0) & (moved < high - low)]] = True
+                    weight += pointed * self.weights[t][pos]
+            yield from (low + np.flatnonzero(weight >= needed - 1e-9)).tolist()
 
     def share(self, words: list[bytes], t: int, start: int, slack: int) -> float:
         template, weights = self.templates[t][1], self.weights[t]

@@ -77,6 +77,25 @@ def test_common_and_many_licenses(spark, rng):
     assert len(notices) == 5 and got[100].labels == ",".join(sorted(notices)) and got[100].score > 0.99
 
 
+def test_licenses_in_long_texts(rng):
+    index = license_scan.TemplateIndex({})
+    many = index.base(b"under the mit license".split() * 200_000)
+    assert [a for a, _ in many] == list(range(0, 800_000, 4))
+    notice = license_scan.TEMPLATES[-1][1].encode().split()
+    far = b"provided as is".split() * 50_000 + notice + b"the software of the license".split() * 50_000
+    assert [(label, start) for label, start, _ in index.places(far, 1, 0.7)] == [("zlib", 150_000)]
+    text = " ".join(rng.choice(license_scan.TEMPLATES)[1] if rng.random() < 0.1 else rng.choice(license_scan.TEMPLATES[3][1].split()) for _ in range(300)).encode().split()
+    for t, (_, template, _) in enumerate(index.templates):
+        positions = {w: license_scan.np.array([i for i, v in enumerate(text) if v == w]) for w in set(text)}
+        postings, needed = index.rare(t, 0.7)
+        right = [
+            start for start in range(-len(template) - 1, len(text) + 1)
+            if sum(index.weights[t][pos] for w in postings for pos in postings[w] if w in text[max(0, start + pos - 1) : max(0, start + pos + 2)]) >= needed - 1e-9
+        ]
+        got = [list(index.starts(positions, t, len(text), 1, 0.7, piece)) for piece in (65_536, 17)]
+        assert got == [right, right]
+
+
 def test_secrets(spark, rng):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
     docs = [(i, f'{prose(rng, 20)} token = "{h}" {prose(rng, 5)}') for i, h in enumerate(hexes[:40])]
