@@ -22,7 +22,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -100,7 +102,10 @@ class ToxicityModel:
             else:
                 at = end - size
                 best[at] = max(weight, best.get(at, 0.0))
-        return [w for at, w in best.items() if not any(a - 1 <= at < b for a, b in covered)]
+        covered.sort()
+        starts, ends = [a - 1 for a, _ in covered], list(accumulate((b for _, b in covered), max))
+        before = {at: bisect_right(starts, at) for at in best}
+        return [w for at, w in best.items() if not before[at] or ends[before[at] - 1] <= at]
 
     def features(self, words: list[str]) -> np.ndarray:
         total = sum(self.hits(words))

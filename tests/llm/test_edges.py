@@ -88,6 +88,22 @@ def test_folding(written):
     assert toxicity.folded_words(f"you {written} there!!") == ["you", "idiot", "there"]
 
 
+def test_hits_in_long_texts(rng):
+    model = toxicity.ToxicityModel({"trash": 1.0, "idio*": 2.0}, ("trash can", "can do", "big trash can do"), 0.5)
+    assert len(model.hits(["trash", "can", "trash"] * 100_000)) == 100_000
+    for _ in range(200):
+        text = [rng.choice(("big", "trash", "can", "do", "idiots")) for _ in range(12)]
+        line = f" {' '.join(text)} "
+        spans = [(at, at + len(p) + 1) for p in model.exceptions for at in range(len(line)) if line.startswith(f" {p} ", at)]
+        at, right = 0, []
+        for w in text:
+            weight = {"trash": 1.0, "idiots": 2.0}.get(w)
+            if weight and not any(a <= at < b for a, b in spans):
+                right.append(weight)
+            at += len(w) + 1
+        assert model.hits(text) == right
+
+
 def test_folding_at_the_end():
     assert toxicity.folded_words("a55 bad! 10 x2y c4ts") == ["ass", "bad", "x", "y", "cats"]
 
