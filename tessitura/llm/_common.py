@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of these operators: small Arrow batches (texts may be long) and
-    shuffle files that go when the job that wrote them is over."""
+    """Small Arrow batches, as texts may be long. The setting stays, as frames are planned when their
+    caller acts on them; it changes no rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession):
+    """Shuffle files of a write inside go when it is over; afterwards the setting is as it was. It must
+    not outlast the write: a frame that is read by `toLocalIterator` under it can lose its shuffle
+    before the read, and then has no rows."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Stages:
@@ -49,7 +63,8 @@ class Stages:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        with clean_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._staged_at = path
         return table

@@ -6,9 +6,9 @@ window. Per window length there is one search: a block is two words, `shift` tel
 search may jump when a block ends at the current word, the blocks with shift 0 select the windows
 that end with them, and a comparison of the words confirms each occurrence.
 
-A benchmark of up to `search_words` words goes to the tasks, in blocks, and every document meets every
-window. A larger one stays a table: the hashes of its windows are joined with those of the documents'
-windows, and each text is searched for the windows that the join names for it.
+The benchmark goes to the tasks in blocks of about `block_words` words. One pass over the documents
+searches blocks of about `search_words` words in all; a larger benchmark takes more passes, each of which
+starts from the hits of those before. The search is the same at every size.
 
 Nulls are texts without words. Items without words have no windows; an item with a null id still
 marks words but is not named. Repeated documents are marked alike; repeated items count once. Empty
@@ -20,12 +20,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import Stages, fresh, sized_broadcast
+from ._common import Stages
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 RESULT = "n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -108,17 +107,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
-    """Items in blocks of at most about `block_words` words, one block in the driver at a time."""
-    block, held = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).distinct()
-    for row in rows.toLocalIterator():
+def item_blocks(items: DataFrame, block_words: int):
+    """Items (i, t) in blocks of about `block_words` words, one block in the driver at a time. The
+    frame is a written table: what is read must be what was counted, or this raises."""
+    block, held, seen, expected = [], 0, 0, items.count()
+    for row in items.toLocalIterator():
         words = words_of(row.t)
         block.append((row.i, words))
         held += len(words)
+        seen += 1
         if held >= block_words:
             yield block
             block, held = [], 0
+    if seen != expected:
+        raise RuntimeError(f"{seen} of {expected} benchmark items were read")
     if block:
         yield block
 
@@ -137,82 +139,29 @@ def mark_contaminated(
 ) -> DataFrame:
     """`docs` with a struct column `into`: n_words, starts and ends of the hit word spans, items.
 
-    A benchmark of at most `search_words` words is sent to the tasks in blocks of bounded size
-    (`block_words`); more blocks mean more narrow passes in one scan, and no shuffle.
+    Blocks of `block_words` words bound a broadcast, `search_words` the words that a task holds at
+    once. Between passes the documents with their hits so far are written; nothing is shuffled.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.regexp_count(F.lower(item_text), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
-    if size > search_words:
-        return mark_by_join(docs, benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")), text, window, into)
-    result: Column | None = None
-    for block in item_blocks(benchmark, item_id, item_text, block_words) or ():
-        found = _search_udf(spark.sparkContext.broadcast(block), window)
-        result = found(F.col(text), result if result is not None else F.lit(None).cast(f"struct<{_as_fields()}>"))
-    if result is None:
-        found = _search_udf(spark.sparkContext.broadcast([]), window)
-        result = found(F.col(text), F.lit(None).cast(f"struct<{_as_fields()}>"))
-    return docs.withColumn(into, result)
-
-
-def window_table(items: DataFrame, window: int) -> DataFrame:
-    """(m, a, b, w, item) of all windows of the items: number of words, two hashes, the words with blanks between."""
-
-    def run(batches):
-        for batch in batches:
-            out = set()
-            for item, t in zip(batch["item"], batch["t"]):
-                words = words_of(t)
-                m = min(window, len(words))
-                out.update((m, *_hashes(words, s, m), b" ".join(words[s : s + m]).decode(), item) for s in range(len(words) - m + 1 if m else 0))
-            yield pd.DataFrame(list(out), columns=["m", "a", "b", "w", "item"])
-
-    return items.mapInPandas(run, "m int, a long, b long, w string, item string").distinct()
-
-
-def _hashes(words: list[bytes], start: int, m: int) -> tuple[int, int]:
-    h = xxhash.xxh3_128_digest(b" ".join(words[start : start + m]))
-    return int.from_bytes(h[:8], signed=True), int.from_bytes(h[8:], signed=True)
-
-
-def mark_by_join(docs: DataFrame, items: DataFrame, text: str, window: int, into: str) -> DataFrame:
-    """As `mark_contaminated`, for a benchmark of any size. The windows of texts, each once in a text,
-    meet those of the benchmark by their hashes; equal texts are one. What moves are hashes, and the
-    texts that have hits if there are too many of these for a broadcast."""
     stages = Stages(docs.sparkSession)
-    windows = stages.write(window_table(items, window))
-    lengths = [r.m for r in windows.select("m").distinct().collect()]  # at most `window` numbers
-    k, found = fresh(docs, "text_key"), fresh(docs, "windows")
-    key = F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row_key, t in zip(batch["k"], batch["t"]):
-                words = words_of(t)
-                out += {(row_key["k1"], row_key["k2"], m, *_hashes(words, s, m)) for m in lengths for s in range(len(words) - m + 1)}
-            yield pd.DataFrame(out, columns=["k1", "k2", "m", "a", "b"])
-
-    own = docs.where(F.col(text).isNotNull()).select(key.alias("k"), F.col(text).alias("t")).mapInPandas(run, "k1 long, k2 long, m int, a long, b long")
-    met = own.join(windows, ["m", "a", "b"]).select(F.struct("k1", "k2").alias(k), F.struct("w", "item").alias("hit"))
-    per_text = stages.write(met.groupBy(k).agg(F.collect_set("hit").alias(found)))
-    n, widest = per_text.agg(F.count("*"), F.sum(F.aggregate(found, F.lit(0).cast("long"), lambda x, h: x + 64 + F.length(h["w"])))).first()
-
-    @pandas_udf(RESULT)
-    def search(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, some in zip(texts, hits):
-            words, spans, named = words_of(t), [], set()
-            if some is not None and len(some):
-                by_length: dict[int, WindowSearch] = {}
-                for hit in some:
-                    w = tuple(hit["w"].encode().split(b" "))
-                    by_length.setdefault(len(w), WindowSearch(len(w))).add(w, hit["item"])
-                spans, named = find_windows(words, list(by_length.values()))
-            rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(named)))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"], dtype=object)
-
-    joined = docs.withColumn(k, key).join(sized_broadcast(per_text, 1, int(widest or 0)), k, "left")
-    return joined.withColumn(into, search(F.col(text), F.col(found))).drop(k, found)
+    items = stages.write(benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct())
+    none = F.lit(None).cast(f"struct<{_as_fields()}>")
+    marked, held, blocks, written = docs.withColumn(into, none), 0, [], None
+    for block in item_blocks(items, block_words):
+        if blocks and held + block_words > search_words:
+            before, written = written, stages.write(marked)
+            marked, held = written, 0
+            if before is not None:
+                stages.drop(before)
+            for sent in blocks:
+                sent.unpersist()
+            blocks = []
+        blocks.append(docs.sparkSession.sparkContext.broadcast(block))
+        held += block_words
+        marked = marked.withColumn(into, _search_udf(blocks[-1], window)(F.col(text), F.col(into)))
+    if not blocks:
+        marked = marked.withColumn(into, _search_udf(docs.sparkSession.sparkContext.broadcast([]), window)(F.col(text), F.col(into)))
+    stages.drop(items)
+    return marked
 
 
 def _as_fields() -> str:

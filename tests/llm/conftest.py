@@ -7,8 +7,9 @@ import pytest
 WORDS = "ab alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def rng():
+    """One seed for each test: a case doesn't depend on the tests before it."""
     return random.Random(5)
 
 

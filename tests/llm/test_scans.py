@@ -19,8 +19,8 @@ def words(text):
     return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
 
 
-@pytest.mark.parametrize("block_words", [250_000, 40])
-def test_contamination(spark, rng, block_words):
+@pytest.mark.parametrize(("block_words", "search_words"), [(250_000, 2_000_000), (40, 2_000_000), (40, 0), (20, 60)])
+def test_contamination(spark, rng, block_words, search_words):
     items = [(i, prose(rng, n)) for i, n in enumerate((30, 12, 10, 4, 1, 25))] + [(None, prose(rng, 15)), (7, None), (8, "!!"), (1, prose(rng, 11)), (2, "Été déjà vu " * 4)]
     docs = [(i, prose(rng, 40)) for i in range(5)]
     for i, (_, t) in enumerate(items):
@@ -28,7 +28,7 @@ def test_contamination(spark, rng, block_words):
         docs.append((20 + i, f"{prose(rng, 9)}, {' - '.join(w[: len(w) - i % 3])}! {prose(rng, 3).upper()} {' '.join(w)}"))
     docs += [(90, None), (91, ""), (92, "ÉTÉ Été déjà vu" * 2)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = {r.doc_id: r for r in decontaminate.contamination_report(documents(spark, docs), bench, block_words=block_words).collect()}
+    got = {r.doc_id: r for r in decontaminate.contamination_report(documents(spark, docs), bench, block_words=block_words, search_words=search_words).collect()}
     for doc_id, text in docs:
         w, hit, named = words(text), set(), set()
         for item, t in items:
@@ -44,6 +44,39 @@ def test_contamination(spark, rng, block_words):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
 
 
+def test_contamination_of_a_large_benchmark(spark, rng):
+    """More words than one pass searches, against the SQL."""
+    import duckdb
+
+    n, length = 10_300, 200
+    item = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.concat(F.lit("w"), F.conv((F.xxhash64("id", i) % 99_991).cast("string"), 10, 36))))
+    bench = spark.range(n, numPartitions=4).select(F.col("id").alias("item_id"), item.alias("text"))
+    some = [r.text.split() for r in bench.where("item_id in (0, 5000, 10299)").collect()]
+    docs = [(i, prose(rng, 50)) for i in range(20)] + [(100 + i, f"{prose(rng, 8)} {' '.join(w[20:45])} {prose(rng, 8)}") for i, w in enumerate(some)]
+    got = decontaminate.contamination_report(documents(spark, docs), bench).toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents(spark, docs).toPandas())
+    con.register("benchmark", bench.toPandas())
+    expected = {r[0]: r[1:] for r in con.execute(decontaminate.SQL).fetchall()}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.itertuples()} == expected
+    assert sorted(got[got.contaminated].doc_id) == [100, 101, 102]
+
+
+def test_operators_in_one_session(spark, rng):
+    """Shuffles that one operator cleans up are never those another one reads."""
+    from tessitura.llm import jaccard_join, suffix_dedup
+
+    text = prose(rng, 30)
+    frame = documents(spark, [(1, text), (2, f"{prose(rng, 5)} {text}"), (3, None), (4, text)])
+    bench = spark.createDataFrame([(i, prose(rng, 12)) for i in range(40)] + [(99, text)], "item_id long, text string")
+    for turn in range(6):
+        if turn < 2:
+            assert suffix_dedup.remove_repeats(frame).count() == jaccard_join.jaccard_components(frame).count() == 4
+        got = {r.doc_id: r.n_hit for r in decontaminate.contamination_report(frame, bench).collect()}
+        assert got == {1: 30, 2: 30, 3: 0, 4: 30}
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_contamination_without_items(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination_report(documents(spark, [(1, "a b")]), bench).first().n_hit == 0
