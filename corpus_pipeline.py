@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm import pipeline_stages as s
-from tessitura.llm._common import shared_dir
+from tessitura.llm._common import clean_shuffles, shared_dir
 
 STAGES = [
     ("language_id", s.keep_known_language),
@@ -27,6 +27,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}-{name}")
+        with clean_shuffles(spark):
+            out.write.parquet(f"{root}/{k}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}-{name}")
     return docs
