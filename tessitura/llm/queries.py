@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, language_id, license_scan, mixing, periodic_runs, quality, secret_scan, suffix_dedup, token_alignment, toxicity
+from . import ann, decontaminate, jaccard_join, language_id, license_scan, mixing, periodic_runs, quality, secret_scan, site_tree, suffix_dedup, token_alignment, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
@@ -61,5 +65,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_language_id, op4_quality, op5_jaccard_join, op6_nearest_neighbours, op7_secret_scan, op8_toxicity, op9_decontamination, op10_mixing, op12_periodic_runs, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_language_id, op4_quality, op5_jaccard_join, op6_nearest_neighbours, op7_secret_scan, op8_toxicity, op9_decontamination, op10_mixing, op11_html_extraction, op12_periodic_runs, op13_token_alignment)}
 SQL = {"op1_suffix_dedup": suffix_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op9_decontamination": decontaminate.SQL, "op12_periodic_runs": periodic_runs.SQL}
