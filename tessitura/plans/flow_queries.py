@@ -376,8 +376,8 @@ def st1_vote_stream(t):
     spark = t("events").sparkSession
     root = f"{shared_dir(spark)}/votes-{uuid.uuid4().hex}"
     given = votes(t).withColumn("voted_at", F.col("voted_at").cast("timestamp"))
-    given.coalesce(1).write.parquet(f"{root}/in")
-    stream = streams.vote_stream(spark.readStream.schema(given.schema).parquet(f"{root}/in"), votes(t).select("work_id").distinct(), watermark="3650 days")
+    given.repartition(6, "id").write.parquet(f"{root}/in")  # files in any order of time, two to a batch
+    stream = streams.vote_stream(spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), votes(t).select("work_id").distinct(), watermark="3650 days")
     streams.running_counts(stream, f"{root}/out", f"{root}/state").awaitTermination()
     return streams.total_counts(spark, f"{root}/out").select("work_id", "n")
 

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tessitura.plans import flow_queries, name_queries, queries  # noqa: F401 - they register their queries
+from tessitura.plans import flow_queries, name_queries, queries, table_queries  # noqa: F401 - they register their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
