@@ -5,25 +5,81 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.keys import basename, number_rows, valid_sha256
 from ..functions.names import strip, text
+from ..sources.staging import stage
 from .tables import first_per_key
 
 BLOCK = 1 << 20
 
 
-def hash_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, length and SHA-256 of files under a folder."""
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a local path or of one as Spark shows it, a URI without escapes, of the kinds that
+    pyarrow knows (local, HDFS, S3, GCS)."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe="/:@?&=+,;$!*'()~"))
+
+
+def open_file(path: str):
+    """A binary file that can be sought."""
+    store, at = store_of(path)
+    return store.open_input_file(at)
+
+
+def _dealt(rows: DataFrame, size: str, keys: list[str], bytes_per_task: int) -> DataFrame:
+    """The rows dealt to as many tasks as their bytes ask for."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return rows.repartition(max(1, -(-total // bytes_per_task)), *keys)
+
+
+def hash_ranges(ranges: DataFrame, *, bytes_per_task: int = 256 << 20, opener: Callable = open_file) -> DataFrame:
+    """`ranges` (path, offset, length, and other columns) with the SHA-256 of these bytes, read a block at a
+    time: memory doesn't depend on their number. Tasks get about `bytes_per_task` each; a longer range is a
+    task's alone. A range that ends beyond the file, or a file that can't be read, has a null hash."""
+
+    def run(batches):
+        for batch in batches:
+            found = pd.Series(None, index=batch.index, dtype=object)
+            for path, rows in batch.groupby("path", sort=False).groups.items():
+                try:
+                    with opener(path) as source:
+                        for i in rows:
+                            found[i] = _digest(source, int(batch.at[i, "offset"]), int(batch.at[i, "length"]))
+                except OSError:
+                    continue
+            yield batch.assign(sha256=found)
+
+    return _dealt(ranges, "length", ["path", "offset"], bytes_per_task).mapInPandas(run, StructType([*ranges.schema.fields, StructField("sha256", StringType())]))
+
+
+def _digest(source, offset: int, length: int) -> str | None:
+    digest, left = hashlib.sha256(), length
+    source.seek(offset)
+    while left:
+        piece = source.read(min(left, BLOCK))
+        if not piece:
+            return None
+        digest.update(piece)
+        left -= len(piece)
+    return digest.hexdigest()
+
+
+def hash_files(spark: SparkSession, path: str, glob: str = "*", **options) -> DataFrame:
+    """Path, length and SHA-256 of files of any size under a folder; only their listing is rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return hash_ranges(files.select("path", F.lit(0).cast("long").alias("offset"), "length"), **options).drop("offset")
 
 
 def verify_copies(files: DataFrame, locations: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -86,7 +142,7 @@ def archive_members_at(archives: DataFrame, opener: Callable | None = None) -> D
 
     def run(batches):
         def opened(path: str):
-            store, at = pafs.FileSystem.from_uri(path)
+            store, at = store_of(path)
             return store.open_input_stream(at)
 
         rows = []
@@ -114,6 +170,99 @@ def archive_members_at(archives: DataFrame, opener: Callable | None = None) -> D
     return archives.select("id", "path").mapInPandas(run, "archive_id long, relative_path string, sha256 string, size long")
 
 
+def pack_archives(rows: DataFrame, root: str, *, archive: str = "archive_id", name: str = "relative_path", content: str = "content") -> DataFrame:
+    """Writes rows as members of TAR files `<root>/<archive>.tar`, in the order of their names, and gives
+    (archive_id, path, members). An archive is written by one task, row by row; it takes its name when it is
+    whole, so a task that runs again, or twice, leaves one."""
+
+    def run(batches):
+        done, at, tar, out, n = [], None, None, None, 0
+        store, folder = store_of(root)
+        store.create_dir(folder)
+
+        def finish():
+            nonlocal tar
+            if tar is not None:
+                tar.close()
+                out.close()
+                store.move(draft, f"{folder}/{at}.tar")
+                done.append((at, f"{root.rstrip('/')}/{at}.tar", n))
+                tar = None
+
+        for batch in batches:
+            for key, member, data in zip(batch[archive], batch[name], batch[content]):
+                if tar is None or key != at:
+                    finish()
+                    at, n, draft = key, 0, f"{folder}/.{key}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(draft)
+                    tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.GNU_FORMAT)
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+                n += 1
+        finish()
+        yield pd.DataFrame(done, columns=["archive_id", "path", "members"])
+
+    dealt = rows.select(archive, name, content).repartition(archive).sortWithinPartitions(archive, name)
+    return dealt.mapInPandas(run, "archive_id long, path string, members long")
+
+
+def truncate_files(cuts: DataFrame) -> DataFrame:
+    """Cuts files (path, length) off after so many bytes, as a broken transfer does; gives the paths. A file
+    that is no longer than that stays."""
+
+    def run(batches):
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"]):
+                store, at = store_of(path)
+                draft, left = f"{at}.{uuid.uuid4().hex}", int(length)
+                with store.open_input_stream(at) as source, store.open_output_stream(draft) as out:
+                    while left and (piece := source.read(min(left, BLOCK))):
+                        out.write(piece)
+                        left -= len(piece)
+                store.move(draft, at)
+            yield batch[["path"]]
+
+    return cuts.select("path", "length").mapInPandas(run, "path string")
+
+
+def archive_index(archives: DataFrame, *, opener: Callable = open_file) -> DataFrame:
+    """(archive_id, path, relative_path, offset, length) of the members of plain TAR files (id, path): headers
+    are read, contents are passed over. Where a header can't be read the list ends."""
+
+    def run(batches):
+        for batch in batches:
+            for archive_id, path in zip(batch["id"], batch["path"]):
+                rows = []
+                try:
+                    with opener(path) as source, tarfile.open(fileobj=source, mode="r:") as tar:
+                        while (member := tar.next()) is not None:
+                            tar.members.clear()  # tarfile would keep them all
+                            if member.isreg() and not member.issparse():
+                                rows.append((archive_id, path, member.name, member.offset_data, member.size))
+                            if len(rows) == 10_000:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows.clear()
+                except (tarfile.TarError, OSError):
+                    pass
+                yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["archive_id", "path", "relative_path", "offset", "length"]
+    return archives.select("id", "path").mapInPandas(run, "archive_id long, path string, relative_path string, offset long, length long")
+
+
+def archive_members_by_range(archives: DataFrame, *, bytes_per_task: int = 256 << 20, opener: Callable = open_file) -> DataFrame:
+    """As `archive_members_at`, for plain TAR files: members are listed first, and then hashed by their
+    offsets, so one huge archive is the work of many tasks. A member that the file cuts off has no row."""
+    index = stage(archive_index(_spread(archives), opener=opener))
+    hashed = hash_ranges(index, bytes_per_task=bytes_per_task, opener=opener).where("sha256 is not null")
+    return hashed.select("archive_id", "relative_path", "sha256", F.col("length").alias("size"))
+
+
+def _spread(archives: DataFrame) -> DataFrame:
+    return archives.select("id", "path").repartition("path")
+
+
 def expand_archives(archives: DataFrame, entries: DataFrame, members: DataFrame) -> Expanded:
     """Entries become ready or failed by the members found, files are one per hash, archives
     materialized (any entry ready), failed (all failed) or imported (no entries)."""

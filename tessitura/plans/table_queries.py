@@ -6,9 +6,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import contain, content
+from ..sources import readers
 from ..sources.publish import TableSet
 from ..sources.staging import shared_dir
 from ..streaming import votes as streams
@@ -169,3 +171,57 @@ def st2_matched_stream(t):
                 raise RuntimeError("the run did not stop")
         run()
     return streams.match_outcomes(tables)
+
+
+PIECE = "substr(p_name, 1 + p_partkey % 5, 1 + p_partkey % 7)"
+
+
+@query(f"SELECT DISTINCT p.p_partkey AS id, n.needle FROM part p JOIN (SELECT DISTINCT {PIECE} AS needle FROM part UNION SELECT DISTINCT lower(mktsegment) FROM (SELECT c_mktsegment AS mktsegment FROM customer)) n ON trim(n.needle) <> '' AND contains(trim(regexp_replace(lower(p.p_name), '[\\s]+', ' ', 'g')), trim(regexp_replace(lower(n.needle), '[\\s]+', ' ', 'g')))")
+def p7_containment_join(t):
+    """All names of parts with all needles, pieces of one to seven signs of the names among them."""
+    needles = t("part").selectExpr(f"{PIECE} as needle").unionByName(t("customer").selectExpr("lower(c_mktsegment) as needle")).distinct()
+    return contain.catalogues_containing(t("part").selectExpr("p_partkey as id", "p_name as composer"), needles)
+
+
+@query("SELECT DISTINCT c.c_custkey AS id, n.needle FROM (SELECT DISTINCT right(c_name, 3 + c_custkey % 5) AS needle FROM customer) n JOIN customer c ON contains(lower(c.c_name), n.needle) WHERE c.c_custkey % 3 > 0 OR c.c_custkey % 2 = 0")
+def p3_composers_like_any(t):
+    """Entities by name (a third of them has another name, and two thirds an alias) with the last digits of all names."""
+    composers = t("customer").selectExpr("c_custkey as id", "if(c_custkey % 3 = 0, '?', c_name) as name", "'active' as status")
+    aliases = t("customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as composer_id", "lower(c_name) as normalized_alias")
+    return contain.composers_like_any(composers, aliases, t("customer").selectExpr("right(c_name, 3 + c_custkey % 5) as needle"))
+
+
+@query("SELECT l_suppkey AS supplier, sum(length(line)) AS length, sha256(string_agg(line, '' ORDER BY l_orderkey, l_linenumber, l_partkey)) AS sha256 FROM (SELECT *, concat(l_orderkey, ',', l_linenumber, ',', l_partkey, chr(10)) AS line FROM lineitem) GROUP BY l_suppkey")
+def c1_hashed_files(t):
+    """A file for each supplier, written by Spark and hashed as a stream."""
+    root, own = own_folder(t("lineitem"), "files"), ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    lines = t("lineitem").select(*own, F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey").alias("value"))
+    lines.repartition("l_suppkey").sortWithinPartitions(*own).select(F.col("l_suppkey").alias("supplier"), "value").write.partitionBy("supplier").text(root)
+    hashes = content.hash_files(lines.sparkSession, root, "*.txt")
+    return hashes.select(F.regexp_extract("path", "supplier=(\\d+)", 1).cast("long").alias("supplier"), "length", "sha256")
+
+
+@query(
+    "WITH e AS (SELECT doc_id, doc_id // 50 AS archive, text, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY './' || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS turn FROM documents),"
+    " r AS (SELECT *, archive % 7 <> 3 OR turn <= 3 AS ready FROM e)"
+    " SELECT doc_id AS id, archive AS archive_id, ready, CASE WHEN ready THEN sha256(text) END AS sha256, CASE WHEN ready THEN strlen(text) END AS size, CASE WHEN bool_or(ready) OVER (PARTITION BY archive) THEN 'materialized' ELSE 'failed' END AS archive_status FROM r"
+)
+def c3_archives_on_disk(t):
+    """Documents packed into TAR files, of which every seventh breaks off in the header of its fourth member;
+    listed, read by offsets, and joined to their entries."""
+    spark, root = t("documents").sparkSession, own_folder(t("documents"), "archives")
+    path = F.concat(F.lit("./"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    entries = t("documents").select(F.col("doc_id").alias("id"), F.expr("doc_id div 50").alias("archive_id"), path.alias("relative_path"))
+    members = entries.join(t("documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content")), "id")
+    content.pack_archives(members, root).write.format("noop").mode("overwrite").save()
+
+    def archives():
+        files = readers.list_files(spark, root, "*.tar")
+        return files.select(F.regexp_extract("relative_path", "(\\d+)", 1).cast("long").alias("id"), F.concat(F.lit(f"{root}/"), "relative_path").alias("path"))
+
+    fourth = content.archive_index(archives().where("id % 7 = 3")).withColumn("turn", F.row_number().over(Window.partitionBy("archive_id").orderBy("offset"))).where("turn = 4")
+    content.truncate_files(fourth.select("path", (F.col("offset") - 256).alias("length"))).write.format("noop").mode("overwrite").save()
+    listed = archives()
+    done = content.expand_archives(listed.withColumn("status", F.lit("imported")), entries, content.archive_members_by_range(listed))
+    states = done.archives.select(F.col("id").alias("archive_id"), F.col("status").alias("archive_status"))
+    return done.entries.join(states, "archive_id").select("id", "archive_id", (F.col("status") == "ready").alias("ready"), "sha256", "size", "archive_status")
