@@ -7,6 +7,7 @@ import io
 import tarfile
 import uuid
 from collections.abc import Callable
+from fnmatch import fnmatchcase
 from typing import NamedTuple
 from urllib.parse import quote
 
@@ -76,9 +77,38 @@ def _digest(source, offset: int, length: int) -> str | None:
     return digest.hexdigest()
 
 
+def list_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path and length of the files under a folder whose names fit, empty ones among them (which Spark's file
+    sources pass over); names that begin with `.` or `_` don't count, as there. The folder's own folders
+    are listed by tasks."""
+
+    def shown(info: pafs.FileInfo, base: str) -> bool:
+        return not any(part[:1] in "._" for part in info.path[len(base) :].split("/") if part)
+
+    def files(infos, base: str) -> pd.DataFrame:
+        found = [(prefix + i.path, i.size) for i in infos if i.type == pafs.FileType.File and shown(i, base) and fnmatchcase(i.base_name, glob)]
+        return pd.DataFrame(found, columns=["path", "length"])
+
+    def run(batches):
+        store, base = store_of(root.rstrip("/"))
+        for batch in batches:
+            for path in batch["path"]:
+                yield files(store.get_file_info(pafs.FileSelector(path, recursive=True)), base)
+
+    store, base = store_of(root.rstrip("/"))
+    prefix = "" if isinstance(store, pafs.LocalFileSystem) else root.rstrip("/").removesuffix(base)
+    top = store.get_file_info(pafs.FileSelector(base))
+    folders = [i.path for i in top if i.type == pafs.FileType.Directory and shown(i, base)]
+    own = spark.createDataFrame(files(top, base).values.tolist(), "path string, length long")
+    if not folders:
+        return own
+    below = spark.createDataFrame([(f,) for f in folders], "path string").repartition(min(len(folders), 200), "path")
+    return own.unionByName(below.mapInPandas(run, "path string, length long"))
+
+
 def hash_files(spark: SparkSession, path: str, glob: str = "*", **options) -> DataFrame:
     """Path, length and SHA-256 of files of any size under a folder; only their listing is rows."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    files = list_tree(spark, path, glob)
     return hash_ranges(files.select("path", F.lit(0).cast("long").alias("offset"), "length"), **options).drop("offset")
 
 
