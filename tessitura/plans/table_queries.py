@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import contain, content
-from ..sources import readers
+from ..sources import readers, registry
 from ..sources.publish import TableSet
 from ..sources.staging import shared_dir
 from ..streaming import votes as streams
@@ -225,3 +225,45 @@ def c3_archives_on_disk(t):
     done = content.expand_archives(listed.withColumn("status", F.lit("imported")), entries, content.archive_members_by_range(listed))
     states = done.archives.select(F.col("id").alias("archive_id"), F.col("status").alias("archive_status"))
     return done.entries.join(states, "archive_id").select("id", "archive_id", (F.col("status") == "ready").alias("ready"), "sha256", "size", "archive_status")
+
+
+@query(
+    "WITH v AS (SELECT event_id AS id, CASE WHEN event_id % 101 > 0 THEN CAST(user_id AS VARCHAR) END AS user_id, event_id % 200 AS work_id, CAST(floor(value) AS BIGINT) % 7 AS vote, CAST(ts AS DATE) AS d FROM events),"
+    " vr AS (SELECT *, concat_ws(',', CASE WHEN user_id IS NULL THEN 'null:user_id' END, CASE WHEN vote NOT BETWEEN 1 AND 5 THEN 'value:vote' END) AS reason FROM v),"
+    " vk AS (SELECT id, row_number() OVER (PARTITION BY user_id, work_id, d ORDER BY id) AS turn FROM vr WHERE reason = ''),"
+    " a AS (SELECT p_partkey AS id, 'c' || p_partkey % 40 AS composer_id, p_name, CASE WHEN p_partkey % 11 > 0 THEN 'name' END AS name_type FROM part),"
+    " ak AS (SELECT id, row_number() OVER (PARTITION BY composer_id, p_name ORDER BY id) AS turn FROM a WHERE name_type IS NOT NULL)"
+    " SELECT 'votes' AS name, id, reason FROM vr WHERE reason <> '' UNION ALL SELECT 'votes', id, 'key:user_id,work_id,vote_day' FROM vk WHERE turn > 1"
+    " UNION ALL SELECT 'aliases', id, 'null:name_type' FROM a WHERE name_type IS NULL UNION ALL SELECT 'aliases', id, 'key:composer_id,normalized_alias' FROM ak WHERE turn > 1"
+)
+def s10_typed_rejects(t):
+    """Two tables written under the registry's names and scanned in its types; what breaks its rules."""
+    spark, root = t("events").sparkSession, own_folder(t("events"), "typed")
+    given = t("events").selectExpr(
+        "event_id as id", "if(event_id % 101 > 0, cast(user_id as string), null) as user_id", "event_id % 200 as work_id", "cast(cast(floor(value) as bigint) % 7 as int) as vote",
+        "cast(ts as timestamp) as voted_at", "cast(ts as date) as vote_day",
+    )
+    given.write.parquet(f"{root}/votes.parquet")
+    t("part").selectExpr(
+        "p_partkey as id", "concat('c', p_partkey % 40) as composer_id", "p_name as alias", "p_name as normalized_alias", "if(p_partkey % 11 > 0, 'name', null) as name_type",
+        "cast(null as string) as language", "'part' as source", "p_size as more",
+    ).write.parquet(f"{root}/composer_aliases.parquet")
+    found = [registry.scan_typed(spark, root, table).rejects.select(F.lit(name).alias("name"), "id", "reason") for name, table in (("votes", "votes"), ("aliases", "composer_aliases"))]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey % 2 AS run, CASE o_orderkey % 5 WHEN 0 THEN 'matched_existing' WHEN 1 THEN 'no_match' WHEN 2 THEN 'error' ELSE 'other' END AS outcome FROM orders)"
+    " SELECT CASE run WHEN 0 THEN '01' ELSE 'second run' END AS run_id, outcome, count(*) AS n, sum(count(*)) OVER (PARTITION BY run)::BIGINT AS rows FROM o GROUP BY run, outcome"
+)
+def s11_run_counters(t):
+    """Outcomes of two runs, the first one written twice, counted while they are written and again in the rows."""
+    spark, path = t("orders").sparkSession, own_folder(t("orders"), "runs")
+    outcome = "case o_orderkey % 5 when 0 then 'matched_existing' when 1 then 'no_match' when 2 then 'error' when 3 then 'unheard' end as outcome"
+    rows, known = t("orders").selectExpr("o_orderkey as work_id", outcome), ("matched_existing", "no_match", "error")
+    lots = (("01", "work_id % 2 = 0 and work_id % 3 = 0"), ("01", "work_id % 2 = 0"), ("second run", "work_id % 2 = 1"))
+    runs = {run_id: readers.append_results(rows.where(where), path, run_id, outcome="outcome", outcomes=known) for run_id, where in lots}
+    observed = readers.run_summary(spark, list(runs.values())).select("run_id", "outcome", "n", "rows")
+    listed = F.when(F.col("outcome").isin(*known), F.col("outcome")).otherwise("other")
+    stored = readers.read_results(spark, path).groupBy("run_id", listed.alias("outcome")).agg(F.count("*").alias("stored"))
+    return observed.join(stored, ["run_id", "outcome"]).where("n = stored").drop("stored")

@@ -45,7 +45,7 @@ def brute(sides, text):
     return len(a), len(b), groups, [(i, j) for s, e, i in spans[0] for c, d, j in spans[1] if s < d and c < e]
 
 
-@pytest.mark.parametrize(("memo", "memo_ids"), [(200_000, 48), (0, 48), (10, 3)])
+@pytest.mark.parametrize(("memo", "memo_ids"), [(500_000, 48), (0, 48), (10, 3)])
 def test_windows(sides, rng, memo, memo_ids):
     aligner = ta.Aligner(*sides, memo, memo_ids)
     for text in [*ODD, *(prose(rng, 40) for _ in range(10)), "Ünï çödé wörds " * 9]:
