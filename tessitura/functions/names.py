@@ -76,7 +76,7 @@ ATTRIBUTION_TYPES = [
     ("ANONIMA", r"\b(anon|anonymous|anonimo|anónimo)\b"),
     ("DESCONOCIDO", r"\b(unknown|unbekannt|desconocido|composer unknown|autor desconocido)\b"),
     ("TRADICIONAL", r"\b(traditional|trad|tradicional|traditionell|traditionnel|folk)\b"),
-    ("POPULAR", r"\b(popular|popular)\b"),
+    ("POPULAR", r"\b(popular)\b"),
     ("ATRIBUIDA", r"\b(attrib|attributed|atribuida|atribuido)\b"),
 ]
 
@@ -174,10 +174,13 @@ def _any(c: Column, tests: list[Column]) -> Column:
 
 def classify_name(c: Column) -> Column:
     """correct, incorrect or not_reviewed, by the form of the name alone."""
-    s = strip(text(c))
-    lower = F.lower(s)
+    return let(strip(text(c)), _form_of)
+
+
+def _form_of(s: Column) -> Column:
     tokens = F.filter(F.split(s, r"[\s,]+"), lambda t: t != "")
-    wrong = (F.length(s) < 2) | ~s.rlike(r"\p{L}") | is_mojibake(s) | _any(lower, [lower.contains(p) for p in NOISE]) | s.rlike("[0-9]")
+    noise = let(F.lower(s), lambda lower: _any(lower, [lower.contains(p) for p in NOISE]))
+    wrong = (F.length(s) < 2) | ~s.rlike(r"\p{L}") | is_mojibake(s) | noise | s.rlike("[0-9]")
     plain = s.rlike(r"^[A-Za-zÀ-ÿ'.\-, ]+$") & (F.size(tokens) >= 2)
     return F.when(wrong, INCORRECT).when(plain, CORRECT).otherwise(NOT_REVIEWED)
 
@@ -267,39 +270,50 @@ def is_anonymous(c: Column, words: list[str] = ANONYMOUS_IN_MATCHING, strip_mark
 
 def name_key(c: Column, anonymous: list[str] = ANONYMOUS_IN_AUTHORITY) -> Column:
     """Initials and surname; `anonymous` for such names; '' without a Latin letter."""
-    low = F.translate(F.lower(strip(text(c))), "'’", "")
-    tokens = F.regexp_extract_all(low, F.lit("([a-zà-ÿ]+)"), F.lit(1))
-    n = F.size(tokens)
-    joined = (n > 1) & (F.get(tokens, n - 2) == "o")
-    surname = F.when(joined, F.concat(F.lit("o"), F.get(tokens, n - 1))).otherwise(F.get(tokens, n - 1))
-    given = F.slice(tokens, F.lit(1), F.greatest(F.when(joined, n - 2).otherwise(n - 1), F.lit(0)))
-    initials = F.array_join(F.transform(given, lambda t: F.left(t, F.lit(1))), "")
-    key = F.when(n == 0, F.lit("")).otherwise(F.trim(F.concat_ws(" ", initials, surname)))
-    return F.when(low.isin(anonymous) | low.startswith(ANONYMOUS_PREFIX), "anonymous").otherwise(key)
+
+    def keyed(tokens: Column) -> Column:
+        n = F.size(tokens)
+        joined = (n > 1) & (F.get(tokens, n - 2) == "o")
+        surname = F.when(joined, F.concat(F.lit("o"), F.get(tokens, n - 1))).otherwise(F.get(tokens, n - 1))
+        given = F.slice(tokens, F.lit(1), F.greatest(F.when(joined, n - 2).otherwise(n - 1), F.lit(0)))
+        initials = F.array_join(F.transform(given, lambda t: F.left(t, F.lit(1))), "")
+        return F.when(n == 0, F.lit("")).otherwise(F.trim(F.concat_ws(" ", initials, surname)))
+
+    def of(low: Column) -> Column:
+        key = let(F.regexp_extract_all(low, F.lit("([a-zà-ÿ]+)"), F.lit(1)), keyed)
+        return F.when(low.isin(anonymous) | low.startswith(ANONYMOUS_PREFIX), "anonymous").otherwise(key)
+
+    return let(F.translate(F.lower(strip(text(c))), "'’", ""), of)
 
 
 def candidate_label(c: Column) -> Column:
     """struct(label, verdict) of an attribution: real, review, mojibake, no_persona or qualifier."""
-    s = strip(text(c))
-    low = F.lower(s)
-    words = F.filter(F.split(clean_name(c), " "), lambda w: w != "")
-    bare = (F.size(words) == 0) | F.forall(words, lambda w: F.length(w) <= 1) | (F.length(F.array_join(words, "")) <= 2)
 
     def label(name: str, verdict: str) -> Column:
         return F.struct(F.lit(name).alias("label"), F.lit(verdict).alias("verdict"))
 
-    by_form = classify_name(c)
-    return (
-        F.when(low.isin(ANONYMOUS_IN_CANDIDATES) | low.startswith(ANONYMOUS_PREFIX), label("no_persona", INCORRECT))
-        .when(is_mojibake(c), label("mojibake", INCORRECT))
-        .when(low.rlike("(?uU)" + "|".join(QUALIFIERS)), label("qualifier", INCORRECT))
-        .when(low.rlike("(?uU)" + "|".join(NO_PERSON)), label("no_persona", INCORRECT))
-        .when(s.rlike('^["“]|["”]$'), label("no_persona", INCORRECT))
-        .when(bare, label("no_persona", INCORRECT))
-        .when(by_form == CORRECT, label("real", CORRECT))
-        .when(by_form == INCORRECT, label("no_persona", INCORRECT))
-        .otherwise(label("review", NOT_REVIEWED))
-    )
+    def is_bare(words: Column) -> Column:
+        return (F.size(words) == 0) | F.forall(words, lambda w: F.length(w) <= 1) | (F.length(F.array_join(words, "")) <= 2)
+
+    def by_words(low: Column) -> Column:
+        """The number of the first rule of the lower-cased text that holds, 0 if none does."""
+        named = low.isin(ANONYMOUS_IN_CANDIDATES) | low.startswith(ANONYMOUS_PREFIX)
+        return F.when(named, 1).when(low.rlike("(?uU)" + "|".join(QUALIFIERS)), 2).when(low.rlike("(?uU)" + "|".join(NO_PERSON)), 3).otherwise(0)
+
+    def of(s: Column) -> Column:
+        bare = let(F.filter(F.split(clean_name(s), " "), lambda w: w != ""), is_bare)
+        by_form = let(_form_of(s), lambda f: F.when(f == CORRECT, label("real", CORRECT)).when(f == INCORRECT, label("no_persona", INCORRECT)).otherwise(label("review", NOT_REVIEWED)))
+        return let(
+            by_words(F.lower(s)),
+            lambda rule: F.when(rule == 1, label("no_persona", INCORRECT))
+            .when(is_mojibake(s), label("mojibake", INCORRECT))
+            .when(rule == 2, label("qualifier", INCORRECT))
+            .when((rule == 3) | s.rlike('^["“]|["”]$'), label("no_persona", INCORRECT))
+            .when(bare, label("no_persona", INCORRECT))
+            .otherwise(by_form),
+        )
+
+    return let(strip(text(c)), of)
 
 
 def is_person_entry(name: Column, entity_id: Column, works: str = WORK_TITLES) -> Column:
@@ -355,6 +369,76 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+VERDICT = "valid: BOOLEAN, score: DOUBLE, reason: STRING"
+
+
+def _let_sql(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), {_quoted(r'(?U)^\s+|\s+$')}, '')"
+
+
+def _clean_sql(x: str) -> str:
+    letters = f"regexp_replace(regexp_replace(coalesce({x}, ''), '[–—]', '-'), {_quoted(r'[^\p{L}\-]')}, ' ')"
+    return f"regexp_replace(regexp_replace({letters}, {_quoted(r'^[ \-]+|[ \-]+$')}, ''), ' +', ' ')"
+
+
+def _in_sql(x: str, values: list[str]) -> str:
+    return f"{x} IN ({', '.join(map(_quoted, values))})"
+
+
+def _validate_sql(x: str) -> str:
+    """`validate_name` in SQL, of an expression."""
+
+    def is_title(t: str) -> str:
+        return f"rlike({t}, {_quoted(r'^\P{L}*(?:[\p{Lu}\p{Lt}]\p{Ll}*(?:\P{L}+|$))+$')})"
+
+    def is_upper(t: str) -> str:
+        return f"(rlike({t}, {_quoted(r'\p{Lu}')}) AND NOT rlike({t}, {_quoted(r'[\p{Ll}\p{Lt}]')}))"
+
+    def verdict(valid: str, score: str, reason: str) -> str:
+        return f"named_struct('valid', {valid}, 'score', CAST({score} AS DOUBLE), 'reason', '{reason}')"
+
+    score = f"CASE WHEN length(t) = 1 AND {is_upper('t')} THEN 1.0D WHEN {is_title('t')} THEN 1.5D WHEN {is_upper('t')} THEN 1.2D WHEN {_in_sql('lower(t)', PARTICLES)} THEN 0.8D ELSE 0.0D END"
+    points = f"transform(k, t -> named_struct('score', {score}, 'capitals', CAST({is_title('t')} OR {is_upper('t')} AS INT)))"
+    sums = f"aggregate({points}, named_struct('score', 0.0D, 'capitals', 0), (a, p) -> named_struct('score', a.score + p.score, 'capitals', a.capitals + p.capitals))"
+    forbidden = f"exists(k, t -> {_in_sql('lower(t)', FORBIDDEN_WORDS)})"
+    lone = f"{is_title('k[0]')} AND NOT {forbidden} AND length(k[0]) > 1 AND NOT rlike(k[0], {_quoted(r'^\p{Nd}+$')})"
+    judged = (
+        f"CASE WHEN size(k) = 0 THEN {verdict('false', '0', 'empty')} WHEN size(k) = 1 AND {lone} THEN {verdict('true', '0.7D', 'single surname')}"
+        f" WHEN size(k) = 1 THEN {verdict('false', '0', 'single word')} WHEN {forbidden} THEN {verdict('false', '0', 'forbidden word')}"
+        f" WHEN size(k) = 2 AND s.capitals >= 1 AND s.score >= 2 THEN {verdict('true', 's.score', 'two words')} WHEN s.score >= 2.5D THEN {verdict('true', 's.score', 'person')}"
+        f" ELSE {verdict('false', 's.score', 'score too low')} END"
+    )
+    spaced = f"regexp_replace({_strip_sql(x)}, '([a-z])([A-Z])', '$1 $2')"
+    return _let_sql(f"filter(split({spaced}, {_quoted(r'(?U)\s+')}), t -> t <> '')", "k", _let_sql(sums, "s", judged))
+
+
+def _extract_sql(x: str) -> str:
+    """`extract_name` in SQL, without a recogniser."""
+    arranged, last_by = r"(?iuUs)^(.*?)\barr(?:\.|anged)", r"(?iuUs)^.*\bby\b(.*)$"
+    after = [f"CASE WHEN instr(lower(s), {_quoted(m)}) > 0 THEN substr(s, instr(lower(s), {_quoted(m)}) + {len(m)}) END" for m in NAME_FOLLOWS]
+    other = [f"CASE WHEN rlike(s, {_quoted(p)}) THEN regexp_extract(s, {_quoted(p)}, 1) END" for p in (arranged, last_by)]
+    marked = f"regexp_replace(nullif(coalesce({', '.join(after + other)}), ''), {_quoted(r'^[ \[\]()\t.:]+|[ \[\]()\t.:]+$')}, '')"
+    tried = [_let_sql(_clean_sql(v), "o", f"CASE WHEN o <> '' AND {_validate_sql('o')}.valid THEN o END") for v in (marked, "s")]
+    marks = f"length(s) - length(translate(s, {_quoted(MOJIBAKE_MARKS)}, ''))"
+    broken = f"contains(s, '\ufffd') OR rlike(s, '[{MOJIBAKE_ALONE}]') OR {marks} >= 2"
+    return _let_sql(_strip_sql(x), "s", f"CASE WHEN s <> '' AND NOT ({broken}) THEN coalesce({', '.join(tried)}) END")
+
+
+def _key_sql(x: str) -> str:
+    """`name_key` in SQL."""
+    joined = "(size(k) > 1 AND get(k, size(k) - 2) = 'o')"
+    surname = f"CASE WHEN {joined} THEN concat('o', get(k, size(k) - 1)) ELSE get(k, size(k) - 1) END"
+    given = f"slice(k, 1, greatest(CASE WHEN {joined} THEN size(k) - 2 ELSE size(k) - 1 END, 0))"
+    key = f"CASE WHEN size(k) = 0 THEN '' ELSE trim(concat_ws(' ', array_join(transform({given}, t -> left(t, 1)), ''), {surname})) END"
+    of_tokens = _let_sql("regexp_extract_all(low, '([a-zà-ÿ]+)', 1)", "k", key)
+    body = f"CASE WHEN {_in_sql('low', ANONYMOUS_IN_AUTHORITY)} OR startswith(low, {_quoted(ANONYMOUS_PREFIX)}) THEN 'anonymous' ELSE {of_tokens} END"
+    return _let_sql(f"translate(lower({_strip_sql(x)}), {_quoted(chr(39) + '’')}, '')", "low", body)
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Name functions as temporary SQL functions: expressions that Catalyst inlines, no Python."""
     stripped = r"regexp_replace(coalesce(x, ''), '(?U)^\\s+|\\s+$', '')"
@@ -381,6 +465,7 @@ def register_functions(spark: SparkSession) -> list[str]:
             rf" THEN '' ELSE regexp_extract({stripped}, '^([A-Za-z]+)(?:[.]|\\s+[0-9])', 1) END, '')",
         ),
     }
+    bodies |= {"validate_name": (f"STRUCT<{VERDICT}>", _validate_sql("x")), "extract_name": ("STRING", _extract_sql("x")), "name_key": ("STRING", _key_sql("x"))}
     for name, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
     return list(bodies)

@@ -9,6 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import contain, content
 from ..sources import readers, registry
 from ..sources.publish import TableSet
@@ -267,3 +268,17 @@ def s11_run_counters(t):
     listed = F.when(F.col("outcome").isin(*known), F.col("outcome")).otherwise("other")
     stored = readers.read_results(spark, path).groupBy("run_id", listed.alias("outcome")).agg(F.count("*").alias("stored"))
     return observed.join(stored, ["run_id", "outcome"]).where("n = stored").drop("stored")
+
+
+@query("SELECT name, count(*) AS n FROM documents, (SELECT unnest(['normalize_name', 'clean_name', 'is_mojibake', 'classify_name', 'catalogue_prefix', 'validate_name', 'extract_name', 'name_key']) AS name) GROUP BY name")
+def u2_sql_functions(t):
+    """Rows on which each function gives the same from SQL as from its Column form."""
+    spark = t("documents").sparkSession
+    names.register_functions(spark)
+    forms = {
+        "normalize_name": names.normalize_name, "clean_name": names.clean_name, "is_mojibake": names.is_mojibake, "classify_name": names.classify_name,
+        "catalogue_prefix": names.catalogue_prefix, "validate_name": names.validate_name, "extract_name": names.extract_name, "name_key": names.name_key,
+    }
+    both = t("documents").select(*(F.expr(f"{name}(text)").eqNullSafe(form(F.col("text"))).alias(name) for name, form in forms.items()))
+    counts = both.agg(*(F.count_if(F.col(name)).alias(name) for name in forms))
+    return counts.select(F.explode(F.create_map(*(part for name in forms for part in (F.lit(name), F.col(name))))).alias("name", "n"))
