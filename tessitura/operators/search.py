@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Links, basename, format_of, mime_of, resource_url
+from ..functions.keys import Links, basename, format_of, mime_of, number_rows, resource_url
 from ..functions.names import fold_key, normalize_name, text
 from .tables import first_per_key, page
 
@@ -142,6 +142,51 @@ def assemble_works(works: DataFrame, entries: DataFrame, genres: DataFrame, inst
     return out
 
 
+def _paged(rows: DataFrame, key: str, order: list[str], value: Column, into: str, per_page: int, parts: int = 64) -> DataFrame:
+    """(id, page, array): the values of each key in order, at most `per_page` to an array. Rows are numbered
+    through range partitions, so the children of one key are never one task's."""
+    numbered = number_rows(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *order, value.alias(into)), ["id", *order], 0, into="_n", parts=parts)
+    first = numbered.groupBy("id").agg(F.min("_n").alias("_first"))
+    page = F.floor((F.col("_n") - F.col("_first")) / per_page).cast("int")
+    placed = numbered.join(first, "id").withColumn("page", page)
+    lists = placed.groupBy("id", "page").agg(F.array_sort(F.collect_list(F.struct("_n", into))).alias("_list"))
+    return lists.select("id", "page", F.transform("_list", lambda p: p[into]).alias(into))
+
+
+def _pages(owners: DataFrame, lists: list[DataFrame]) -> DataFrame:
+    """Owners with page 0, and the further pages that a list of theirs has."""
+    every = owners.select("id", F.lit(0).alias("page"))
+    for rows in lists:
+        every = every.unionByName(rows.select("id", "page"))
+    out = every.distinct().join(owners, "id")
+    for rows in lists:
+        into = rows.columns[2]
+        out = out.join(rows, ["id", "page"], "left").withColumn(into, F.coalesce(into, F.array().cast(rows.schema[into].dataType)))
+    return out
+
+
+def work_pages(works: DataFrame, entries: DataFrame, genres: DataFrame, instruments: DataFrame, parts: DataFrame, links: Links = Links(), *, per_page: int = 1_000) -> DataFrame:
+    """J13 for works with any number of children: a row per work and page, from 0, with at most `per_page`
+    of each kind of child, in the order of their ids. All children are on some page; a work's first page
+    is what `assemble_works` gives if no list is longer."""
+    url = resource_url(F.col("relative_path"), F.col("file_id"), links)
+    resource = F.struct("id", "relative_path", format_of(F.col("relative_path")).alias("format"), "file_id", url.alias("url"), url.isNotNull().alias("available"))
+    kinds = [(entries, resource, "resources"), (genres, F.col("genre"), "genres"), (instruments, F.col("instrument"), "instruments"), (parts, F.col("part_name"), "parts_names")]
+    ids = works.select(F.col("id").alias("work_id"))
+    return _pages(works, [_paged(rows.join(ids, "work_id", "left_semi").select(F.col("work_id"), F.col("id").alias("child"), value.alias(into)), "work_id", ["child"], F.col(into), into, per_page) for rows, value, into in kinds])
+
+
+def composer_pages(composers: DataFrame, aliases: DataFrame, works: DataFrame, identifiers: DataFrame, evidence: DataFrame, *, per_page: int = 1_000) -> DataFrame:
+    """J15 likewise: aliases, identifiers and evidence in pages, with the number of works on each page."""
+    lists = [
+        _paged(aliases.select(F.col("composer_id").alias("owner"), "alias"), "owner", ["alias"], F.col("alias"), "aliases", per_page),
+        _paged(identifiers.select(F.col("composer_id").alias("owner"), "id_type", "id_value"), "owner", ["id_type", "id_value"], F.struct("id_type", "id_value"), "identifiers", per_page),
+        _paged(evidence.select(F.col("composer_id").alias("owner"), "rule", "decision"), "owner", ["rule", "decision"], F.struct("rule", "decision"), "evidence", per_page),
+    ]
+    counts = works.groupBy(F.col("composer_id").alias("id")).agg(F.count("*").alias("work_count"))
+    return _pages(composers, lists).join(counts, "id", "left").withColumn("work_count", F.coalesce("work_count", F.lit(0).cast("long")))
+
+
 def work_record(detail: DataFrame, unknown: str = "Unknown composer") -> DataFrame:
     """Id, title, composer label, metadata, and available resources with type and link."""
     tags = F.filter(F.transform(F.split(text(F.col("tags")), ","), lambda t: F.trim(t)), lambda t: t != "")

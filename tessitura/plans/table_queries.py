@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import contain, content
+from ..operators import contain, content, search
 from ..sources import readers, registry
 from ..sources.publish import TableSet
 from ..sources.staging import shared_dir
@@ -282,3 +282,56 @@ def u2_sql_functions(t):
     both = t("documents").select(*(F.expr(f"{name}(text)").eqNullSafe(form(F.col("text"))).alias(name) for name, form in forms.items()))
     counts = both.agg(*(F.count_if(F.col(name)).alias(name) for name in forms))
     return counts.select(F.explode(F.create_map(*(part for name in forms for part in (F.lit(name), F.col(name))))).alias("name", "n"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part WHERE p_size > 5")
+def s7_jdbc_index(t):
+    """Parts in a Derby database of this JVM, read back in ranges of their key. Such a database is not there for
+    executors of their own, so this query is one for local mode."""
+    spark, url = t("part").sparkSession, f"jdbc:derby:memory:index{uuid.uuid4().hex};create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    t("part").selectExpr("p_partkey as id", "p_name as name", "cast(p_size as int) as size").write.jdbc(url, "works", properties=props)
+    found = readers.read_jdbc_index(spark, url, "works", props, key="id", rows_per_task=500, columns=("id", "name", "size"), where='"size" > 5')
+    return found
+
+
+OWNER = "if(o_orderkey % 3 = 0, 1, o_custkey)"
+PAGED = "o.o_orderkey, CASE WHEN o.o_orderkey % 3 = 0 THEN 1 ELSE o.o_custkey END AS work_id"
+
+
+@query(
+    f"WITH c AS (SELECT {PAGED}, o_orderstatus FROM orders o), own AS (SELECT * FROM c WHERE work_id IN (SELECT c_custkey FROM customer)),"
+    " r AS (SELECT work_id, (row_number() OVER (PARTITION BY work_id ORDER BY o_orderkey) - 1) // 7 AS page, o_orderkey FROM own),"
+    " g AS (SELECT work_id, (row_number() OVER (PARTITION BY work_id ORDER BY o_orderkey) - 1) // 7 AS page, o_orderstatus AS v, o_orderkey FROM own WHERE o_orderkey % 2 = 0),"
+    " i AS (SELECT work_id, (row_number() OVER (PARTITION BY work_id ORDER BY o_orderkey) - 1) // 7 AS page, 'i' || o_orderkey % 9 AS v, o_orderkey FROM own WHERE o_orderkey % 5 <> 0),"
+    " p AS (SELECT work_id, (row_number() OVER (PARTITION BY work_id ORDER BY o_orderkey) - 1) // 7 AS page, 'p' || o_orderkey % 4 AS v, o_orderkey FROM own WHERE o_orderkey % 7 = 0),"
+    " k AS (SELECT c_custkey AS id, 0 AS page FROM customer UNION SELECT work_id, page FROM r),"
+    " rl AS (SELECT work_id, page, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS s FROM r GROUP BY ALL), gl AS (SELECT work_id, page, string_agg(v, ',' ORDER BY o_orderkey) AS s FROM g GROUP BY ALL),"
+    " il AS (SELECT work_id, page, string_agg(v, ',' ORDER BY o_orderkey) AS s FROM i GROUP BY ALL), pl AS (SELECT work_id, page, string_agg(v, ',' ORDER BY o_orderkey) AS s FROM p GROUP BY ALL)"
+    " SELECT k.id, k.page, coalesce(rl.s, '') AS resources, coalesce(gl.s, '') AS genres, coalesce(il.s, '') AS instruments, coalesce(pl.s, '') AS parts FROM k"
+    " LEFT JOIN rl ON rl.work_id = k.id AND rl.page = k.page LEFT JOIN gl ON gl.work_id = k.id AND gl.page = k.page LEFT JOIN il ON il.work_id = k.id AND il.page = k.page LEFT JOIN pl ON pl.work_id = k.id AND pl.page = k.page"
+)
+def j13_work_pages(t):
+    """Works with a third of all resources on one of them, seven children of each kind to a page."""
+    works = t("customer").selectExpr("c_custkey as id", "c_name as title")
+    rows = t("orders").selectExpr("o_orderkey as id", f"{OWNER} as work_id", "concat('a/', o_orderkey, '.pdf') as relative_path", "o_orderkey as file_id", "o_orderstatus as genre", "concat('i', o_orderkey % 9) as instrument", "concat('p', o_orderkey % 4) as part_name")
+    out = search.work_pages(works, rows, rows.where("id % 2 = 0"), rows.where("id % 5 <> 0"), rows.where("id % 7 = 0"), per_page=7)
+    listed = {"resources": F.transform("resources", lambda r: r["id"].cast("string")), "genres": F.col("genres"), "instruments": F.col("instruments"), "parts": F.col("parts_names")}
+    return out.select("id", "page", *(F.array_join(value, ",").alias(name) for name, value in listed.items()))
+
+
+@query(
+    "WITH o AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS id, o_orderkey FROM orders), own AS (SELECT * FROM o WHERE id IN (SELECT c_custkey FROM customer)),"
+    " a AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY 'a' || o_orderkey) - 1) // 5 AS page, 'a' || o_orderkey AS v FROM own),"
+    " i AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY CAST(o_orderkey AS VARCHAR)) - 1) // 5 AS page, CAST(o_orderkey AS VARCHAR) AS v FROM own WHERE o_orderkey % 2 = 0),"
+    " e AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY 'r' || o_orderkey) - 1) // 5 AS page, 'r' || o_orderkey AS v FROM own WHERE o_orderkey % 5 = 0),"
+    " k AS (SELECT c_custkey AS id, 0 AS page FROM customer UNION SELECT id, page FROM a), w AS (SELECT id, count(*) AS n FROM own GROUP BY id)"
+    " SELECT k.id, k.page, coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM a WHERE a.id = k.id AND a.page = k.page), '') AS aliases, coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM i WHERE i.id = k.id AND i.page = k.page), '') AS identifiers,"
+    " coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM e WHERE e.id = k.id AND e.page = k.page), '') AS evidence, coalesce(w.n, 0) AS work_count FROM k LEFT JOIN w ON w.id = k.id"
+)
+def j15_composer_pages(t):
+    """Entities with a third of all aliases on one of them, five of each list to a page."""
+    rows = t("orders").selectExpr("o_orderkey as k", f"{OWNER} as composer_id", "concat('a', o_orderkey) as alias", "'viaf' as id_type", "cast(o_orderkey as string) as id_value", "concat('r', o_orderkey) as rule", "'d' as decision")
+    out = search.composer_pages(t("customer").selectExpr("c_custkey as id"), rows, rows, rows.where("k % 2 = 0"), rows.where("k % 5 = 0"), per_page=5)
+    listed = {"aliases": F.col("aliases"), "identifiers": F.transform("identifiers", lambda i: i["id_value"]), "evidence": F.transform("evidence", lambda e: e["rule"])}
+    return out.select("id", "page", *(F.array_join(value, ",").alias(name) for name, value in listed.items()), "work_count")
