@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import contain, content, search
+from ..operators import contain, content, resolve, search
 from ..sources import readers, registry
 from ..sources.publish import TableSet
 from ..sources.staging import shared_dir
 from ..streaming import votes as streams
 from . import catalogue, identity
+from .name_queries import quoted
 from .queries import merge_inputs, query, uuid5_sql, votes
 
 
@@ -335,3 +336,64 @@ def j15_composer_pages(t):
     out = search.composer_pages(t("customer").selectExpr("c_custkey as id"), rows, rows, rows.where("k % 2 = 0"), rows.where("k % 5 = 0"), per_page=5)
     listed = {"aliases": F.col("aliases"), "identifiers": F.transform("identifiers", lambda i: i["id_value"]), "evidence": F.transform("evidence", lambda e: e["rule"])}
     return out.select("id", "page", *(F.array_join(value, ",").alias(name) for name, value in listed.items()), "work_count")
+
+
+@query(
+    "WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'V' || c_custkey WHEN 1 THEN 'old' || c_custkey END AS old, c_custkey % 10 >= 8 AS bad FROM customer)"
+    " SELECT CAST(k AS VARCHAR) AS entity_id, CASE WHEN bad THEN old ELSE 'V' || k END AS value FROM s WHERE NOT bad OR old IS NOT NULL UNION ALL SELECT 'other' || k, 'W' || k FROM s WHERE k % 10 = 8"
+)
+def e10_ingested_table(t):
+    """Identifiers that meet a table: equal, changed, new, blank ones, and values that another entity has."""
+    old = t("customer").selectExpr("cast(c_custkey as string) as entity_id", "case c_custkey % 3 when 0 then concat('V', c_custkey) when 1 then concat('old', c_custkey) end as value").where("value is not null")
+    others = t("customer").where("c_custkey % 10 = 8").selectExpr("concat('other', c_custkey) as entity_id", "concat('W', c_custkey) as value")
+    current = old.unionByName(others).selectExpr("'composer' as entity_type", "entity_id", "'viaf' as scheme", "value", "'x' as source")
+    value = "case c_custkey % 10 when 9 then ' ' when 8 then concat('W', c_custkey) else concat('V', c_custkey) end as value"
+    snapshot = t("customer").selectExpr("cast(c_custkey as string) as entity_id", "'viaf' as scheme", value, "'y' as source", "c_custkey as pos")
+    return identity.ingest_identifiers(current, snapshot, "composer")[0].select("entity_id", "value")
+
+
+@query(
+    "WITH b AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS b FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(b, '[^.]\\.[^.]*$') THEN regexp_replace(b, '\\.[^.]*$', '') ELSE b END AS work_key FROM b),"
+    " w AS (SELECT work_key, min(page_id % 2) AS round, coalesce(min(page_id) FILTER (page_id % 2 = 0), min(page_id)) AS first_entry, count(*) AS entries FROM c WHERE work_key <> '' GROUP BY 1)"
+    " SELECT work_key, row_number() OVER (ORDER BY round, work_key) AS id, first_entry, entries FROM w"
+)
+def e1_works_in_two_rounds(t):
+    """Works of half of the entries, then of all: keys that have a work keep it, and linked entries stay."""
+    entries = t("pages").selectExpr("page_id as id", "url as relative_path", "cast(null as string) as composer", "cast(page_id as string) as title", "cast(null as bigint) as work_id")
+    works = t("nation").where("false").selectExpr("cast(n_nationkey as bigint) as id", "n_name as work_key", "n_name as relative_path", "n_name as composer", "n_name as composer_id", "n_name as title")
+    people = t("nation").selectExpr("n_name as id", "n_name as name", "'active' as status", "cast(null as string) as merged_into")
+    aliases = people.selectExpr("id as composer_id", "name as alias", "lower(name) as normalized_alias")
+    first = catalogue.build_works(entries.where("id % 2 = 0"), works, aliases, people)
+    done = catalogue.build_works(first.entries.unionByName(entries.where("id % 2 = 1")), first.works, aliases, people)
+    linked = done.entries.where("work_id is not null").groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("entries"))
+    return done.works.select("work_key", "id", F.col("title").cast("long").alias("first_entry")).join(linked, "id")
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal > 5000 AS rich, CASE WHEN c_custkey % 4 = 1 THEN c_custkey - 1 ELSE c_custkey END AS canonical FROM customer),"
+    " h AS (SELECT s_suppkey, canonical FROM supplier JOIN c ON c_custkey % 50 = s_suppkey UNION SELECT s_suppkey, canonical FROM supplier JOIN c ON rich AND c_nationkey = s_nationkey)"
+    " SELECT s_suppkey AS request_id, coalesce(string_agg(canonical, ',' ORDER BY canonical), '') AS ids FROM supplier LEFT JOIN h USING (s_suppkey) GROUP BY s_suppkey"
+)
+def j11_candidates_by_alias(t):
+    """Requests that meet entities by alias and by identifier, some of these merged into others."""
+    owners = t("customer").join(t("supplier").select("s_suppkey", "s_name"), F.col("c_custkey") % 50 == F.col("s_suppkey"))
+    aliases = owners.select(F.col("c_custkey").alias("composer_id"), names.normalize_name(F.col("s_name")).alias("normalized_alias"))
+    composers = t("customer").selectExpr("c_custkey as id", "c_name as name", "if(c_custkey % 4 = 1, 'merged', 'active') as status", "if(c_custkey % 4 = 1, c_custkey - 1, null) as merged_into")
+    ids = t("customer").where("c_acctbal > 5000").selectExpr("c_custkey as composer_id", "'viaf' as id_type", "cast(c_nationkey as string) as id_value")
+    asked = t("supplier").selectExpr("s_suppkey as request_id", "s_name as name", "array(named_struct('id_type', 'viaf', 'id_value', cast(s_nationkey as string))) as identifiers")
+    return resolve.find_candidates(asked, composers, aliases, ids).select("request_id", F.array_join("composer_ids", ",").alias("ids"))
+
+
+SEEDS = ", ".join(f"({', '.join(quoted([v]) for v in row)})" for row in catalogue.CATALOGUES)
+
+
+@query(
+    f"WITH s(prefix, composer, catalogue_name, creator, ordering_criterion) AS (VALUES {SEEDS}), own AS (SELECT 'K' || n_nationkey AS prefix, n_name AS composer, 'Own' AS catalogue_name, 'x' AS creator, 'y' AS ordering_criterion FROM nation)"
+    " SELECT * FROM own UNION ALL SELECT prefix, composer, catalogue_name, 'kept', 'kept' FROM s WHERE prefix = 'BWV' UNION ALL SELECT * FROM s WHERE prefix <> 'BWV'"
+)
+def e18_seeded_rows(t):
+    """Seeds beside rows of the nations and one that is there already, which stays as it is."""
+    spark, columns = t("nation").sparkSession, ["prefix", "composer", "catalogue_name", "creator", "ordering_criterion"]
+    own = t("nation").selectExpr("concat('K', n_nationkey) as prefix", "n_name as composer", "'Own' as catalogue_name", "'x' as creator", "'y' as ordering_criterion")
+    there = catalogue.seed_catalogues(spark, own.where("false")).where("prefix = 'BWV'").withColumns({"creator": F.lit("kept"), "ordering_criterion": F.lit("kept")})
+    return catalogue.seed_catalogues(spark, own.unionByName(there)).select(*columns)

@@ -11,13 +11,17 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset, in local mode only."""
+    """The folder all executors share: spark.checkpoint.dir; one temporary folder of the application where it is
+    unset, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+    return _own_dirs[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
