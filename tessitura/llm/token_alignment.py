@@ -22,20 +22,20 @@ Other columns pass through; the new column takes the place of one of the same na
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 from array import array
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import BROADCAST_ROWS, Stages
 
@@ -121,10 +121,10 @@ class Aligner:
 
     def __init__(self, a: Tokens, b: Tokens, memo: int = 200_000, memo_ids: int = 48):
         self.a, self.b, self.memo, self.memo_ids = a, b, memo, memo_ids
-        self.known: dict[tuple, tuple[str, int, bytes]] = {}
+        self.known: dict[tuple, tuple[str, bytes]] = {}
 
-    def window(self, a: tuple, b: tuple) -> tuple[str, int, bytes]:
-        """(groups as text, how many, id pair of each link as 64 bits) of tokens that spell the same bytes."""
+    def window(self, a: tuple, b: tuple) -> tuple[str, bytes]:
+        """(groups as text, id pair of each link as 64 bits) of tokens that spell the same bytes."""
         length_a, length_b, name_a, name_b = self.a.lengths, self.b.lengths, self.a.names, self.b.names
         groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
         ends_a, ends_b = length_a[a[0]], length_b[b[0]]
@@ -143,14 +143,14 @@ class Aligner:
                 right = name_b[b[from_b]] if j == from_b + 1 else ",".join([name_b[x] for x in b[from_b:j]])
                 groups.append(f"{left}|{right}")
                 if i == len(a):
-                    return ";".join(groups), len(groups), array("q", links).tobytes()
+                    return ";".join(groups), array("q", links).tobytes()
                 from_a, from_b = i, j
                 ends_a += length_a[a[i]]
                 ends_b += length_b[b[j]]
 
     def anchors(self, a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
         """Numbers of the A and B tokens that end before an anchor."""
-        ids_a, ids_b = np.array(a), np.array(b)
+        ids_a, ids_b = np.frombuffer(array("i", a), dtype=np.int32), np.frombuffer(array("i", b), dtype=np.int32)
         at_a, at_b = np.flatnonzero(self.a.marked[ids_a[1:]]), np.flatnonzero(self.b.marked[ids_b[1:]])
         ends_a, ends_b = np.cumsum(self.a.length[ids_a])[at_a], np.cumsum(self.b.length[ids_b])[at_b]
         if not len(ends_a) or not len(ends_b):
@@ -166,20 +166,18 @@ class Aligner:
         known, most = self.known, self.memo_ids
         if len(known) > self.memo:
             known.clear()
-        texts, links, n_groups, x, y = [], [], 0, 0, 0
-        for u, v in zip([*cut_a, len(a)], [*cut_b, len(b)]):
-            key = a[x:u], b[y:v]
-            x, y = u, v
-            found = known.get(key)
-            if found is None:
-                found = self.window(*key)
-                if len(key[0]) + len(key[1]) <= most:
-                    known[key] = found
-            texts.append(found[0])
-            n_groups += found[1]
-            links.append(found[2])
-        pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
-        return ";".join(texts), n_groups, pairs, times
+        keys = list(zip(map(a.__getitem__, map(slice, [0, *cut_a], [*cut_a, len(a)])), map(b.__getitem__, map(slice, [0, *cut_b], [*cut_b, len(b)]))))
+        found = list(map(known.get, keys))
+        if None in found:
+            for i, key in enumerate(keys):
+                if found[i] is None:
+                    found[i] = known.get(key) or self.window(*key)
+                    if len(key[0]) + len(key[1]) <= most:
+                        known[key] = found[i]
+        links = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int64)
+        pairs, times = np.unique(links, return_counts=True)
+        # each offset where a token of either side ends closes one link, and a group if both end there
+        return ";".join([f[0] for f in found]), len(a) + len(b) - len(links), pairs, times
 
     def documents(self, texts: list[str | None], groups: bool):
         """One row of ALIGNED for each text."""
@@ -216,17 +214,31 @@ def align_tokens(docs: DataFrame, *, text: str = "text", byte_bpe: str = BYTE_BP
                 some, held = [], 0
         yield some
 
-    names = [part.split(" ")[0] for part in ALIGNED.split(", ")]
+    plain = docs.drop(into) if into in docs.columns else docs
+    added = T._parse_datatype_string(ALIGNED)
+    kinds = to_arrow_type(added)
 
     def run(batches):
-        a, b = sent.value
-        aligner = Aligner(byte_level(a), byte_fallback(b), memo, memo_ids)
-        for batch in batches:
-            rows = [dict(zip(names, row)) for some in chunks(batch[text]) for row in aligner.documents(some, groups)]
-            yield batch.assign(**{into: pd.Series(rows, index=batch.index, dtype=object)})
+        aligner = Aligner(byte_level(sent.value[0]), byte_fallback(sent.value[1]), memo, memo_ids)
+        gc.disable()  # the memory holds no cycles, only very many objects
+        try:
+            for batch in batches:
+                rows = [row for some in chunks(batch.column(text).to_pylist()) for row in aligner.documents(some, groups)]
+                columns = [_column(values, kind.type) for values, kind in zip(zip(*rows), kinds)]
+                made = pa.StructArray.from_arrays(columns, fields=list(kinds)) if rows else pa.array([], kinds)
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, into])
+        finally:
+            gc.enable()
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(into, added)]))
 
-    plain = docs.drop(into) if into in docs.columns else docs
-    return plain.mapInPandas(run, T.StructType([*plain.schema.fields, T.StructField(into, T._parse_datatype_string(ALIGNED))]))
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)])
+    inner = np.concatenate([np.asarray(v, dtype=np.int64) for v in values])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inner, kind.value_type))
 
 
 def pair_counts(aligned: DataFrame, into: str = "tokens") -> DataFrame:
@@ -242,14 +254,8 @@ def alignment_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. The aligned
     documents are written once: tokens are made once. `broadcast_rows` bounds a broadcast count table."""
     stages = Stages(docs.sparkSession)
-
-    def numbered(batches):
-        row, part = count(), TaskContext.get().partitionId()
-        for batch in batches:
-            yield batch.assign(row=[part * (1 << 33) + next(row) for _ in range(len(batch))])
-
     some = align_tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **options).drop("text")
-    aligned = stages.write(some.mapInPandas(numbered, T.StructType([*some.schema.fields, T.StructField("row", T.LongType())])))
+    aligned = stages.write(some.withColumn("row", F.monotonically_increasing_id()))
     counts = stages.write(pair_counts(aligned))
     n_counts, total = counts.agg(F.count("*"), F.sum("count")).first()
     kept = ["row", "doc_id", *(f"tokens.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))]
