@@ -1,8 +1,9 @@
-"""Reviewed findings: lines in which a person has decided whether the marked value is a secret.
+"""Labelled lines, written for this library: whether the marked value is a secret.
 
-Each line has a place `{}` for the value, the kinds of values that were seen there, and the
-decision. The values themselves are drawn from a seeded generator by kind, since real ones must not
-be published; the decision belongs to the line and the kind, not to a pattern.
+They stand in for a reviewed table, and figures measured on them hold for lines of this kind only; a table
+of findings from the documents at hand is better. Each line has a place `{}` for the value, the kinds of
+values that fit there, and the label. The values are drawn from a seeded generator by kind, since
+real ones must not be published.
 """
 
 from __future__ import annotations

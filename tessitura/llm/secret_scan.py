@@ -7,13 +7,15 @@ Candidates are
 * values of `SHORT` characters at least after any assignment to a name with a credential word, bare
   (up to a blank, quote, bracket, or one of `<>,;&:=`) or in quotes (up to the same quote, no blanks);
 * passwords in the user part of a URL (`user:password@host`);
-* PEM blocks as a whole (keys and certificates).
+* PEM blocks as a whole (keys and certificates), with labels of up to 40 signs.
+A credential name stands in the 40 signs before the assignment, a user name in front of a password has up to
+64; the words beside are those of the 48 signs before and the 32 after. The forest looks at whole values.
 Each text is read a fixed number of times, whatever it holds.
 
 The forest looks at length, character classes and transitions, repetition, entropy, coverage by
 dictionary words, the path, and the words beside. It learns from labelled findings: a table of
-reviewed ones (value, before, after, path, label), or those of `findings.py`, where a person has
-decided line by line. `label_findings` is a rule of thumb to pre-label findings for a review; the
+reviewed ones (value, before, after, path, label), or those of `findings.py`, which were written for this
+library. `label_findings` is a rule of thumb to pre-label findings for a review; the
 forest doesn't learn from it.
 
 A document's secrets are its candidates with a score of at least `limit`. Redaction replaces each
@@ -111,7 +113,7 @@ WIDTH = 26
 
 
 def finding_features(value: str, before: str, after: str, path: str | None, dictionary: ahocorasick.Automaton | None) -> list[float]:
-    some = value[:4096]  # statistics of a PEM block of any size; its form and length are looked at whole
+    some = value
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in some]
     n = len(some)
     count = Counter(kinds)
@@ -271,7 +273,7 @@ def document_words(docs: DataFrame, text: str, max_words: int) -> list[str]:
 
 
 def reviewed_findings(lines=None) -> pd.DataFrame:
-    """The reviewed findings of `findings.py` as value, before, after, path, label; `lines` picks some by line number."""
+    """The findings of `findings.py` as value, before, after, path, label; `lines` picks some by line number."""
     found = []
     for number, text, start, end, path, label in reviewed_texts():
         if lines is None or lines(number):
@@ -295,7 +297,7 @@ def train_secret_model(
     docs: DataFrame, findings: DataFrame | None = None, *, text: str = "text", path: str = "source", max_findings: int = 6_000, max_words: int = 3_000
 ) -> SecretModel:
     """Learns from `findings` (value, before, after, path, label), at most `max_findings` of them; without
-    such a table, from the reviewed findings that come with the library. The dictionary is the
+    such a table, from the findings that come with the library. The dictionary is the
     `max_words` words that most documents hold.
     """
     prepare(docs.sparkSession)

@@ -62,3 +62,10 @@ def test_time_is_linear(piece):
         sum(1 for _ in secret_scan.candidates(text))
         times.append(time.process_time() - began)
     assert times[1] < max(1.0, 30 * times[0])
+
+
+def test_long_values_count_whole():
+    """What follows the first few thousand signs of a value is part of its statistics."""
+    start = "a" * 5_000
+    plain, other = (secret_scan.finding_features(start + end, "", "", None, None) for end in ("a" * 5_000, "A1" * 2_500))
+    assert plain[0] == other[0] == 10_000 and plain[1] == 0 and other[1] == other[3] == 0.25
