@@ -135,9 +135,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_train: int = 12_000, max_words: int = 2_000, contexts: int = 6, odds: float = 1.5
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_train: int = 12_000, contexts: int = 6, odds: float = 1.5
 ) -> ToxicityModel:
-    """Learns lexicon, exceptions and score from at most about `max_train` labelled documents."""
+    """Learns lexicon, exceptions and score from at most about `max_train` labelled documents, which bound
+    the words and phrases as well: all that pass `contexts` and `odds` are taken."""
     stages = Stages(docs.sparkSession)
     rows = stages.write(labelled_sample(docs, labels, label, max_train).repartition(16))
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -159,7 +160,7 @@ def train_toxicity(
 
     candidates = (
         rows.where("y = 1").mapInPandas(neighbours, "word string, context long").distinct().groupBy("word").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= contexts).orderBy(F.desc("n"), "word").limit(20 * max_words)
+        .where(F.col("n") >= contexts)
     )
     known = frozenset(r.word for r in candidates.collect())
 
@@ -173,8 +174,7 @@ def train_toxicity(
     for r in rows.mapInPandas(shares, "word string, bad boolean, n long").groupBy("word", "bad").agg(F.sum("n").alias("n")).collect():
         counts.setdefault(r.word, {})[r.bad] = r.n
     weights = {w: float(np.log((c.get(True, 0) + 0.5) / (bad + 1)) - np.log((c.get(False, 0) + 0.5) / (good + 1))) for w, c in counts.items()}
-    best = sorted((w for w in weights if weights[w] >= odds), key=lambda w: (-weights[w], w))[:max_words]
-    lexicon = {w: weights[w] for w in best}
+    lexicon = {w: weights[w] for w in sorted(weights) if weights[w] >= odds}
 
     def phrases(batches):
         for batch in batches:
@@ -188,7 +188,7 @@ def train_toxicity(
     kept = rows.mapInPandas(phrases, "phrase string, bad boolean, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g")
     )
-    learned = [r.phrase for r in kept.where("b = 0 and g >= 5").orderBy(F.desc("g"), "phrase").limit(max_words).collect()]
+    learned = [r.phrase for r in kept.where("b = 0 and g >= 5").orderBy("phrase").collect()]
     model = ToxicityModel(lexicon, (*EXCEPTIONS, *learned), bad / (bad + good))
 
     def features(batches):

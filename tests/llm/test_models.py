@@ -147,3 +147,78 @@ def test_near_duplicate_stage(spark, rng):
                 group = {d: low if g == high else g for d, g in group.items()}
     kept = {r.doc_id for r in pipeline_stages.keep_one_of_each_group(spark, documents(spark, docs), "").collect()}
     assert kept == set(group.values()) and 45 < len(kept) < 70
+
+
+def test_large_lexicon(spark):
+    """Every word that the labelled documents show as toxic is in the lexicon, however many there are."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(w) for w in itertools.islice(itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz"), 2_300)]
+    clean = ["one", "two", "six", "ten", "day", "sun"]
+    toxic = [" ".join(f"{rng.choice(clean)} {w} {rng.choice(clean)}" for w in rng.sample(words, 460)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(toxic)] + [(100 + i, " ".join(rng.choice(clean) for _ in range(400))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(documents(spark, rows), labels)
+    assert len({w for w in model.weights if w in set(words)}) > 2_000
+
+
+def plain_grams(text):
+    """All n-grams of 1, 2 and 3 letters, runs of other signs as one blank, single blanks left out."""
+    signs = []
+    for i, c in enumerate(text.lower()):
+        if c.isalpha():
+            signs.append(c)
+        elif i == 0 or signs[-1] != " ":
+            signs.append(" ")
+    s = "".join(signs)
+    return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != " "]
+
+
+def test_language_against_plain_bayes(spark, rng):
+    """Choice and score of multinomial naive Bayes with counts in dictionaries."""
+    import math
+    from collections import Counter
+
+    signs = {"a1": "abcdeé ", "b2": "cdefgh ", "c3": "aghijk -"}
+    rows = [(i, "".join(rng.choice(signs[g]) for _ in range(rng.randrange(1, 80))), g) for i in range(90) for g in [rng.choice(sorted(signs))]]
+    rows += [(100, None, "a1"), (101, "abc", None), (102, "12 !", "b2"), (103, "ÀB", "c3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train_language_model(frame, buckets=1 << 20, alpha=0.1)
+    counts, docs = {g: Counter() for g in signs}, Counter()
+    for _, t, g in rows:
+        if t is not None and g is not None:
+            counts[g].update(plain_grams(t))
+            docs[g] += 1
+    texts = [t for _, t, _ in rows if t and any(map(str.isalpha, t))] + ["ab", "gh gh", "é"]
+    langs, scores = model.predict(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        grams = plain_grams(t)
+        prior = {g: math.log((docs[g] + 1) / (sum(docs.values()) + 3)) for g in signs}
+        evidence = {g: sum(math.log((counts[g][x] + 0.1) / (sum(counts[g].values()) + 0.1 * (1 << 20))) for x in grams) for g in signs}
+        best = max(signs, key=lambda g: prior[g] + evidence[g])
+        scaled = {g: prior[g] + evidence[g] * min(1, 60 / len(grams)) for g in signs}
+        share = math.exp(scaled[best]) / sum(map(math.exp, scaled.values()))
+        assert lang == best and abs(score - share) < 1e-4, t
+
+
+def test_toxic_weights_against_plain_counts(spark, rng):
+    """Log odds of document shares, counted document by document."""
+    import math
+
+    clean = "one two three four five six seven".split()
+    rows = [(i, " ".join(rng.choice(clean + ["vile"] * (i < 25) + ["mean"] * (i % 3 == 0)) for _ in range(30))) for i in range(60)]
+    labels = {i: int(i < 25) for i, _ in rows}
+    model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), odds=0.5)
+    bad, good = 25, 35
+    words = {w for _, t in rows for w in t.split()}
+    expected = {}
+    for word in words:
+        for entry in toxicity.entries_of(word):
+            inside = [i for i, t in rows if any(w == entry or (entry.endswith("*") and w.startswith(entry[:-1])) for w in t.split())]
+            b = sum(labels[i] for i in inside)
+            weight = math.log((b + 0.5) / (bad + 1)) - math.log((len(inside) - b + 0.5) / (good + 1))
+            if weight >= 0.5:
+                expected[entry] = weight
+    assert set(model.weights) == set(expected) and all(abs(model.weights[e] - w) < 1e-9 for e, w in expected.items()) and "vile" in expected
