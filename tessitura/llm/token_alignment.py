@@ -5,9 +5,10 @@ changed here. A text gets a leading space, as B adds one, and both encode it who
 tokens (their strings in a text are plain text). Token bytes, joined, must give the space and the text.
 
 An anchor is a byte offset where a token of each side ends and the next of each side starts with a space.
-Anchors cut a document into windows of token ids; a window's alignment depends on its ids only, so it
-is made once in a task and kept under the pair of id tuples (at most `memo` of them at a time; windows of
-over `memo_ids` ids, where words have no spaces, are aligned each time). Offsets where both sides end cut
+Anchors cut a document into windows of token ids; a window's alignment depends on its ids only, so equal windows
+of a piece of the input are found first, and what one of them gives is kept under its pair of id tuples
+for the rest of the task (at most `memo` of them at a time; windows of over `memo_ids` ids, where words
+have no spaces, are not kept). Offsets where both sides end cut
 a window into groups; each pair of an A and a B token whose bytes overlap is a link.
 
 Counts over the corpus (`pair_counts`): in how many documents a pair of ids is linked, from the distinct
@@ -26,9 +27,9 @@ import gc
 import hashlib
 import json
 import os
-from array import array
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +73,7 @@ class Tokens:
     def __init__(self, encode, rendered: list[bytes]):
         self.encode = encode
         self.bytes = rendered
-        self.lengths = [len(b) for b in rendered]
-        self.names = [str(i) for i in range(len(rendered))]
-        self.length = np.array(self.lengths, dtype=np.int64)
+        self.length = np.array([len(b) for b in rendered], dtype=np.int64)
         self.marked = np.array([b[:1] == b" " for b in rendered], dtype=bool)
 
     def spell(self, ids: Sequence[int]) -> bytes:
@@ -122,78 +121,125 @@ class Aligner:
     def __init__(self, a: Tokens, b: Tokens, memo: int = 200_000, memo_ids: int = 48):
         self.a, self.b, self.memo, self.memo_ids = a, b, memo, memo_ids
         self.known: dict[tuple, tuple[str, bytes]] = {}
-
-    def window(self, a: tuple, b: tuple) -> tuple[str, bytes]:
-        """(groups as text, id pair of each link as 64 bits) of tokens that spell the same bytes."""
-        length_a, length_b, name_a, name_b = self.a.lengths, self.b.lengths, self.a.names, self.b.names
-        groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        ends_a, ends_b = length_a[a[0]], length_b[b[0]]
-        while True:
-            links.append(a[i] * SHIFT + b[j])
-            if ends_a < ends_b:
-                i += 1
-                ends_a += length_a[a[i]]
-            elif ends_b < ends_a:
-                j += 1
-                ends_b += length_b[b[j]]
-            else:
-                i += 1
-                j += 1
-                left = name_a[a[from_a]] if i == from_a + 1 else ",".join([name_a[x] for x in a[from_a:i]])
-                right = name_b[b[from_b]] if j == from_b + 1 else ",".join([name_b[x] for x in b[from_b:j]])
-                groups.append(f"{left}|{right}")
-                if i == len(a):
-                    return ";".join(groups), array("q", links).tobytes()
-                from_a, from_b = i, j
-                ends_a += length_a[a[i]]
-                ends_b += length_b[b[j]]
-
-    def anchors(self, a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-        """Numbers of the A and B tokens that end before an anchor."""
-        ids_a, ids_b = np.frombuffer(array("i", a), dtype=np.int32), np.frombuffer(array("i", b), dtype=np.int32)
-        at_a, at_b = np.flatnonzero(self.a.marked[ids_a[1:]]), np.flatnonzero(self.b.marked[ids_b[1:]])
-        ends_a, ends_b = np.cumsum(self.a.length[ids_a])[at_a], np.cumsum(self.b.length[ids_b])[at_b]
-        if not len(ends_a) or not len(ends_b):
-            return [], []
+        self.names = [[f"{i}{sign}" for i in range(len(side.bytes))] for side, signs in ((a, ",|"), (b, ",;")) for sign in signs]
+        rng = np.random.default_rng(13)
+        self.mixed = [rng.integers(0, 1 << 63, len(side.bytes), dtype=np.uint64) | np.uint64(1) for side in (a, b)]
+
+    def aligned(self, windows: list[tuple[tuple, tuple]]) -> list[tuple[str, bytes]]:
+        """(groups as text, id pair of each link as 64 bits) of windows, whose two id tuples spell the same bytes:
+        all offsets of all windows at once."""
+        sizes_a, sizes_b = (np.fromiter(map(len, side), dtype=np.int64, count=len(windows)) for side in zip(*windows))
+        a, b = (np.fromiter(chain.from_iterable(side), dtype=np.int64) for side in zip(*windows))
+        ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        ends = np.union1d(ends_a, ends_b)  # up to each of these, from the one before, lies one token of each side
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = (a[at_a] * SHIFT + b[at_b]).tobytes()
+        shared = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        # tokens in the order of the text: by group, those of A first; each is followed by a sign
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        last_a, last_b = (np.r_[g[1:] != g[:-1], True] for g in (group_a, group_b))
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        names = [n[i] for n, i in zip(map(self.names.__getitem__, np.r_[np.where(last_a, 1, 0), np.where(last_b, 3, 2)][order].tolist()), np.r_[a, b][order].tolist())]
+        last_links = np.searchsorted(ends, ends_a[np.cumsum(sizes_a) - 1], side="right").tolist()
+        found, token, link = [], 0, 0
+        for n, to in zip((sizes_a + sizes_b).tolist(), last_links):
+            found.append(("".join(names[token : token + n])[:-1], links[8 * link : 8 * to]))
+            token, link = token + n, to
+        return found
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First A and B token of each window. The sides spell the same bytes, that is documents one after
+        the other; each of these begins with a space, hence with a window."""
+        at_a, at_b = np.flatnonzero(self.a.marked[a[1:]]), np.flatnonzero(self.b.marked[b[1:]])
+        ends_a, ends_b = np.cumsum(self.a.length[a])[at_a], np.cumsum(self.b.length[b])[at_b]
         place = np.searchsorted(ends_b, ends_a)
-        shared = ends_b[np.minimum(place, len(ends_b) - 1)] == ends_a
-        return (at_a[shared] + 1).tolist(), (at_b[place[shared]] + 1).tolist()
-
-    def align(self, a: Sequence[int], b: Sequence[int]) -> tuple[str, int, np.ndarray, np.ndarray]:
-        """(groups as text, how many, linked id pairs, how often each)."""
-        a, b = tuple(a), tuple(b)
-        cut_a, cut_b = self.anchors(a, b)
-        known, most = self.known, self.memo_ids
-        if len(known) > self.memo:
-            known.clear()
-        keys = list(zip(map(a.__getitem__, map(slice, [0, *cut_a], [*cut_a, len(a)])), map(b.__getitem__, map(slice, [0, *cut_b], [*cut_b, len(b)]))))
-        found = list(map(known.get, keys))
-        if None in found:
-            for i, key in enumerate(keys):
-                if found[i] is None:
-                    found[i] = known.get(key) or self.window(*key)
-                    if len(key[0]) + len(key[1]) <= most:
-                        known[key] = found[i]
-        links = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int64)
-        pairs, times = np.unique(links, return_counts=True)
-        # each offset where a token of either side ends closes one link, and a group if both end there
-        return ";".join([f[0] for f in found]), len(a) + len(b) - len(links), pairs, times
+        shared = np.flatnonzero(place < len(ends_b))
+        shared = shared[ends_b[place[shared]] == ends_a[shared]]
+        return np.r_[0, at_a[shared] + 1], np.r_[0, at_b[place[shared]] + 1]
+
+    def looked_up(self, a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> tuple[list, np.ndarray]:
+        """The alignments of the different windows, and the number of each window's among them. Windows are
+        sorted by a hash of their ids; all ids of those with equal hashes are compared."""
+        size_a, size_b = np.diff(from_a, append=len(a)), np.diff(from_b, append=len(b))
+        key = _hashes(a, from_a, size_a, self.mixed[0]) * np.uint64(0x9E3779B97F4A7C15) + _hashes(b, from_b, size_b, self.mixed[1])
+        _, first, own = np.unique(key, return_index=True, return_inverse=True)
+        same = first[own]
+        equal = (size_a == size_a[same]) & (size_b == size_b[same])
+        equal[equal] = _equal(a, from_a, size_a, same, equal) & _equal(b, from_b, size_b, same, equal)
+        if not equal.all():  # windows that only share a hash stand for themselves
+            own[~equal] = len(first) + np.arange(np.count_nonzero(~equal))
+            first = np.r_[first, np.flatnonzero(~equal)]
+        known, most, found = self.known, self.memo_ids, []
+        ids_a, ids_b = tuple(a.tolist()), tuple(b.tolist())
+        missing: dict[tuple, list[int]] = {}
+        for k, (x, y, m, n) in enumerate(zip(from_a[first].tolist(), from_b[first].tolist(), size_a[first].tolist(), size_b[first].tolist())):
+            window = ids_a[x : x + m], ids_b[y : y + n]
+            made = known.get(window)
+            if made is None:
+                missing.setdefault(window, []).append(k)
+            found.append(made)
+        for window, made in zip(missing, self.aligned(list(missing)) if missing else ()):
+            for k in missing[window]:
+                found[k] = made
+            if len(window[0]) + len(window[1]) <= most:
+                if len(known) >= self.memo:
+                    known.clear()
+                known[window] = made
+        return found, own
 
     def documents(self, texts: list[str | None], groups: bool):
         """One row of ALIGNED for each text."""
         given = [i for i, t in enumerate(texts) if t]
         some = [texts[i] for i in given]
         rows: list[tuple] = [(0, 0, 0, 0, "", [], [], "" if groups else None)] * len(texts)
+        lists = []
         for i, text, a, b in zip(given, some, self.a.encode(some), self.b.encode(some)):
             line = b" " + text.encode()
-            if self.a.spell(a) != line or self.b.spell(b) != line:
-                continue
-            found, n, pairs, times = self.align(a, b)
-            rows[i] = (len(a), len(b), n, int(times.sum()), hashlib.sha256(found.encode()).hexdigest(), pairs, times, found if groups else None)
+            if self.a.spell(a) == line and self.b.spell(b) == line:
+                lists.append((i, a, b))
+        if not lists:
+            return rows
+        a, b = (np.fromiter(chain.from_iterable(x[side] for x in lists), dtype=np.int64) for side in (1, 2))
+        from_a, from_b = self.windows(a, b)
+        found, own = self.looked_up(a, b, from_a, from_b)
+        sizes = np.array([len(f[1]) // 8 for f in found])
+        flat, begins = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int64), np.cumsum(sizes) - sizes
+        per_window = sizes[own]
+        links = flat[np.repeat(begins[own], per_window) + _within(per_window)]
+        ends = np.cumsum(per_window)
+        names, numbers = [f[0] for f in found], own.tolist()
+        last = np.searchsorted(from_a, np.cumsum([len(x[1]) for x in lists]))  # windows up to the end of each document
+        before, seen = 0, 0
+        for (i, own_a, own_b), w in zip(lists, last.tolist()):
+            here = links[seen : (seen := int(ends[w - 1]))]
+            pairs, times = np.unique(here, return_counts=True)
+            text = ";".join([names[k] for k in numbers[before:w]])
+            before = w
+            # each offset where a token of either side ends closes one link, and a group if both end there
+            n = len(own_a) + len(own_b) - len(here)
+            rows[i] = (len(own_a), len(own_b), n, len(here), hashlib.sha256(text.encode()).hexdigest(), pairs, times, text if groups else None)
         return rows
 
 
-def align_tokens(docs: DataFrame, *, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, memo: int = 200_000, memo_ids: int = 48, groups: bool = False, chunk: int = 500_000, into: str = "tokens") -> DataFrame:
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the sizes in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _hashes(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    powers = np.cumprod(np.full(int(sizes.max()), 0xD1342543DE82EF95, dtype=np.uint64))
+    return np.add.reduceat(mixed[ids] * powers[_within(sizes)], begins) + sizes.astype(np.uint64)
+
+
+def _equal(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, same: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether the windows `which` have the ids of the windows `same`, which are as long."""
+    sizes, own, other = sizes[which], begins[which], begins[same[which]]
+    within = _within(sizes)
+    differ = ids[np.repeat(own, sizes) + within] != ids[np.repeat(other, sizes) + within]
+    return np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0
+
+
+def align_tokens(docs: DataFrame, *, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, memo: int = 200_000, memo_ids: int = 48, groups: bool = False, chunk: int = 1_000_000, into: str = "tokens") -> DataFrame:
     """`docs` with a struct `into`: n_a, n_b, n_groups, n_links, groups_sha256, pairs (distinct linked id
     pairs, A id * 2^31 + B id), times (links of each) and, if asked for, groups as text
     (`a1,a2|b1;a3|b2,b3`). The two files are read by the driver and sent to the tasks; a task encodes
