@@ -231,8 +231,11 @@ def shared_map(signed: DataFrame, total: int, most_bits: int) -> tuple[np.ndarra
     rows = signed.select("sigs").mapInArrow(send, "p long, once binary, more binary").groupBy("p").applyInArrow(meet, "p long, flags binary")
     size = 1 << (bits - cut) >> 3
     found = np.zeros(1 << bits >> 3, np.uint8)
-    for row in rows.collect():
+    stages = Stages(signed.sparkSession)
+    parts = stages.write(rows)
+    for row in parts.toLocalIterator():  # a file's part of the map in the driver at a time, beside the map
         found[row.p * size : (row.p + 1) * size] = np.frombuffer(row.flags, np.uint8)
+    stages.drop(parts)
     return found, bits
 
 
