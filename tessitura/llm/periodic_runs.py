@@ -29,11 +29,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from ._common import fresh
+from pyspark.sql.pandas.types import to_arrow_type
 
 RUN = "array<struct<start: long, length: long, period: long>>"
 
@@ -235,30 +235,30 @@ def find_runs(
     if least < 2 or exponent < 2:
         raise ValueError("least and exponent must be 2 or more")
 
+    plain = docs.drop(into) if into in docs.columns else docs
+    added = T._parse_datatype_string(f"n_words long, found {RUN}, collapsed string")
+    kind = to_arrow_type(added)
+
     def run(batches):
         for batch in batches:
-            lists = map(words_of, batch[text])
+            lists = map(words_of, batch.column(text).to_pylist())
             if edit is not None:
-                lists = (edit(i, w) for i, w in zip(batch[doc_id], lists))
-            counts, found, collapsed = [], [], []
+                lists = (edit(i, w) for i, w in zip(batch.column(doc_id).to_pylist(), lists))
+            rows = []
             for block in _blocks(lists, block_words):
                 for words, runs in zip(block, runs_of(block, least, exponent)):
-                    counts.append(len(words))
-                    found.append(runs)
-                    collapsed.append(collapse(words, runs))
-            rows = [{"n_words": n, "found": [dict(zip(("start", "length", "period"), r)) for r in f], "collapsed": c} for n, f, c in zip(counts, found, collapsed)]
-            yield batch.assign(**{into: pd.Series(rows, index=batch.index, dtype=object)})
+                    found = [dict(zip(("start", "length", "period"), r)) for r in runs]
+                    rows.append({"n_words": len(words), "found": found, "collapsed": collapse(words, runs)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, into])
 
-    plain = docs.drop(into) if into in docs.columns else docs
-    added = T.StructType.fromDDL(f"{fresh(docs, 'x')} struct<n_words: long, found: {RUN}, collapsed: string>").fields[0].dataType
-    return plain.mapInPandas(run, T.StructType([*plain.schema.fields, T.StructField(into, added)]))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(into, added)]))
 
 
 def repeat_tail(doc_id: object, words: list[bytes]) -> list[bytes]:
     """The words of a tenth of the documents end in a repeated stretch; the others stay. The id decides
     both which, where it starts and how long the stretch is."""
     n = len(words)
-    h = zlib.crc32(b"" if doc_id is None or doc_id != doc_id else str(int(doc_id)).encode())
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
     g = h // 10
     if h % 10 or not n:
         return words

@@ -35,10 +35,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import BROADCAST_BYTES, Stages
 from .page_tree import BLOCK, DIGITS, FLOW, ROOT_TAGS, Page, hash64, host_of, squeeze
@@ -229,14 +230,14 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", thresho
     rest = [T.StructField(name, f.dataType) for name, f in outer.items()]
     tree, imp = "tree", "importance"
     tree_type = T._parse_datatype_string(TREE)
-    names = tree_type.names
+    names, kept = tree_type.names, list(outer)
 
     def read(batches):
         for batch in batches:
-            rows = [dict(zip(names, tree_row(h, u))) for h, u in zip(batch["html"], batch["url"])]
-            yield batch.drop(columns=["html", "url"]).assign(tree=pd.Series(rows, index=batch.index, dtype=object))
+            rows = [dict(zip(names, tree_row(h, u))) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, to_arrow_type(tree_type))], names=[*kept, tree])
 
-    read_pages = stages.write(plain.select(*(F.col(f"`{f.name}`").alias(name) for name, f in outer.items()), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(read, T.StructType([*rest, T.StructField(tree, tree_type)])))
+    read_pages = stages.write(plain.select(*(F.col(f"`{f.name}`").alias(name) for name, f in outer.items()), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(read, T.StructType([*rest, T.StructField(tree, tree_type)])))
     part = F.explode(F.arrays_zip(F.col(f"{tree}.fact").alias("fact"), F.col(f"{tree}.kind").alias("kind"), F.col(f"{tree}.value").alias("value")))
     facts = read_pages.select(F.col(f"{tree}.own").alias("own"), F.col(f"{tree}.page").alias("page"), part.alias("f"))
     evidence = facts.select(F.expr("own[f.fact]").alias("node"), F.col("f.kind").cast("byte").alias("kind"), F.col("f.value").alias("value"), "page").distinct()
@@ -263,24 +264,19 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", thresho
         salted = salted.withColumn("salt", F.when(F.col("hot_shape").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
         spread = known.withColumn("turn", F.explode(F.sequence(F.lit(0), salts - 1)))
         met = salted.join(spread.drop("pages"), (shape == F.col("shape")) & (F.col("salt") == F.col("turn")), "left").drop("hot_shape", "salt", "turn")
-    kept = list(outer)
+    added = T._parse_datatype_string("text string, removed int")
 
     def write(batches):
         for batch in batches:
             rows = []
-            for t, found in zip(batch[tree], batch[imp]):
+            for t, found in zip(batch.column(tree).to_pylist(), batch.column(imp).to_pylist()):
                 place = {key: i for i, key in enumerate(t["own"])}
-                seen = {place[x["node"]]: (x["presentation"], x["styles"], x["content"]) for x in (found if found is not None else ()) if x["node"] in place}
-                text, removed = kept_text(*(_listed(t[c]) for c in ("node", "parent", "fixed", "owner", "block", "piece")), seen, threshold)
+                seen = {place[x["node"]]: (x["presentation"], x["styles"], x["content"]) for x in found or () if x["node"] in place}
+                text, removed = kept_text(*(t[c] for c in ("node", "parent", "fixed", "owner", "block", "piece")), seen, threshold)
                 rows.append({"text": text, "removed": removed})
-            yield batch[kept].assign(**{into: pd.Series(rows, index=batch.index, dtype=object)})
-
-    added = T._parse_datatype_string("text string, removed int")
-    return met.select(*kept, tree, imp).mapInPandas(write, T.StructType([*rest, T.StructField(into, added)])).toDF(*(f.name for f in outer.values()), into)
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, to_arrow_type(added))], names=[*kept, into])
 
-def _listed(values) -> list:
-    return values.tolist() if hasattr(values, "tolist") else list(values)
+    return met.select(*kept, tree, imp).mapInArrow(write, T.StructType([*rest, T.StructField(into, added)])).toDF(*(f.name for f in outer.values()), into)
 
 
 def extraction_report(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", **options) -> DataFrame:

@@ -122,6 +122,11 @@ def test_copies_keep_their_article(spark, rng):
     assert {r.text for r in site_tree.extraction_report(pages(spark, given)).collect()} == {text_of(html % 1)} != {""}
 
 
+def test_large_ids_beside_nulls(spark):
+    frame = spark.createDataFrame([((1 << 60) + 1, "http://a/", "a"), (None, None, "b")], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in site_tree.extraction_report(frame).collect()} == {(1 << 60) + 1, None}
+
+
 def test_columns_and_empty_table(spark):
     frame = pages(spark, [("http://h/", "<p>a</p>"), (None, None)]).withColumn("shape", F.lit(1)).withColumn("main", F.lit("old")).withColumn("tree", F.lit(2))
     got = {r.page_id: r for r in site_tree.main_text(frame).collect()}

@@ -81,6 +81,11 @@ def test_repeated_tail():
     assert all(len(w) == 100 for w in changed.values()) and periodic_runs.repeat_tail(3, []) == []
 
 
+def test_large_ids_beside_nulls(spark):
+    frame = spark.createDataFrame([((1 << 60) + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in periodic_runs.run_report(frame).collect()} == {(1 << 60) + 1, None}
+
+
 def test_columns_and_empty_table(spark, rng):
     frame = documents(spark, [(1, "a b " * 5), (2, None)]).withColumn("found", F.lit(1)).withColumn("runs", F.lit("old"))
     got = {r.doc_id: r for r in periodic_runs.find_runs(frame).collect()}
