@@ -18,7 +18,8 @@ goes back to all tasks. (Where it is too full to help, more signatures go on; no
 
 Sets that share a signature are a bucket. First each set is compared with the bucket's first and
 last class, a number of pairs linear in the bucket, and linked classes are joined into components.
-Then only pairs of different components are left; they are compared in blocks of at most about
+Then only pairs of different components that lie between these two classes are left (none in a bucket of
+three or fewer, as most are); they are compared in blocks of at most about
 `block` classes, by bit maps that hold the parity of the features in each cell: two sets differ in at
 least as many features as their maps differ in bits. Pairs that pass, mostly very near ones, are
 compared by their whole feature sets, so no link is lost and none is invented. That is done twice:
@@ -52,6 +53,8 @@ LISTED = 16
 MOST_BITS = 28
 #: Each band's sizes are below this times those of the band before.
 BAND = 1.25
+#: Bytes kept of a signature; the map of shared ones reads no more.
+SIG_BYTES = 6
 _U = np.uint64
 
 
@@ -163,6 +166,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if len(x) else np.zeros(0, np.int64))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """The upper 48 bits of each signature: a chance meeting costs a comparison, no link."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SIG_BYTES :].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    found = np.zeros((len(data) // SIG_BYTES, 8), np.uint8)
+    found[:, 8 - SIG_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, SIG_BYTES)
+    return found.view("<u8").ravel()
+
+
 def parity_map(features: np.ndarray) -> bytes:
     """Parity of the number of features in each of 2^i cells, more than features, or in large sets two thirds as many."""
     bits = max(64, 1 << (len(features) * 3 // 2 if len(features) < 700 else len(features) * 2 // 3).bit_length())
@@ -179,13 +193,13 @@ def fold_map(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class and signatures (8 bytes each) of documents with columns doc_id, text."""
+    """doc_id, n_shingles, class and signatures (packed) of documents with columns doc_id, text."""
 
     def run(batches):
         hashes, signer = _WordHashes(), Signer(percent)
         for batch in batches:
             sets = [shingle_set(t, words, hashes) for t in _bytes(batch.column("text"))]
-            sigs = [signer.signatures(s).tobytes() if len(s) else b"" for s in sets]
+            sigs = [pack(signer.signatures(s)) if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
                 ["doc_id", "n_shingles", "cid", "sigs"],
@@ -201,7 +215,7 @@ def shared_map(signed: DataFrame, total: int, most_bits: int) -> tuple[np.ndarra
     bits = min(most_bits, max(cut + 3, (16 * total).bit_length()))
 
     def send(batches):
-        def pack(held):
+        def packed(held):
             value, count = np.unique(np.concatenate(held), return_counts=True)
             rest = ((value << _U(cut)) >> _U(32)).astype(np.uint32)
             edges = np.searchsorted(value >> _U(64 - cut), np.arange((1 << cut) + 1, dtype=_U))
@@ -212,13 +226,13 @@ def shared_map(signed: DataFrame, total: int, most_bits: int) -> tuple[np.ndarra
         for batch in batches:
             for sigs in batch.column("sigs").to_pylist():
                 if sigs:
-                    held.append(np.frombuffer(sigs, _U))
+                    held.append(unpack(sigs))
                     n += len(held[-1])
             if n > 2_000_000:
-                yield pack(held)
+                yield packed(held)
                 held, n = [], 0
         if n:
-            yield pack(held)
+            yield packed(held)
 
     def meet(table: pa.Table) -> pa.Table:
         once = np.sort(np.frombuffer(b"".join(table.column("once").to_pylist()), np.uint32))
@@ -249,7 +263,7 @@ def shared_signatures(signed: DataFrame, total: int, most_bits: int) -> DataFram
             sigs, cids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             for cid, data in zip(batch.column("cid").to_pylist(), batch.column("sigs").to_pylist()):
                 if data:
-                    values = np.frombuffer(data, _U)
+                    values = unpack(data)
                     place = values >> _U(64 - bits)
                     values = values[(sent.value[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1]
                     sigs.append(values)
@@ -410,7 +424,7 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     classed = signed.where("cid is not null").withColumn("doc_key", F.xxhash64("doc_id"))
     copied = stages.write(classed.groupBy("cid").agg(F.count("*").alias("c"), F.min("doc_key").alias("first_key")).where("c > 1").drop("c"))
     single = classed.join(sized_broadcast(copied), "cid", "left").where("first_key is null or doc_key = first_key")
-    total = int(single.agg(F.coalesce(F.sum(F.length("sigs")), F.lit(0))).first()[0]) // 8
+    total = int(single.agg(F.coalesce(F.sum(F.length("sigs")), F.lit(0))).first()[0]) // SIG_BYTES
     marked = shared_signatures(single, total, most_bits)
     marked = stages.write(marked)
     shared = stages.write(marked.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high"))
@@ -433,17 +447,24 @@ def similar_classes(docs: DataFrame, signed: DataFrame, stages: Stages, words: i
     sides = stars.withColumns({"sig": F.col("a"), "i": F.col("b"), "j": F.lit(0).cast("long")}).select("sig", "i", "j", F.explode(F.array("a", "b")).alias("cid"))
     apart = sides.join(maps, "cid").withColumn("comp", F.col("cid")).withColumn("own", F.col("cid")).withColumn("shared", F.lit(None).cast("array<long>")).repartition("sig", "i").sortWithinPartitions("sig", "i", "j")
     links = verify(stages, near_pairs(apart, percent), keyed, wanted, words, percent)
+    inner = stages.write(inner_members(buckets))
+    stages.drop(buckets)
     comps = stages.write(connected_components(stages, links))
     for spanning in (True, False):
-        inside = mixed_members(stages, buckets, comps, block)
+        inside = mixed_members(stages, inner, comps, block)
         grouped = mixed_blocks(inside, not spanning).join(maps, "cid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = verify(stages, near_pairs(grouped, percent, spanning), keyed, wanted, words, percent)
         stages.drop(inside)
         comps = stages.write(join_components(stages, comps, more))
-    stages.drop(buckets, maps)
+    stages.drop(inner, maps)
     return comps
 
 
+def inner_members(buckets: DataFrame) -> DataFrame:
+    """(sig, cid) of the classes that are neither first nor last in a bucket: those two have been compared with all of it."""
+    return buckets.where("cid <> low and cid <> high").select("sig", "cid")
+
+
 def mixed_members(stages: Stages, buckets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     """(sig, cid, comp, blocks, own) of buckets with several components."""
     placed = stages.write(buckets.select("sig", "cid").join(comps, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp")))

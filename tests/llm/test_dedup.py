@@ -91,6 +91,23 @@ def test_jaccard_components(spark, rng):
     assert got == brute_components(rows, 85)
 
 
+def test_first_and_last_of_a_bucket_are_compared_once(spark, rng, monkeypatch):
+    """Whatever shares a signature with one or two others is settled by the first comparison."""
+    rows, left, mixed = [], [], jaccard_join.mixed_members
+    for _ in range(12):
+        base = prose(rng, 60).split()
+        for copy in range(3):
+            rows.append((len(rows), " ".join(base[: 30 + 15 * copy] + prose(rng, 30 - 15 * copy).split())))
+
+    def members(*args):
+        left.append((found := mixed(*args)).count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "mixed_members", members)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows, 85) and left == [0, 0], left
+
+
 def test_jaccard_odd_tables(spark, rng):
     text = prose(rng, 50)
     out = jaccard_join.jaccard_components(documents(spark, [(5, text), (5, text), (None, text), (3, None)])).collect()
@@ -110,3 +127,10 @@ def test_similar_sets_share_a_signature():
                 continue
             b = np.unique(np.concatenate([rng.permutation(a)[: n - out], rng.integers(0, 2**63, into).astype(np.uint64)]))
             assert len(np.intersect1d(signer.signatures(a), signer.signatures(b)))
+
+
+def test_packed_signatures_keep_what_the_map_reads():
+    values = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64) * np.uint64(2)
+    held = jaccard_join.pack(values)
+    assert len(held) == 300 and (jaccard_join.unpack(held) == values >> np.uint64(16) << np.uint64(16)).all()
+    assert len(jaccard_join.unpack(b"")) == 0 and jaccard_join.pack(values[:0]) == b""
