@@ -12,6 +12,15 @@ from ..functions.names import strip
 
 Order = list[str | Column]
 
+#: The columns that `with_position` adds: file, then row in it.
+POSITION: Order = ["_file", "_row"]
+
+
+def with_position(table: DataFrame) -> DataFrame:
+    """A table read from Parquet, with each row's place in it. As the last columns of an order, POSITION gives rows
+    that are equal in the others the order they were written in, however tasks read and exchange them."""
+    return table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
 
 def first_per_key(df: DataFrame, key: list[str], order: Order) -> DataFrame:
     """The first row of each key in the given order (make it unique)."""

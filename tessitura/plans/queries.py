@@ -275,7 +275,8 @@ def w1_pick_spelling(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
 def w2_first_per_key(t):
-    return tables.first_per_key(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"])
+    rows = tables.with_position(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+    return tables.first_per_key(rows, ["l_orderkey"], ["l_linenumber", *tables.POSITION]).drop(*tables.POSITION)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
