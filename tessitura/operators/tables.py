@@ -28,9 +28,9 @@ def first_per_key(df: DataFrame, key: list[str], order: Order) -> DataFrame:
     return df.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
-def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    return first_per_key(df, key, [F.desc(c) for c in order])
+def last_per_key(df: DataFrame, key: list[str], order: list[str], ties: Order | None = None) -> DataFrame:
+    """The last row of each key; of rows equal in `order` the first by `ties`."""
+    return first_per_key(df, key, [*(F.desc(c) for c in order), *(ties or [])])
 
 
 def best_per_key(df: DataFrame, key: list[str], score: str, tiebreak: list[str]) -> DataFrame:

@@ -281,7 +281,8 @@ def w2_first_per_key(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
 def w3_last_per_key(t):
-    return tables.last_per_key(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"])
+    rows = tables.with_position(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+    return tables.last_per_key(rows, ["l_orderkey"], ["l_linenumber"], ties=tables.POSITION).drop(*tables.POSITION)
 
 
 @query("WITH f AS (SELECT l_partkey, l_suppkey, first_value(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS o FROM lineitem) SELECT l_suppkey, count(*) AS n, count(*) FILTER (o <> l_suppkey) AS conflicts FROM f GROUP BY 1")

@@ -34,7 +34,7 @@ def backwards(monkeypatch):
 def test_first_and_last_of_equal_rows(spark, written, backwards):
     read = reader(spark, written)
     want = [(k, 1, k) for k in range(40)]
-    for query in (queries.w2_first_per_key,):
+    for query in (queries.w2_first_per_key, queries.w3_last_per_key):
         out = query(read)
         assert out.columns == ["l_orderkey", "l_linenumber", "l_partkey"]
         assert sorted(map(tuple, out.collect())) == want
