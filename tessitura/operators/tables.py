@@ -44,8 +44,8 @@ def pick_spelling(df: DataFrame, key: list[str], spelling: str) -> DataFrame:
     return first_per_key(counts, key, [F.desc("n"), F.desc(F.length(spelling)), spelling])
 
 
-def flag_conflicts(df: DataFrame, value: list[str], owner: str, order: list[str]) -> DataFrame:
-    """Adds `first_owner` of a value, and whether this row's owner is another."""
+def flag_conflicts(df: DataFrame, value: list[str], owner: str, order: Order) -> DataFrame:
+    """Adds `first_owner` of a value in the given order (make it unique), and whether this row's owner is another."""
     first = F.first(owner).over(Window.partitionBy(*value).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("first_owner", first).withColumn("conflict", F.col("first_owner") != F.col(owner))
 

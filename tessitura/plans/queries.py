@@ -287,7 +287,7 @@ def w3_last_per_key(t):
 
 @query("WITH f AS (SELECT l_partkey, l_suppkey, first_value(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS o FROM lineitem) SELECT l_suppkey, count(*) AS n, count(*) FILTER (o <> l_suppkey) AS conflicts FROM f GROUP BY 1")
 def w4_flag_conflicts(t):
-    flagged = tables.flag_conflicts(t("lineitem"), ["l_partkey"], "l_suppkey", ["l_orderkey", "l_linenumber"])
+    flagged = tables.flag_conflicts(tables.with_position(t("lineitem")), ["l_partkey"], "l_suppkey", ["l_orderkey", "l_linenumber", *tables.POSITION])
     return flagged.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if("conflict").alias("conflicts"))
 
 

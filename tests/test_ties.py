@@ -38,3 +38,11 @@ def test_first_and_last_of_equal_rows(spark, written, backwards):
         out = query(read)
         assert out.columns == ["l_orderkey", "l_linenumber", "l_partkey"]
         assert sorted(map(tuple, out.collect())) == want
+
+
+def test_owner_of_equal_rows(spark, written, monkeypatch):
+    kept = tables.flag_conflicts
+    monkeypatch.setattr(tables, "flag_conflicts", lambda df, value, owner, order: kept(df.repartition(3, *value).sortWithinPartitions(F.desc("l_suppkey")), value, owner, order))
+    out = queries.w4_flag_conflicts(reader(spark, written))
+    first = {i for i in range(4000) if i % 2000 < 40}
+    assert {r.l_suppkey for r in out.where("conflicts = 0").collect()} == first and out.count() == 4000
