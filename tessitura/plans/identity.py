@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import id_type, identity_payload, is_strong, uuid5
 from ..functions.names import (
-    ANONYMOUS_IN_CANDIDATES, attribution_type, candidate_label, classify_name, clean_name, clip, fold_key, is_anonymous, is_mojibake, name_key, norm_light, normalize_name, strip, text,
+    ANONYMOUS_IN_CANDIDATES, attribution_type, candidate_label, classify_name, clean_name, clip, fold_key, is_anonymous, is_mojibake, let, name_key, norm_light, normalize_name, strip, text,
 )
 from ..operators.resolve import find_candidates, find_existing
 from ..operators.tables import edit_rows, first_per_key, flag_conflicts, insert_ignore
@@ -163,14 +163,22 @@ def clean_names(composers: DataFrame, aliases: DataFrame | None = None, works: D
 
 
 def _clean_once(composers: DataFrame) -> Cleaned:
-    active = composers.where("status = 'active'").withColumn("clean", clean_name(F.col("name"))).where("clean <> ''").withColumn("key", fold_key(F.col("clean")))
-    ranked = active.withColumn("_new", (F.col("name") != F.col("clean")).cast("int"))
-    heads = first_per_key(ranked, ["key"], ["_new", "id"]).select("key", F.col("id").alias("target"))
-    pairs = ranked.join(heads, "key")
-    merges = pairs.where("id <> target").select(F.col("id").alias("source"), "target", F.sha1(F.col("key").cast("binary")).alias("operation_id"))
-    renamed = pairs.where("id = target and name <> clean").select("id", F.col("clean").alias("name"))
+    """One round. Names are cleaned once to find out who is renamed or merged, which is staged as ids and hashes of the
+    clean names' keys (SHA-256), and once more where a name changes; only the rows themselves carry names."""
+
+    def seen(clean: Column) -> Column:
+        changed = (F.col("name") != clean).cast("int").alias("changed")
+        return F.when(clean != "", let(fold_key(clean).cast("binary"), lambda k: F.struct(changed, F.unhex(F.sha2(k, 256)).alias("key"), F.sha1(k).alias("operation_id"))))
+
+    active = stage(composers.where("status = 'active'").select("id", let(clean_name(F.col("name")), seen).alias("s"))).where("s is not null").select("id", "s.*")
+    heads = active.groupBy("key").agg(F.min(F.struct("changed", "id")).alias("h")).select("key", F.col("h.id").alias("target"))
+    pairs = stage(active.join(heads, "key").select("id", "target", "operation_id", "changed"))
+    merges = pairs.where("id <> target").select(F.col("id").alias("source"), "target", "operation_id")
+    renamed = pairs.where("id = target and changed = 1")
     counts = renamed.agg(F.count("*").alias("renamed")).crossJoin(merges.agg(F.count("*").alias("merged")))
-    return Cleaned(edit_rows(composers, renamed, "id"), merges, counts)
+    marked = composers.join(renamed.select("id", F.lit(True).alias("_renamed")).distinct(), "id", "left")
+    name = F.when(F.col("_renamed") & (F.col("status") == "active"), clean_name(F.col("name"))).otherwise(F.col("name"))
+    return Cleaned(marked.withColumn("name", name).select(*composers.columns), merges, counts)
 
 
 def flag_mojibake(composers: DataFrame, mode: str = "incorrect") -> DataFrame:
